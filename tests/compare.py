@@ -83,7 +83,7 @@ if __name__ == "__main__":
 
     folder = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles = load_all()
     con = connect(folder)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("validation",)
+MODULES = ("validation", "monitoring", "profiling", "schemas")
 
 
 def load_all():

@@ -19,8 +19,8 @@ class Dialect:
 
     def add_seconds(self, ts: str, seconds: str) -> str:
         if self.spark:
-            return f"timestampadd(SECOND, CAST({seconds} AS INT), {ts})"
-        return f"({ts} + to_seconds(CAST({seconds} AS BIGINT)))"
+            return f"timestampadd(SECOND, CAST(floor({seconds}) AS INT), {ts})"
+        return f"({ts} + to_seconds(CAST(floor({seconds}) AS BIGINT)))"
 
     def array(self, *items: str) -> str:
         inner = ", ".join(items)
@@ -183,7 +183,7 @@ def load_audit(d: Dialect) -> str:
       'ds' || CAST(o_orderkey % 5 AS STRING) AS dataset_name,
       CASE WHEN o_orderkey % 11 = 0 THEN 'retrying' WHEN o_orderstatus = 'F' THEN 'completed'
         WHEN o_orderstatus = 'O' THEN 'failed' ELSE 'started' END AS load_status,
-      CAST(o_totalprice / 100 AS INT) AS execution_time_seconds,
+      CAST(floor(o_totalprice / 100) AS INT) AS execution_time_seconds,
       {d.add_seconds('o_orderdate', 'o_orderkey % 86400')} AS created_at
     FROM @orders"""
 
