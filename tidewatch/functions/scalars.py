@@ -27,6 +27,11 @@ def hours_between(start: Column, end: Column) -> Column:
     return (micros(end) - micros(start)) / F.lit(3.6e9)
 
 
+def one_decimal(value: Column) -> Column:
+    """Text with one decimal, rounded by the exact binary value (ties to even)."""
+    return F.replace(F.format_number(value, 1), F.lit(","), F.lit(""))
+
+
 def safe_rate(part: Column, whole: Column, when_empty: float = 0.0) -> Column:
     """``part / whole`` in percent; ``when_empty`` if there is nothing to divide."""
     return F.when(whole > 0, part / whole * 100.0).otherwise(F.lit(when_empty))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions import fixed
-from tidewatch.functions.scalars import hours_between, lookup, seconds_between
+from tidewatch.functions.scalars import hours_between, lookup, one_decimal, seconds_between
 
 EVENTS = ("ingestion_start", "ingestion_end", "validation_start", "validation_end")
 
@@ -49,7 +49,7 @@ def freshness_status(age_hours: Column, healthy: Column, warning: Column) -> Col
 
 
 def freshness_message(dataset: Column, age: Column, status: Column, threshold: Column) -> Column:
-    hours = F.format_string("%.1f hours", age)
+    hours = F.concat(one_decimal(age), F.lit(" hours"))
     limit = F.concat(threshold.cast("string"), F.lit("h"))
     state = F.when(status == "healthy", " is fresh. Age: ").when(
         status == "warning", " is aging. Age: "
@@ -99,7 +99,7 @@ def sla_eval(df: DataFrame, start: str, end: str, custom: Mapping[str, float] |
 def pivot_operations(events: DataFrame, keys: list[str]) -> DataFrame:
     """One row per operation from its start and end events; the last event of a kind counts."""
     return events.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("event") == e, F.col("at"))).alias(e) for e in EVENTS]
+        *[F.max(F.when(F.col("event") == e, F.col("event_time"))).alias(e) for e in EVENTS]
     )
 
 

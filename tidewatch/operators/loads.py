@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.functions import fixed
 from tidewatch.functions.ordering import latest_per_key
 from tidewatch.functions.scalars import (
-    hours_between, merge_metadata, named, reason_is_retryable, record_hash, safe_rate, seconds_between,
+    hours_between, merge_metadata, named, one_decimal, reason_is_retryable, record_hash, safe_rate, seconds_between,
 )
 
 BATCH = ["batch_id", "dataset_name"]
@@ -150,11 +150,11 @@ def upsert_history(history: DataFrame, updates: DataFrame) -> DataFrame:
 def load_lifecycle(events: DataFrame) -> DataFrame:
     """State of each load from its events: started, then completed, failed or retrying.
 
-    ``events``: (batch_id, dataset_name, event, at, records, reason). Elapsed
+    ``events``: (batch_id, dataset_name, event, event_time, records, reason). Elapsed
     whole seconds run from the last start before the latest event.
     """
-    when_ = lambda *names: F.when(F.col("event").isin(*names), F.col("at"))
-    position = F.struct("at", "event")
+    when_ = lambda *names: F.when(F.col("event").isin(*names), F.col("event_time"))
+    position = F.struct("event_time", "event")
     states = events.groupBy("batch_id").agg(
         F.max_by("dataset_name", position).alias("dataset_name"),
         F.max_by("event", position).alias("load_status"),
@@ -274,7 +274,7 @@ def retry_eligibility(
         ),
         (
             hours >= 1,
-            F.concat(F.lit("Sufficient time elapsed since failure ("), F.format_string("%.1f", hours), F.lit("h)")),
+            F.concat(F.lit("Sufficient time elapsed since failure ("), one_decimal(hours), F.lit("h)")),
             F.lit("Recent failure - consider waiting before retry"),
             F.lit("Wait at least 1 hour between retry attempts"),
         ),
@@ -296,15 +296,15 @@ def retry_eligibility(
 def retry_approvals(events: DataFrame) -> DataFrame:
     """Approval state per batch; the latest approval or revocation wins.
 
-    ``events``: (batch_id, action, at, actor) with action "approve" or "revoke".
+    ``events``: (batch_id, action, event_time, actor) with action "approve" or "revoke".
     """
-    latest = latest_per_key(events, ["batch_id"], F.col("at").desc(), F.col("action").desc())
+    latest = latest_per_key(events, ["batch_id"], F.col("event_time").desc(), F.col("action").desc())
     approved = F.col("action") == "approve"
     return latest.select(
         "batch_id",
         approved.alias("can_retry"),
-        F.when(approved, F.col("at")).alias("retry_validated_at"),
+        F.when(approved, F.col("event_time")).alias("retry_validated_at"),
         F.when(approved, F.col("actor")).alias("retry_validated_by"),
-        F.when(~approved, F.col("at")).alias("revoked_at"),
+        F.when(~approved, F.col("event_time")).alias("revoked_at"),
         F.when(~approved, F.col("actor")).alias("revoked_by"),
     )

@@ -17,11 +17,11 @@ LOG_BATCH = 100
 def run_upsert(events: DataFrame) -> DataFrame:
     """Current state of each run: for every field the newest event that sets it.
 
-    ``events``: (dag_run_id, at, dag_id, state, start_date, end_date,
+    ``events``: (dag_run_id, event_time, dag_id, state, start_date, end_date,
     total_tasks, completed_tasks, failed_tasks), NULL where not set.
     """
     def newest(column: str) -> Column:
-        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("at"))).alias(column)
+        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("event_time"))).alias(column)
 
     fields = [
         "dag_id", "state", "start_date", "end_date", "total_tasks", "completed_tasks", "failed_tasks"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("validation", "monitoring", "profiling", "schemas")
+MODULES = ("validation", "monitoring", "profiling", "schemas", "loading", "retrying")
 
 
 def load_all():

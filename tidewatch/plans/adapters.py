@@ -95,7 +95,7 @@ def operation_events(d: Dialect) -> str:
     base = operations(d)
     kinds = ("ingestion_start", "ingestion_end", "validation_start", "validation_end")
     return " UNION ALL ".join(
-        f"SELECT id AS operation_id, dataset_name, '{k}' AS event, {k} AS at "
+        f"SELECT id AS operation_id, dataset_name, '{k}' AS event, {k} AS event_time "
         f"FROM ({base}) AS o{i} WHERE {k} IS NOT NULL"
         for i, k in enumerate(kinds)
     )
@@ -194,7 +194,7 @@ def load_events(d: Dialect) -> str:
       'ds' || CAST(o_orderkey % 5 AS STRING) AS dataset_name"""
     none = "CAST(NULL AS STRING)"
     return f"""
-    SELECT {key}, 'started' AS event, {start} AS at, CAST(0 AS BIGINT) AS records, {none} AS reason FROM @orders
+    SELECT {key}, 'started' AS event, {start} AS event_time, CAST(0 AS BIGINT) AS records, {none} AS reason FROM @orders
     UNION ALL
     SELECT {key}, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'failed' END,
       {d.add_seconds(start, 'o_custkey % 900 + 5')}, o_custkey % 700,
@@ -250,7 +250,7 @@ def run_events(d: Dialect) -> str:
     start = d.add_seconds("o_orderdate", "o_orderkey % 86400")
     none = "CAST(NULL AS INT)"
     return f"""
-    SELECT 'run_' || CAST(o_orderkey AS STRING) AS dag_run_id, {start} AS at,
+    SELECT 'run_' || CAST(o_orderkey AS STRING) AS dag_run_id, {start} AS event_time,
       'dag_' || CAST(o_custkey % 12 + 10 AS STRING) AS dag_id, 'running' AS state, {start} AS start_date,
       CAST(NULL AS TIMESTAMP{'_NTZ' if d.spark else ''}) AS end_date,
       CAST(0 AS INT) AS total_tasks, CAST(0 AS INT) AS completed_tasks, CAST(0 AS INT) AS failed_tasks
