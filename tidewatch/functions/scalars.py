@@ -27,9 +27,17 @@ def hours_between(start: Column, end: Column) -> Column:
     return (micros(end) - micros(start)) / F.lit(3.6e9)
 
 
-def one_decimal(value: Column) -> Column:
-    """Text with one decimal, rounded by the exact binary value (ties to even)."""
-    return F.replace(F.format_number(value, 1), F.lit(","), F.lit(""))
+def fixed_text(value: Column, digits: int) -> Column:
+    """Text with fixed decimals, rounded by the exact binary value (ties to even)."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
+def round_exact(value: Column, digits: int = 2) -> Column:
+    """Rounding by the exact binary value: 0.575 is slightly below the tie and gives 0.57.
+
+    ``F.round`` rounds the shortest decimal text of the value instead.
+    """
+    return fixed_text(value, digits).try_cast("double")
 
 
 def safe_rate(part: Column, whole: Column, when_empty: float = 0.0) -> Column:
@@ -39,7 +47,7 @@ def safe_rate(part: Column, whole: Column, when_empty: float = 0.0) -> Column:
 
 def pass_rate(total: Column, failed: Column) -> Column:
     """Share of records that passed, in percent with 2 decimals; 0 when empty."""
-    return F.round(safe_rate(total - failed, total), 2)
+    return round_exact(safe_rate(total - failed, total))
 
 
 def lookup(key: Column, values: Mapping[str, object], default: Column) -> Column:

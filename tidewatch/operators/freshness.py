@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions import fixed
-from tidewatch.functions.scalars import hours_between, lookup, one_decimal, seconds_between
+from tidewatch.functions.scalars import fixed_text, hours_between, lookup, round_exact, seconds_between
 
 EVENTS = ("ingestion_start", "ingestion_end", "validation_start", "validation_end")
 
@@ -49,7 +49,7 @@ def freshness_status(age_hours: Column, healthy: Column, warning: Column) -> Col
 
 
 def freshness_message(dataset: Column, age: Column, status: Column, threshold: Column) -> Column:
-    hours = F.concat(one_decimal(age), F.lit(" hours"))
+    hours = F.concat(fixed_text(age, 1), F.lit(" hours"))
     limit = F.concat(threshold.cast("string"), F.lit("h"))
     state = F.when(status == "healthy", " is fresh. Age: ").when(
         status == "warning", " is aging. Age: "
@@ -67,7 +67,7 @@ def freshness_validate(
     status = freshness_status(age, healthy, warning)
     return df.withColumns(
         {
-            "dataset_age_hours": F.round(age, 2),
+            "dataset_age_hours": round_exact(age),
             "freshness_status": status,
             "freshness_threshold_hours": healthy,
             "is_fresh": status == "healthy",
@@ -88,10 +88,10 @@ def sla_eval(df: DataFrame, start: str, end: str, custom: Mapping[str, float] |
     return df.withColumns(
         {
             "sla_threshold_hours": limit,
-            "actual_latency_hours": F.round(latency, 2),
+            "actual_latency_hours": round_exact(latency),
             "sla_status": F.when(latency.isNotNull(), F.when(breached, "breached").otherwise("compliant")),
-            "compliance_percentage": F.when(latency.isNotNull(), F.round(compliance, 2)),
-            "breach_duration_hours": F.when(breached, F.round(latency - limit, 2)),
+            "compliance_percentage": F.when(latency.isNotNull(), round_exact(compliance)),
+            "breach_duration_hours": F.when(breached, round_exact(latency - limit)),
         }
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.functions import fixed
 from tidewatch.functions.ordering import latest_per_key
 from tidewatch.functions.scalars import (
-    hours_between, merge_metadata, named, one_decimal, reason_is_retryable, record_hash, safe_rate, seconds_between,
+    fixed_text, hours_between, merge_metadata, named, reason_is_retryable, record_hash, safe_rate, seconds_between,
 )
 
 BATCH = ["batch_id", "dataset_name"]
@@ -274,7 +274,7 @@ def retry_eligibility(
         ),
         (
             hours >= 1,
-            F.concat(F.lit("Sufficient time elapsed since failure ("), one_decimal(hours), F.lit("h)")),
+            F.concat(F.lit("Sufficient time elapsed since failure ("), fixed_text(hours, 1), F.lit("h)")),
             F.lit("Recent failure - consider waiting before retry"),
             F.lit("Wait at least 1 hour between retry attempts"),
         ),

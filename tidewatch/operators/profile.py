@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tidewatch.functions.ordering import exact_quantiles, first_n_per_key, latest_per_key
-from tidewatch.functions.scalars import grade, health_band, named, safe_rate
+from tidewatch.functions.scalars import grade, health_band, named, round_exact, safe_rate
 
 TOP = 10
 
@@ -181,10 +181,10 @@ def quality_score(profile: DataFrame, rule_summary: DataFrame) -> DataFrame:
         .withColumn("_total", F.col("validation_score") + F.col("completeness_score") + F.col("uniqueness_score"))
         .select(
             "dataset_name",
-            F.round("_total", 2).alias("quality_score"),
-            F.round("validation_score", 2).alias("validation_score"),
-            F.round("completeness_score", 2).alias("completeness_score"),
-            F.round("uniqueness_score", 2).alias("uniqueness_score"),
+            round_exact(F.col("_total")).alias("quality_score"),
+            round_exact(F.col("validation_score")).alias("validation_score"),
+            round_exact(F.col("completeness_score")).alias("completeness_score"),
+            round_exact(F.col("uniqueness_score")).alias("uniqueness_score"),
             grade(F.col("_total")).alias("grade"),
         )
     )
@@ -229,5 +229,5 @@ def health_rollup(scores: DataFrame, key: str, *newest_first: Column) -> DataFra
         F.count_if(F.col("status") == "healthy").alias("healthy_count"),
         F.count_if(F.col("status") == "degraded").alias("degraded_count"),
         F.count_if(F.col("status") == "unhealthy").alias("unhealthy_count"),
-        F.round(F.coalesce(F.avg("overall_score"), F.lit(0.0)), 2).alias("average_overall_score"),
+        round_exact(F.coalesce(F.avg("overall_score"), F.lit(0.0))).alias("average_overall_score"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.ordering import first_n_per_key, latest_per_key
-from tidewatch.functions.scalars import day_of, hour_of, metric_unit, named, safe_rate, tag_key
+from tidewatch.functions.scalars import day_of, hour_of, metric_unit, named, round_exact, safe_rate, tag_key
 from tidewatch.operators.filters import apply_filters
 
 HISTOGRAM_SIZE = 1000
@@ -69,7 +69,7 @@ def metrics_summary(df: DataFrame) -> DataFrame:
     totals = df.agg(
         *[F.count_if(name == n).alias(n) for n in names],
         *[
-            F.round(F.coalesce(F.avg(F.when(name == n, F.col("execution_time"))), F.lit(0.0)), 2).alias(alias)
+            round_exact(F.coalesce(F.avg(F.when(name == n, F.col("execution_time"))), F.lit(0.0))).alias(alias)
             for n, alias in durations.items()
         ],
     )
@@ -79,8 +79,8 @@ def metrics_summary(df: DataFrame) -> DataFrame:
             F.col("validation_success") + F.col("validation_failure") + F.col("validation_warning"),
         )
         .withColumn("_ingestions", F.col("ingestion_success") + F.col("ingestion_failure"))
-        .withColumn("validation_success_rate", F.round(_rate("validation_success", "validation_total", "r"), 2))
-        .withColumn("ingestion_success_rate", F.round(_rate("ingestion_success", "_ingestions", "r"), 2))
+        .withColumn("validation_success_rate", round_exact(_rate("validation_success", "validation_total", "r")))
+        .withColumn("ingestion_success_rate", round_exact(_rate("ingestion_success", "_ingestions", "r")))
         .drop("_ingestions")
     )
 
@@ -207,7 +207,7 @@ def validation_metrics(df: DataFrame) -> DataFrame:
         _count("status", "passed", "passed_validations"),
         _count("status", "failed", "failed_validations"),
         _count("status", "warning", "warning_validations"),
-        F.round(F.coalesce(F.avg("pass_rate"), F.lit(0.0)), 2).alias("average_pass_rate"),
+        round_exact(F.coalesce(F.avg("pass_rate"), F.lit(0.0))).alias("average_pass_rate"),
     )
 
 
@@ -217,7 +217,7 @@ def dataset_statistics(df: DataFrame) -> DataFrame:
     return df.groupBy("dataset_name").agg(
         F.max_by("total_records", newest).alias("row_count"),
         F.max_by("columns_checked", newest).alias("column_count"),
-        F.round(F.avg("pass_rate"), 2).alias("validation_score"),
+        round_exact(F.avg("pass_rate")).alias("validation_score"),
         F.max("created_at").alias("last_validated"),
     )
 
@@ -284,7 +284,7 @@ def freshness_summary(df: DataFrame) -> DataFrame:
     def average(column: str) -> Column:
         mean = F.avg(column)
         # An average of exactly zero is reported as absent.
-        return F.when(mean != 0, F.round(mean, 2))
+        return F.when(mean != 0, round_exact(mean))
 
     return df.agg(
         F.count_distinct("dataset_name").alias("total_datasets"),
@@ -295,7 +295,7 @@ def freshness_summary(df: DataFrame) -> DataFrame:
         _count("sla_status", "breached", "sla_breached_count"),
         average("ingestion_latency_seconds").alias("avg_ingestion_latency_seconds"),
         average("validation_latency_seconds").alias("avg_validation_latency_seconds"),
-        F.round(F.avg("dataset_age_hours"), 2).alias("avg_dataset_age_hours"),
+        round_exact(F.avg("dataset_age_hours")).alias("avg_dataset_age_hours"),
     )
 
 
@@ -308,9 +308,9 @@ def sla_batch(evaluations: DataFrame, keys: list[str] | None = None) -> DataFram
         total.alias("total_operations"),
         compliant.alias("compliant_count"),
         (total - compliant).alias("breached_count"),
-        F.round(safe_rate(compliant, total, 100.0), 2).alias("compliance_percentage"),
-        F.round(F.coalesce(F.avg("actual_latency_hours"), F.lit(0.0)), 2).alias("avg_latency_hours"),
-        F.round(F.coalesce(F.max("breach_duration_hours"), F.lit(0.0)), 2).alias("max_breach_hours"),
+        round_exact(safe_rate(compliant, total, 100.0)).alias("compliance_percentage"),
+        round_exact(F.coalesce(F.avg("actual_latency_hours"), F.lit(0.0))).alias("avg_latency_hours"),
+        round_exact(F.coalesce(F.max("breach_duration_hours"), F.lit(0.0))).alias("max_breach_hours"),
     )
 
 
@@ -380,9 +380,9 @@ def load_statistics(audit: DataFrame) -> DataFrame:
             _count("load_status", "completed", "completed_loads"),
             _count("load_status", "failed", "failed_loads"),
             _count("load_status", "retrying", "retrying_loads"),
-            F.round(F.coalesce(mean, F.lit(0.0)), 2).alias("average_execution_time_seconds"),
+            round_exact(F.coalesce(mean, F.lit(0.0))).alias("average_execution_time_seconds"),
         )
-        .withColumn("success_rate", F.round(_rate("completed_loads", "total_loads", "r"), 2))
+        .withColumn("success_rate", round_exact(_rate("completed_loads", "total_loads", "r")))
     )
 
 
@@ -445,8 +445,8 @@ def retry_metrics(retries: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("total_retries"),
             *[_count("retry_status", s, s) for s in RETRY_STATES],
             F.count_if(completed & (F.col("retry_count") == 1)).alias("_first"),
-            F.round(
-                F.coalesce(F.avg(F.when(completed, F.col("retry_count"))), F.lit(0.0)), 2
+            round_exact(
+                F.coalesce(F.avg(F.when(completed, F.col("retry_count"))), F.lit(0.0))
             ).alias("average_retry_count"),
         )
         .withColumn("success_rate", _rate("completed", "total_retries", "r"))
@@ -537,7 +537,7 @@ def contract_summary(results: DataFrame) -> DataFrame:
             F.count_if("is_valid").alias("passed"),
             F.count_if(~F.col("is_valid")).alias("failed"),
         )
-        .withColumn("success_rate", F.round(_rate("passed", "total_validations", "r"), 2))
+        .withColumn("success_rate", round_exact(_rate("passed", "total_validations", "r")))
     )
 
 

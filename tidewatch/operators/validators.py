@@ -9,7 +9,7 @@ from pyspark.sql.types import DataType
 
 from tidewatch.functions import fixed
 from tidewatch.functions.results import error_list, result_rows, result_struct
-from tidewatch.functions.scalars import named, safe_rate
+from tidewatch.functions.scalars import named, round_exact, safe_rate
 
 
 def type_family(data_type: DataType) -> str:
@@ -18,7 +18,7 @@ def type_family(data_type: DataType) -> str:
 
 
 def _percent(part: Column, whole: Column) -> Column:
-    return F.round(safe_rate(part, whole), 2)
+    return round_exact(safe_rate(part, whole))
 
 
 # --- nulls -----------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("validation", "monitoring", "profiling", "schemas", "loading", "retrying")
+MODULES = ("validation", "monitoring", "profiling", "schemas", "loading", "retrying", "expressions", "files")
 
 
 def load_all():

@@ -476,12 +476,16 @@ def time_series(t):
 
 SLA_BATCH = """SELECT {key} count(*) AS total_operations, count(*) FILTER (WHERE sla_status = 'compliant') AS compliant_count,
   count(*) - count(*) FILTER (WHERE sla_status = 'compliant') AS breached_count,
-  round(count(*) FILTER (WHERE sla_status = 'compliant') * 1e2 / count(*), 2) AS compliance_percentage,
-  round(avg(dataset_age_hours), 2) AS avg_latency_hours,
-  round(coalesce(max(CASE WHEN sla_status = 'breached' THEN dataset_age_hours - 22 END), 0), 2) AS max_breach_hours
+  {two[0]} count(*) FILTER (WHERE sla_status = 'compliant') * 1e2 / count(*) {two[1]} AS compliance_percentage,
+  {two[0]} avg(dataset_age_hours) {two[1]} AS avg_latency_hours,
+  {two[0]} coalesce(max(CASE WHEN sla_status = 'breached' THEN dataset_age_hours - 22 END), 0) {two[1]} AS max_breach_hours
   FROM @freshness WHERE sla_status IS NOT NULL {group}"""
 
 
+# Rounded like the result: by the exact binary value.
+TWO = ("CAST(format('{:.2f}',", ") AS DOUBLE)")
+
+
 def _evaluations(t):
     breach = F.when(F.col("sla_status") == "breached", F.col("dataset_age_hours") - 22)
     return t.freshness.filter(F.col("sla_status").isNotNull()).select(
@@ -490,12 +494,12 @@ def _evaluations(t):
     )
 
 
-@query("sla_batch", SLA_BATCH.format(key="", group=""))
+@query("sla_batch", SLA_BATCH.format(key="", group="", two=TWO))
 def sla_batch(t):
     return rollups.sla_batch(_evaluations(t))
 
 
-@query("sla_batch_by_dataset", SLA_BATCH.format(key="dataset_name,", group="GROUP BY dataset_name"))
+@query("sla_batch_by_dataset", SLA_BATCH.format(key="dataset_name,", group="GROUP BY dataset_name", two=TWO))
 def sla_batch_by_dataset(t):
     return rollups.sla_batch(_evaluations(t), ["dataset_name"])
 

@@ -54,12 +54,13 @@ def stream_timeseries(
     retention: str = "24 hours", width: str = "1 hour", every: str | None = None,
 ) -> StreamingQuery:
     """Count and sum per key and hour; points later than the retention are dropped with their state."""
+    # Watermarks need a timestamp with zone; the hours are handed back without one.
     hours = (
-        points.withWatermark(ts, retention)
+        points.withColumn(ts, named(ts).cast("timestamp")).withWatermark(ts, retention)
         .groupBy(F.window(named(ts), width).alias("w"), *[named(k) for k in keys])
         .agg(F.count(F.lit(1)).alias("count"), F.sum(named(value)).alias("total"))
     )
-    shaped = hours.select(F.col("w.start").alias("hour"), *keys, "count", "total")
+    shaped = hours.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), *keys, "count", "total")
     return _start(shaped, sink, checkpoint, "update", lambda d: d, every)
 
 
