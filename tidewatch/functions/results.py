@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.scalars import pass_rate
@@ -60,6 +63,31 @@ def result_row(df: DataFrame, *args, **kwargs) -> DataFrame:
     return df.select(result_struct(*args, **kwargs).alias("r")).select("r.*")
 
 
+class Check(NamedTuple):
+    """A validator in three parts, so that several validators share one scan.
+
+    ``measures`` are aggregations of the table. ``steps`` name values computed
+    from them, each step seeing the ones before; naming a value used several
+    times keeps the plan small however many columns a table has. ``verdict`` is
+    the result struct.
+    """
+
+    measures: Sequence[Column]
+    steps: Sequence[dict[str, Column]]
+    verdict: Column
+
+
+def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """(position, result columns) of all checks from one aggregation of the table."""
+    measures = [m for check in checks for m in check.measures]
+    row = df.agg(F.count(F.lit(1)).alias("total"), *measures)
+    for level in range(max((len(check.steps) for check in checks), default=0)):
+        named = [check.steps[level] for check in checks if len(check.steps) > level]
+        row = row.withColumns({name: value for step in named for name, value in step.items()})
+    verdicts = F.array(*[check.verdict for check in checks])
+    return row.select(F.posexplode(verdicts).alias("position", "r")).select("position", "r.*")
+
+
 def error_struct(name: str, message: str, errors: list[str] | None = None) -> Column:
     return result_struct(
         name, F.lit("error"), F.lit(0), F.lit(0), F.lit(message),

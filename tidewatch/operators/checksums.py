@@ -1,6 +1,6 @@
 """Row, column and dataset checksums.
 
-The digest of a set of rows is the sum of the row hashes, word by word: it does
+The digest of a set of rows is the sum of the row hashes, piece by piece: it does
 not depend on the order, counts copies, combines on the map side and ends in
 one row, whatever the size of the table. The digest over the sorted list of all
 row hashes needs that whole list in one place and is therefore limited to
@@ -13,11 +13,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.functions.results import error_list, error_row, result_rows, result_struct
+from tidewatch.functions.results import (
+    Check, error_list, error_row, result_rows, result_struct, run_checks,
+)
 from tidewatch.functions.scalars import named
 
 SORTED_ROW_LIMIT = 1_000_000
-WORDS = 4
+PIECES = 6
+MASK = (1 << 20) - 1
 
 
 def digest(text: Column, algorithm: str = "md5") -> Column:
@@ -50,18 +53,18 @@ def duplicate_groups(
     )
 
 
-def _word_sums(hash_hex: Column, prefix: str, copies: Column | None = None) -> list[Column]:
-    """Sums of the first four 32-bit words, exact as decimals for any number of rows."""
-    times = F.lit(1).cast("bigint") if copies is None else copies
-    words = [F.conv(F.substring(hash_hex, 1 + 8 * i, 8), 16, 10) for i in range(WORDS)]
+def _piece_sums(hash_hex: Column, prefix: str, copies: Column | None = None) -> list[Column]:
+    """Sums of six 20-bit pieces of a hash: 120 bits that stay within BIGINT for 2^43 rows."""
+    halves = [F.conv(F.substring(hash_hex, start, 15), 16, 10).cast("bigint") for start in (1, 16)]
+    pieces = [F.shiftright(h, shift).bitwiseAND(F.lit(MASK)) for h in halves for shift in (40, 20, 0)]
     return [
-        F.sum((w.cast("bigint") * times).cast("decimal(20,0)")).alias(f"{prefix}{i}")
-        for i, w in enumerate(words)
+        F.sum(piece if copies is None else piece * copies).alias(f"{prefix}{i}")
+        for i, piece in enumerate(pieces)
     ]
 
 
 def _combined(prefix: str, count: Column, algorithm: str) -> Column:
-    sums = [F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)).cast("string") for i in range(WORDS)]
+    sums = [F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)).cast("string") for i in range(PIECES)]
     return digest(F.concat_ws("|", count.cast("string"), *sums), algorithm)
 
 
@@ -70,7 +73,7 @@ def dataset_checksum(
 ) -> DataFrame:
     """One digest for the whole table, independent of row order, from one scan."""
     hashes = df.select(row_checksum(columns or df.columns, algorithm).alias("h"))
-    return hashes.agg(F.count(F.lit(1)).alias("n"), *_word_sums(F.col("h"), "w")).select(
+    return hashes.agg(F.count(F.lit(1)).alias("n"), *_piece_sums(F.col("h"), "w")).select(
         F.col("n").alias("total_records"),
         _combined("w", F.col("n"), algorithm).alias("dataset_checksum"),
     )
@@ -81,7 +84,7 @@ def column_checksums(
 ) -> DataFrame:
     """The same digest for every column on its own; all columns in one scan."""
     columns = list(columns or df.columns)
-    sums = [s for i, c in enumerate(columns) for s in _word_sums(digest(value_text(c), algorithm), f"c{i}_")]
+    sums = [s for i, c in enumerate(columns) for s in _piece_sums(digest(value_text(c), algorithm), f"c{i}_")]
     rows = F.array(
         *[
             F.struct(
@@ -133,10 +136,8 @@ def checksum_check(
             [f"Checksum columns not found: {', '.join(missing)}"],
         )
     if not detect_duplicates:
-        measured = df.agg(F.count(F.lit(1)).alias("total"), *checksum_measures(present, algorithm))
-        return result_rows(
-            measured, checksum_verdict(present, missing, expected_checksum, algorithm, name)
-        )
+        plan = checksum_plan(df, expected_checksum, columns, algorithm, name)
+        return run_checks(df, [plan]).drop("position")
     # One row per distinct hash first: copies meet on the map side.
     per_hash = (
         df.select(row_checksum(present, algorithm).alias("h"))
@@ -145,17 +146,33 @@ def checksum_check(
     measured = per_hash.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("total"),
         F.count_if(F.col("copies") > 1).alias("duplicates"),
-        *_word_sums(F.col("h"), "w", F.col("copies")),
+        *_piece_sums(F.col("h"), "w", F.col("copies")),
     )
+    measured = measured.withColumn("_dataset_checksum", _combined("w", F.col("total"), algorithm))
     return result_rows(
         measured,
         checksum_verdict(present, missing, expected_checksum, algorithm, name, F.col("duplicates")),
     )
 
 
-def checksum_measures(columns: Sequence[str], algorithm: str = "md5") -> list[Column]:
-    """The aggregations a checksum verdict needs besides ``total``."""
-    return _word_sums(row_checksum(columns, algorithm), "w")
+def checksum_plan(
+    df: DataFrame,
+    expected_checksum: str | None = None,
+    columns: Sequence[str] | None = None,
+    algorithm: str = "md5",
+    name: str = "ChecksumValidator",
+) -> Check:
+    """The checksum comparison as a part of ``run_checks`` (without a search for duplicates)."""
+    wanted = list(columns or df.columns)
+    present = [c for c in wanted if c in df.columns]
+    if not present:
+        raise ValueError("No valid columns for checksum calculation")
+    missing = [c for c in wanted if c not in df.columns]
+    return Check(
+        measures=_piece_sums(row_checksum(present, algorithm), "w"),
+        steps=[{"_dataset_checksum": _combined("w", F.col("total"), algorithm)}],
+        verdict=checksum_verdict(present, missing, expected_checksum, algorithm, name),
+    )
 
 
 def checksum_verdict(
@@ -166,9 +183,8 @@ def checksum_verdict(
     name: str = "ChecksumValidator",
     duplicates: Column | None = None,
 ) -> Column:
-    """Result struct over ``total`` and the columns of :func:`checksum_measures`."""
-    total = F.col("total")
-    actual = _combined("w", total, algorithm)
+    """Result struct over ``total`` and ``_dataset_checksum``."""
+    total, actual = F.col("total"), F.col("_dataset_checksum")
     found = F.lit(0) if duplicates is None else duplicates
     errors = [F.lit(f"Checksum columns not found: {', '.join(missing)}")] if missing else []
     copies = F.concat(

@@ -82,23 +82,23 @@ def record_types(
     parsed = df.select(
         named(index).alias("record_index"), F.try_parse_json(named(payload)).alias("_json")
     )
-    checks = F.array(
-        *[
+    def finding(field: str, expected: str) -> Column:
+        kind = _variant_type(F.variant_get("_json", f"$.{field}", "variant"))
+        wrong = kind.isNotNull() & ~kind.isin("VOID", *RECORD_TYPES[expected])
+        text = F.substring(F.try_variant_get("_json", f"$.{field}", "string"), 1, VALUE_LENGTH)
+        # The value is only read for a mismatch.
+        return F.when(
+            wrong,
             F.struct(
-                F.lit(field).alias("field"),
-                F.lit(expected).alias("expected_type"),
-                _variant_type(F.variant_get("_json", f"$.{field}", "variant")).alias("_type"),
-                F.substring(F.try_variant_get("_json", f"$.{field}", "string"), 1, VALUE_LENGTH).alias("value"),
-                F.array(*[F.lit(t) for t in RECORD_TYPES[expected]]).alias("_allowed"),
-            )
-            for field, expected in schema.items()
-        ]
-    )
+                F.lit(field).alias("field"), F.lit(expected).alias("expected_type"),
+                kind.alias("_type"), text.alias("value"),
+            ),
+        )
+
+    checks = F.array_compact(F.array(*[finding(f, e) for f, e in schema.items()]))
     names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
     found = (
         parsed.select("record_index", F.inline(checks))
-        .filter(F.col("_type").isNotNull() & (F.col("_type") != "VOID"))
-        .filter(~F.array_contains("_allowed", F.col("_type")))
         .select(
             "record_index", "field", "expected_type", names[F.col("_type")].alias("actual_type"), "value"
         )

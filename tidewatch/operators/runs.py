@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.ordering import ordered_row_number
-from tidewatch.functions.results import aggregate_results, error_list, error_struct
+from tidewatch.functions.results import Check, aggregate_results, error_list, error_struct, run_checks
 from tidewatch.functions.scalars import micros, seconds_between, validator_type
 from tidewatch.operators import checksums, validators
 
@@ -81,73 +81,52 @@ def validate_with_defaults(
     for any type of its family. All checks share one aggregation of the table.
     A check that cannot be set up becomes an error row and the others go on.
     """
-    measures: list[Column] = [F.count(F.lit(1)).alias("total")]
-    verdicts: list[Column] = []
+    checks: list[Check] = []
     declared = {c["name"]: c.get("data_type", c.get("type")) for c in contract or ()}
 
-    def attempt(name: str, build: Callable[[], tuple[list[Column], Column]]) -> None:
+    def attempt(name: str, build: Callable[[], Check]) -> None:
         try:
-            needed, verdict = build()
+            checks.append(build())
         except Exception as problem:  # noqa: BLE001 - any failure is reported as a row
-            verdicts.append(error_struct(name, f"Validator execution failed: {problem}"))
-        else:
-            measures.extend(needed)
-            verdicts.append(verdict)
+            checks.append(Check([], [], error_struct(name, f"Validator execution failed: {problem}")))
 
     def names(columns: Iterable[str]) -> Column:
         return error_list(*[F.lit(c) for c in columns])
 
-    def existence():
+    def existence() -> Check:
         required = {c["name"] for c in contract if c.get("required", True)}
         optional = set(declared) - required
         actual = set(df.columns)
-        return [], validators.existence_verdict(
+        verdict = validators.existence_verdict(
             F.lit(len(required)), names(sorted(required - actual)), names(sorted(actual - set(declared))),
             names(sorted(optional & actual)), F.col("total"),
         )
+        return Check([], [], verdict)
 
-    def schema():
+    def schema() -> Check:
         wrong = [
             c for c, kind in declared.items()
             if c in df.columns and df.schema[c].dataType.simpleString() != kind
             and not validators.type_matches(df, c, kind)
         ]
-        return [], validators.schema_verdict(
+        verdict = validators.schema_verdict(
             names([]), names(wrong), names([]), F.lit(len(df.columns)), F.col("total")
         )
-
-    def nulls():
-        return validators.null_measures(df.columns), validators.null_verdict(
-            df.columns, df.columns, max_null_percentage=null_threshold
-        )
-
-    def types():
-        missing = [c for c in declared if c not in df.columns]
-        return [validators.cell_failures(df, declared).alias("_type_failures")], validators.datatype_verdict(
-            F.col("total"), F.col("_type_failures"), "DatatypeValidator", missing
-        )
-
-    def checksum():
-        columns = list(checksum_columns or df.columns)
-        present = [c for c in columns if c in df.columns]
-        missing = [c for c in columns if c not in df.columns]
-        if not present:
-            raise ValueError("No valid columns for checksum calculation")
-        return checksums.checksum_measures(present), checksums.checksum_verdict(
-            present, missing, expected_checksum
-        )
+        return Check([], [], verdict)
 
     if contract:
         attempt("ColumnExistenceValidator", existence)
         attempt("SchemaValidator", schema)
-    attempt("NullValidator", nulls)
+    attempt("NullValidator", lambda: validators.null_plan(df, max_null_percentage=null_threshold))
     if contract:
-        attempt("DatatypeValidator", types)
+        attempt("DatatypeValidator", lambda: validators.datatype_plan(df, declared))
     if expected_checksum or checksum_columns:
-        attempt("ChecksumValidator", checksum)
-    rows = df.agg(*measures).select(F.posexplode(F.array(*verdicts)).alias("position", "r"))
+        attempt(
+            "ChecksumValidator", lambda: checksums.checksum_plan(df, expected_checksum, checksum_columns)
+        )
+    rows = run_checks(df, checks)
     return rows.select(
-        F.lit(dataset_name).alias("dataset_name"), "position", "r.*",
+        F.lit(dataset_name).alias("dataset_name"), *rows.columns,
         F.lit(None).cast("double").alias("execution_time_ms"),
     )
 

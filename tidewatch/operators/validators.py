@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType
 
 from tidewatch.functions import fixed
-from tidewatch.functions.results import error_list, result_rows, result_struct
+from tidewatch.functions.results import Check, error_list, result_rows, result_struct, run_checks
 from tidewatch.functions.scalars import named, round_exact, safe_rate
 
 
@@ -56,23 +56,24 @@ def null_totals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
-def null_measures(columns: Sequence[str]) -> list[Column]:
-    """The aggregations a null verdict needs besides ``total``."""
-    return [F.count_if(named(c).isNull()).alias(f"_null{i}") for i, c in enumerate(columns)]
-
-
-def null_verdict(
-    wanted: Sequence[str],
-    present: Sequence[str],
+def null_plan(
+    df: DataFrame,
     non_null_columns: Sequence[str] = (),
     max_null_percentage: float = 0.0,
     column_thresholds: Mapping[str, float] | None = None,
+    columns: Sequence[str] | None = None,
     name: str = "NullValidator",
-) -> Column:
-    """Result struct over ``total`` and the columns of :func:`null_measures`."""
+) -> Check:
+    """The null check as a part of :func:`run_checks`."""
+    wanted = list(columns or df.columns)
+    present = [c for c in wanted if c in df.columns]
+    index = {c: i for i, c in enumerate(present)}
     total = F.col("total")
-    nulls = {c: F.col(f"_null{i}") for i, c in enumerate(present)}
-    share = {c: _percent(nulls[c], total) for c in present}
+    nulls = {c: F.col(f"_null{i}") for c, i in index.items()}
+    share = {c: F.col(f"_share{i}") for c, i in index.items()}
+    cells, overall, empty, found = (
+        F.col(c) for c in ("_null_cells", "_null_share", "_empty_columns", "_null_errors")
+    )
 
     def exceeds(c: str, what: str, limit: float) -> Column:
         text = F.concat(
@@ -80,83 +81,69 @@ def null_verdict(
         )
         return F.when(share[c] > limit, text)
 
-    errors = [F.lit(f"Column '{c}' not found in DataFrame") for c in wanted if c not in present]
+    errors = [F.lit(f"Column '{c}' not found in DataFrame") for c in wanted if c not in index]
     for c in non_null_columns:
-        if c in nulls:
+        if c in index:
             text = F.concat(
                 F.lit(f"Column '{c}' must not contain nulls, found "),
                 nulls[c].cast("string"), F.lit(" ("), share[c].cast("string"), F.lit("%)"),
             )
             errors.append(F.when(nulls[c] > 0, text))
     errors += [
-        exceeds(c, "null threshold", limit) for c, limit in (column_thresholds or {}).items() if c in share
+        exceeds(c, "null threshold", limit) for c, limit in (column_thresholds or {}).items() if c in index
     ]
     if max_null_percentage > 0:
         errors += [exceeds(c, "global null threshold", max_null_percentage) for c in present]
-    empty = error_list(*[F.when(nulls[c] == total, F.lit(c)) for c in present])
     empty_text = F.concat(
         F.lit("Found "), F.size(empty).cast("string"),
         F.lit(" completely empty column(s): "), F.array_join(empty, ", "),
     )
     errors.append(F.when(F.size(empty) > 0, empty_text))
-    found = error_list(*errors)
-    cells = sum(nulls.values(), F.lit(0))
-    overall = _percent(cells, total * len(wanted))
     no_rows, clean = total == 0, F.size(found) == 0
-    message = (
-        F.when(no_rows, "Cannot validate nulls: DataFrame is empty")
-        .when(
-            clean,
-            F.concat(
-                F.lit("Null validation passed: "), overall.cast("string"), F.lit("% null values overall")
-            ),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("Null validation failed: "), F.size(found).cast("string"), F.lit(" issue(s) found")
-            )
-        )
+    passed_text = F.concat(
+        F.lit("Null validation passed: "), overall.cast("string"), F.lit("% null values overall")
+    )
+    failed_text = F.concat(
+        F.lit("Null validation failed: "), F.size(found).cast("string"), F.lit(" issue(s) found")
     )
     counts = F.struct(*[nulls[c].alias(c) for c in present]) if present else F.lit(None)
     details = F.to_json(
         F.struct(
-            F.lit(len(wanted)).alias("columns_checked"),
-            counts.alias("null_counts"),
-            empty.alias("empty_columns"),
-            cells.alias("total_null_values"),
+            F.lit(len(wanted)).alias("columns_checked"), counts.alias("null_counts"),
+            empty.alias("empty_columns"), cells.alias("total_null_values"),
             overall.alias("overall_null_percentage"),
         )
     )
-    return result_struct(
-        name,
-        F.when(no_rows, "warning").when(clean, "passed").otherwise("failed"),
-        total,
-        F.when(no_rows, 0).otherwise(cells),
-        message,
-        F.when(no_rows, error_list()).otherwise(found),
-        details,
+    return Check(
+        measures=[F.count_if(named(c).isNull()).alias(f"_null{i}") for c, i in index.items()],
+        steps=[
+            {
+                **{f"_share{i}": _percent(nulls[c], total) for c, i in index.items()},
+                "_null_cells": sum(nulls.values(), F.lit(0)),
+                "_empty_columns": error_list(*[F.when(nulls[c] == total, F.lit(c)) for c in present]),
+            },
+            {"_null_errors": error_list(*errors), "_null_share": _percent(cells, total * len(wanted))},
+        ],
+        verdict=result_struct(
+            name,
+            F.when(no_rows, "warning").when(clean, "passed").otherwise("failed"),
+            total,
+            F.when(no_rows, 0).otherwise(cells),
+            F.when(no_rows, "Cannot validate nulls: DataFrame is empty")
+            .when(clean, passed_text).otherwise(failed_text),
+            F.when(no_rows, error_list()).otherwise(found),
+            details,
+        ),
     )
 
 
-def null_check(
-    df: DataFrame,
-    non_null_columns: Sequence[str] = (),
-    max_null_percentage: float = 0.0,
-    column_thresholds: Mapping[str, float] | None = None,
-    columns: Sequence[str] | None = None,
-    name: str = "NullValidator",
-) -> DataFrame:
+def null_check(df: DataFrame, *args, **kwargs) -> DataFrame:
     """Fails on NULLs in mandatory columns, exceeded shares and empty columns.
 
-    ``failed_records`` counts NULL cells, so a pass rate may be negative.
+    Arguments as in :func:`null_plan`. ``failed_records`` counts NULL cells, so
+    a pass rate may be negative.
     """
-    wanted = list(columns or df.columns)
-    present = [c for c in wanted if c in df.columns]
-    measured = df.agg(F.count(F.lit(1)).alias("total"), *null_measures(present))
-    return result_rows(
-        measured,
-        null_verdict(wanted, present, non_null_columns, max_null_percentage, column_thresholds, name),
-    )
+    return run_checks(df, [null_plan(df, *args, **kwargs)]).drop("position")
 
 
 # --- types, patterns and ranges ---------------------------------------------
@@ -267,22 +254,28 @@ def cell_failures(
     return sum((F.count_if(check) for check in checks), F.lit(0).cast("bigint"))
 
 
-def datatype_check(
+def datatype_plan(
     df: DataFrame,
     column_types: Mapping[str, str] | None = None,
     string_patterns: Mapping[str, str] | None = None,
     numeric_ranges: Mapping[str, tuple] | None = None,
     name: str = "DatatypeValidator",
-) -> DataFrame:
-    """Result row over all type, pattern and range checks (95 % or better is a warning)."""
+) -> Check:
+    """The datatype check as a part of :func:`run_checks`."""
     failures = cell_failures(df, column_types, string_patterns, numeric_ranges)
-    measured = df.agg(F.count(F.lit(1)).alias("total"), failures.alias("failed"))
     missing = [c for c in (column_types or {}) if c not in df.columns]
-    return result_rows(
-        measured, datatype_verdict(F.col("total"), F.col("failed"), name, missing)
+    return Check(
+        measures=[failures.alias("_type_failures")],
+        steps=[],
+        verdict=datatype_verdict(F.col("total"), F.col("_type_failures"), name, missing),
     )
 
 
+def datatype_check(df: DataFrame, *args, **kwargs) -> DataFrame:
+    """Result row over all type, pattern and range checks (95 % or better is a warning)."""
+    return run_checks(df, [datatype_plan(df, *args, **kwargs)]).drop("position")
+
+
 def datatype_verdict(
     total: Column, failed: Column, name: str | Column, missing: Sequence[str] = ()
 ) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions.ordering import latest_per_key
 from tidewatch.operators import contracts, drift, filters, rollups
 from tidewatch.plans.catalog import query
+from tidewatch.session import work_path
+from tidewatch.sources import readers, writers
 
 NORMAL = """CASE trim(lower({c})) WHEN 'int64' THEN 'integer' WHEN 'object' THEN 'string' WHEN 'double' THEN 'float'
   ELSE trim(lower({c})) END"""
@@ -151,8 +153,15 @@ def _versions(t):
     return drift.register_schemas(t.observations.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz")))
 
 
+def _stored_versions(t):
+    """Versions are registered once, into a table; drift reads that table."""
+    path = work_path(t.spark, "schema_versions")
+    writers.append(_versions(t), path)
+    return readers.read_table(t.spark, path)
+
+
 def _columns(t):
-    return drift.version_columns(_versions(t))
+    return drift.version_columns(_stored_versions(t))
 
 
 def _history(t):
@@ -257,7 +266,8 @@ def compare_versions(t):
       FROM ({VERSIONS}) AS v LEFT JOIN ({DRIFT}) AS d ON v.dataset_name = d.dataset_name AND v.version_number = d.k""",
 )
 def schema_timeline(t):
-    return drift.schema_timeline(_versions(t), _history(t))
+    versions = _stored_versions(t)
+    return drift.schema_timeline(versions, drift.drift_history(drift.version_columns(versions)))
 
 
 ACKS = """SELECT 'user_' || CAST(user_id AS {string}) AS dataset_name, event_id % 9 + 2 AS current_version,

@@ -162,8 +162,9 @@ def _row_text(columns: list[str]) -> str:
 
 
 def _digest(hash_sql: str, table: str) -> str:
+    """The sums of the six 5-digit pieces of every hash, joined as text."""
     sums = ", ".join(
-        f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(4)
+        f"CAST(sum(CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT)) AS VARCHAR)" for i in range(6)
     )
     return f"SELECT count(*) AS n, concat_ws('|', CAST(count(*) AS VARCHAR), {sums}) AS s FROM (SELECT {hash_sql} AS h FROM {table})"
 
