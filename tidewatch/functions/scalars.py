@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
 
 from tidewatch.functions import fixed
 
 
+def quoted(column: str) -> str:
+    """The column name for SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def named(column: str) -> Column:
     """The column called exactly ``column``, dots and spaces included."""
-    return F.col("`" + column.replace("`", "``") + "`")
+    return F.col(quoted(column))
+
+
+def text_array(values: Iterable[str]) -> Column:
+    """A constant list of texts. One expression, however long the list."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
+def sql_array(items: Iterable[str]) -> Column:
+    """An array of SQL expressions, parsed in one go: wide tables plan quickly."""
+    return F.expr(f"array({', '.join(items)})")
 
 
 def micros(ts: Column) -> Column:

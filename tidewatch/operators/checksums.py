@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.functions.results import (
     Check, error_list, error_row, result_rows, result_struct, run_checks,
 )
-from tidewatch.functions.scalars import named
+from tidewatch.functions.scalars import quoted
 
 SORTED_ROW_LIMIT = 1_000_000
 PIECES = 6
@@ -27,13 +27,15 @@ def digest(text: Column, algorithm: str = "md5") -> Column:
     return F.sha2(text, 256) if algorithm == "sha256" else F.md5(text)
 
 
-def value_text(column: str) -> Column:
-    return F.coalesce(named(column).cast("string"), F.lit("NULL"))
+def value_text(column: str) -> str:
+    """SQL text of a value in its text form."""
+    return f"coalesce(CAST({quoted(column)} AS STRING), 'NULL')"
 
 
 def row_checksum(columns: Sequence[str], algorithm: str = "md5") -> Column:
     """Hash of ``a|b|...`` with NULL written as ``NULL``."""
-    return digest(F.concat_ws("|", *[value_text(c) for c in columns]), algorithm)
+    text = F.expr(f"concat_ws('|', {', '.join(value_text(c) for c in columns)})")
+    return digest(text, algorithm)
 
 
 def with_row_checksum(
@@ -84,7 +86,7 @@ def column_checksums(
 ) -> DataFrame:
     """The same digest for every column on its own; all columns in one scan."""
     columns = list(columns or df.columns)
-    sums = [s for i, c in enumerate(columns) for s in _piece_sums(digest(value_text(c), algorithm), f"c{i}_")]
+    sums = [s for i, c in enumerate(columns) for s in _piece_sums(row_checksum([c], algorithm), f"c{i}_")]
     rows = F.array(
         *[
             F.struct(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tidewatch.functions.ordering import exact_quantiles, first_n_per_key, latest_per_key
-from tidewatch.functions.scalars import grade, health_band, named, round_exact, safe_rate
+from tidewatch.functions.scalars import (
+    grade, health_band, named, quoted, round_exact, safe_rate, sql_array, text_array,
+)
 
 TOP = 10
 
@@ -19,10 +21,28 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
-def _number(df: DataFrame, column: str) -> Column:
+def _number(df: DataFrame, column: str) -> str:
+    """SQL text of a numeric column as a double; a boolean counts as 0 or 1."""
+    inner = quoted(column)
     if isinstance(df.schema[column].dataType, BooleanType):
-        return named(column).cast("int").cast("double")
-    return named(column).cast("double")
+        inner = f"CAST({inner} AS INT)"
+    return f"CAST({inner} AS DOUBLE)"
+
+
+def _counted_cells(cells: DataFrame) -> DataFrame:
+    """(column_name, value, n): cells unpivoted, NULLs left out, counted before the shuffle."""
+    rows = cells.unpivot([], [named(c) for c in cells.columns], "column_name", "value")
+    return (
+        rows.filter(F.col("value").isNotNull())
+        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def value_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, n) over the text form of any column."""
+    return _counted_cells(
+        df.selectExpr(*[f"CAST({quoted(c)} AS STRING) AS {quoted(c)}" for c in columns])
+    )
 
 
 def middle_histogram(df: DataFrame, columns: Sequence[str], p: float = 0.5) -> DataFrame:
@@ -32,36 +52,19 @@ def middle_histogram(df: DataFrame, columns: Sequence[str], p: float = 0.5) -> D
     by 1 % on both sides. Values outside the bracket only matter by their
     number, so about 2 % of the cells are shuffled, and the rank stays exact.
     """
-    around = [max(0.0, p - 0.01), min(1.0, p + 0.01)]
-    numbers = df.select(*[_number(df, c).alias(f"_x{i}") for i, c in enumerate(columns)])
-    bounds = numbers.agg(
-        *[F.percentile_approx(f"_x{i}", around, 1000).alias(f"b{i}") for i in range(len(columns))]
+    low, high = max(0.0, p - 0.01), min(1.0, p + 0.01)
+    numbers = df.selectExpr(*[f"{_number(df, c)} AS _x{i}" for i, c in enumerate(columns)])
+    bounds = numbers.selectExpr(
+        *[f"percentile_approx(_x{i}, array({low}D, {high}D), 1000) AS b{i}" for i in range(len(columns))]
     ).select(F.struct("*").alias("b"))
-    low, high = F.lit(float("-inf")), F.lit(float("inf"))
-
-    def cell(i: int, column: str) -> Column:
-        x, bound = F.col(f"_x{i}"), F.col(f"_b.b{i}")
-        value = F.when(x < bound[0], low).when(x > bound[1], high).otherwise(x)
-        return F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), value.alias("value")))
-
-    cells = F.array_compact(F.array(*[cell(i, c) for i, c in enumerate(columns)]))
-    counted = (
-        numbers.withColumn("_b", bounds.scalar()).select(F.inline(cells))
-        .groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    return counted.select(F.element_at(names, F.col("i") + 1).alias("column_name"), "value", "n")
-
-
-def value_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, value, n) over the text form of any column, NULLs left out."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), named(c).cast("string").alias("value")) for c in columns]
-    )
-    return (
-        df.select(F.inline(cells)).filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = numbers.withColumn("_b", bounds.scalar()).selectExpr(
+        *[
+            f"CASE WHEN _x{i} < _b.b{i}[0] THEN double('-Infinity') "
+            f"WHEN _x{i} > _b.b{i}[1] THEN double('Infinity') ELSE _x{i} END AS {quoted(c)}"
+            for i, c in enumerate(columns)
+        ]
     )
+    return _counted_cells(cells)
 
 
 def profile_columns(
@@ -70,42 +73,40 @@ def profile_columns(
     """NULLs of every column; min, max, mean, median and deviation of numeric ones.
 
     One scan gives everything but the exact median, which ranks the values
-    around the middle in two more passes over the numeric columns. ``median="approximate"`` stays
-    within the first scan.
+    around the middle in two more passes over the numeric columns.
+    ``median="approximate"`` stays within the first scan.
     """
     columns = list(columns or df.columns)
     numbers = [c for c in numeric_columns(df) if c in columns]
-    nothing = F.lit(None).cast("double")
-    aggregates = [F.count(F.lit(1)).alias("total")]
-    rows = []
+    aggregates, rows = ["count(1) AS total"], []
     for i, c in enumerate(columns):
-        aggregates.append(F.count_if(named(c).isNull()).alias(f"_n{i}"))
-        stats = {"min": nothing, "max": nothing, "mean": nothing, "std": nothing}
-        approximate = nothing
+        aggregates.append(f"count_if({quoted(c)} IS NULL) AS n{i}")
+        fields = {k: "CAST(NULL AS DOUBLE)" for k in ("min", "max", "mean", "std", "median")}
         if c in numbers:
             x = _number(df, c)
             aggregates += [
-                F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}"), F.avg(x).alias(f"_avg{i}"),
-                F.stddev_samp(x).alias(f"_sd{i}"), F.count(x).alias(f"_c{i}"),
+                f"min({x}) AS lo{i}", f"max({x}) AS hi{i}", f"avg({x}) AS avg{i}",
+                f"stddev_samp({x}) AS sd{i}", f"count({x}) AS c{i}",
             ]
-            deviation = F.when(F.col(f"_c{i}") == 1, 0.0).otherwise(F.col(f"_sd{i}"))
-            stats = {
-                "min": F.col(f"_lo{i}"), "max": F.col(f"_hi{i}"), "mean": F.col(f"_avg{i}"), "std": deviation
+            # The deviation of a single value is zero.
+            fields |= {
+                "min": f"lo{i}", "max": f"hi{i}", "mean": f"avg{i}",
+                "std": f"CASE WHEN c{i} = 1 THEN 0D ELSE sd{i} END",
             }
             if median == "approximate":
-                aggregates.append(F.percentile_approx(x, 0.5).alias(f"_med{i}"))
-                approximate = F.col(f"_med{i}")
-        rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
-                F.col(f"_n{i}").alias("null_count"),
-                safe_rate(F.col(f"_n{i}"), F.col("total")).alias("null_percentage"),
-                *[v.alias(k) for k, v in stats.items()],
-                approximate.alias("median"),
-            )
+                aggregates.append(f"percentile_approx({x}, 0.5) AS med{i}")
+                fields["median"] = f"med{i}"
+        values = ", ".join(f"'{k}', {v}" for k, v in fields.items())
+        kind = df.schema[c].dataType.simpleString().replace("\\", "\\\\").replace("'", "\\'")
+        rows.append(f"named_struct('data_type', '{kind}', 'null_count', n{i}, {values})")
+    profile = (
+        df.selectExpr(*aggregates)
+        .select("total", F.posexplode(sql_array(rows)).alias("i", "r"))
+        .select(
+            "total", F.element_at(text_array(columns), F.col("i") + 1).alias("column_name"), "r.*"
         )
-    profile = df.agg(*aggregates).select("total", F.inline(F.array(*rows)))
+        .withColumn("null_percentage", safe_rate(F.col("null_count"), F.col("total")))
+    )
     if median == "approximate" or not numbers:
         return profile
     medians = exact_quantiles(
@@ -121,14 +122,12 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approxi
     """Distinct non-NULL values per column."""
     columns = list(columns or df.columns)
     if approximate:
-        counts = df.agg(*[F.approx_count_distinct(named(c)).alias(f"_d{i}") for i, c in enumerate(columns)])
-        rows = [
-            F.struct(F.lit(c).alias("column_name"), F.col(f"_d{i}").alias("unique_count"))
-            for i, c in enumerate(columns)
-        ]
-        return counts.select(F.inline(F.array(*rows)))
+        counts = df.select(sql_array(f"approx_count_distinct({quoted(c)})" for c in columns).alias("n"))
+        return counts.select(F.posexplode("n").alias("i", "unique_count")).select(
+            F.element_at(text_array(columns), F.col("i") + 1).alias("column_name"), "unique_count"
+        )
     found = value_histogram(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    names = df.sparkSession.range(1).select(F.explode(text_array(columns)).alias("column_name"))
     return names.join(found, "column_name", "left").fillna(0, ["unique_count"])
 
 

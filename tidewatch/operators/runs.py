@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.ordering import ordered_row_number
-from tidewatch.functions.results import Check, aggregate_results, error_list, error_struct, run_checks
-from tidewatch.functions.scalars import micros, seconds_between, validator_type
+from tidewatch.functions.results import Check, aggregate_results, error_struct, run_checks
+from tidewatch.functions.scalars import micros, seconds_between, text_array, validator_type
 from tidewatch.operators import checksums, validators
 
 LOG_BATCH = 100
@@ -90,8 +90,7 @@ def validate_with_defaults(
         except Exception as problem:  # noqa: BLE001 - any failure is reported as a row
             checks.append(Check([], [], error_struct(name, f"Validator execution failed: {problem}")))
 
-    def names(columns: Iterable[str]) -> Column:
-        return error_list(*[F.lit(c) for c in columns])
+    names = text_array
 
     def existence() -> Check:
         required = {c["name"] for c in contract if c.get("required", True)}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType
 
 from tidewatch.functions import fixed
 from tidewatch.functions.results import Check, error_list, result_rows, result_struct, run_checks
-from tidewatch.functions.scalars import named, round_exact, safe_rate
+from tidewatch.functions.scalars import (
+    lookup, named, quoted, round_exact, safe_rate, sql_array, text_array,
+)
 
 
 def type_family(data_type: DataType) -> str:
@@ -24,21 +26,19 @@ def _percent(part: Column, whole: Column) -> Column:
 # --- nulls -----------------------------------------------------------------
 
 
+def _null_cells(columns: Sequence[str]) -> Column:
+    """Aggregation: the number of NULLs per column, as one array."""
+    if not columns:
+        return F.array().cast("array<bigint>")
+    return sql_array(f"count_if({quoted(c)} IS NULL)" for c in columns)
+
+
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """NULLs per column from a single scan: (column_name, total, nulls, percent)."""
     columns = [c for c in (columns or df.columns) if c in df.columns]
-    counts = df.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        *[F.count_if(named(c).isNull()).alias(f"_n{i}") for i, c in enumerate(columns)],
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"_n{i}").alias("null_count"))
-            for i, c in enumerate(columns)
-        ]
-    )
-    return counts.select("total_records", F.inline(rows)).select(
-        "column_name",
+    counts = df.agg(F.count(F.lit(1)).alias("total_records"), _null_cells(columns).alias("_nulls"))
+    return counts.select("total_records", F.posexplode("_nulls").alias("_i", "null_count")).select(
+        F.element_at(text_array(columns), F.col("_i") + 1).alias("column_name"),
         "total_records",
         "null_count",
         _percent(F.col("null_count"), F.col("total_records")).alias("null_percentage"),
@@ -67,38 +67,59 @@ def null_plan(
     """The null check as a part of :func:`run_checks`."""
     wanted = list(columns or df.columns)
     present = [c for c in wanted if c in df.columns]
-    index = {c: i for i, c in enumerate(present)}
-    total = F.col("total")
-    nulls = {c: F.col(f"_null{i}") for c, i in index.items()}
-    share = {c: F.col(f"_share{i}") for c, i in index.items()}
-    cells, overall, empty, found = (
-        F.col(c) for c in ("_null_cells", "_null_share", "_empty_columns", "_null_errors")
+    total, cells, overall, empty, found = (
+        F.col(c) for c in ("total", "_null_cells", "_null_share", "_empty_columns", "_null_errors")
+    )
+    # One entry (name, nulls, share) per column, in the order of the table.
+    entries = F.transform(
+        F.arrays_zip(text_array(present), F.col("_nulls")),
+        lambda e: F.struct(
+            e["0"].alias("name"), e["_nulls"].alias("nulls"), _percent(e["_nulls"], total).alias("share")
+        ),
     )
 
-    def exceeds(c: str, what: str, limit: float) -> Column:
-        text = F.concat(
-            F.lit(f"Column '{c}' exceeds {what}: "), share[c].cast("string"), F.lit(f"% > {limit}%")
+    def over(what: str, limit: Column, chosen: Column) -> Column:
+        return F.transform(
+            F.filter(chosen, lambda e: e["share"] > limit_of(e, limit)),
+            lambda e: F.concat(
+                F.lit("Column '"), e["name"], F.lit(f"' exceeds {what}: "), e["share"].cast("string"),
+                F.lit("% > "), limit_of(e, limit).cast("string"), F.lit("%"),
+            ),
         )
-        return F.when(share[c] > limit, text)
-
-    errors = [F.lit(f"Column '{c}' not found in DataFrame") for c in wanted if c not in index]
-    for c in non_null_columns:
-        if c in index:
-            text = F.concat(
-                F.lit(f"Column '{c}' must not contain nulls, found "),
-                nulls[c].cast("string"), F.lit(" ("), share[c].cast("string"), F.lit("%)"),
+
+    def limit_of(entry: Column, limit: Column | dict[str, float]) -> Column:
+        return limit if isinstance(limit, Column) else lookup(entry["name"], limit, F.lit(None).cast("double"))
+
+    def ordered(names: Iterable[str]) -> Column:
+        """The entries of the given columns, in the given order."""
+        return F.flatten(
+            F.transform(
+                text_array([n for n in names if n in present]),
+                lambda n: F.filter("_null_entries", lambda e: e["name"] == n),
             )
-            errors.append(F.when(nulls[c] > 0, text))
-    errors += [
-        exceeds(c, "null threshold", limit) for c, limit in (column_thresholds or {}).items() if c in index
-    ]
+        )
+
+    parts = [text_array(f"Column '{c}' not found in DataFrame" for c in wanted if c not in present)]
+    if non_null_columns:
+        parts.append(
+            F.transform(
+                F.filter(ordered(non_null_columns), lambda e: e["nulls"] > 0),
+                lambda e: F.concat(
+                    F.lit("Column '"), e["name"], F.lit("' must not contain nulls, found "),
+                    e["nulls"].cast("string"), F.lit(" ("), e["share"].cast("string"), F.lit("%)"),
+                ),
+            )
+        )
+    if column_thresholds:
+        limits = {c: float(x) for c, x in column_thresholds.items()}
+        parts.append(over("null threshold", limits, ordered(limits)))
     if max_null_percentage > 0:
-        errors += [exceeds(c, "global null threshold", max_null_percentage) for c in present]
+        parts.append(over("global null threshold", F.lit(float(max_null_percentage)), F.col("_null_entries")))
     empty_text = F.concat(
         F.lit("Found "), F.size(empty).cast("string"),
         F.lit(" completely empty column(s): "), F.array_join(empty, ", "),
     )
-    errors.append(F.when(F.size(empty) > 0, empty_text))
+    parts.append(error_list(F.when(F.size(empty) > 0, empty_text)))
     no_rows, clean = total == 0, F.size(found) == 0
     passed_text = F.concat(
         F.lit("Null validation passed: "), overall.cast("string"), F.lit("% null values overall")
@@ -106,23 +127,25 @@ def null_plan(
     failed_text = F.concat(
         F.lit("Null validation failed: "), F.size(found).cast("string"), F.lit(" issue(s) found")
     )
-    counts = F.struct(*[nulls[c].alias(c) for c in present]) if present else F.lit(None)
     details = F.to_json(
         F.struct(
-            F.lit(len(wanted)).alias("columns_checked"), counts.alias("null_counts"),
+            F.lit(len(wanted)).alias("columns_checked"),
+            F.map_from_entries(
+                F.transform("_null_entries", lambda e: F.struct(e["name"], e["nulls"]))
+            ).alias("null_counts"),
             empty.alias("empty_columns"), cells.alias("total_null_values"),
             overall.alias("overall_null_percentage"),
         )
     )
+    empty_columns = F.transform(
+        F.filter("_null_entries", lambda e: e["nulls"] == total), lambda e: e["name"]
+    )
     return Check(
-        measures=[F.count_if(named(c).isNull()).alias(f"_null{i}") for c, i in index.items()],
+        measures=[_null_cells(present).alias("_nulls")],
         steps=[
-            {
-                **{f"_share{i}": _percent(nulls[c], total) for c, i in index.items()},
-                "_null_cells": sum(nulls.values(), F.lit(0)),
-                "_empty_columns": error_list(*[F.when(nulls[c] == total, F.lit(c)) for c in present]),
-            },
-            {"_null_errors": error_list(*errors), "_null_share": _percent(cells, total * len(wanted))},
+            {"_null_entries": entries, "_null_cells": F.aggregate("_nulls", F.lit(0).cast("bigint"), lambda a, n: a + n)},
+            {"_empty_columns": empty_columns, "_null_share": _percent(cells, total * len(wanted))},
+            {"_null_errors": F.concat(*parts)},
         ],
         verdict=result_struct(
             name,
