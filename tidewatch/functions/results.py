@@ -100,11 +100,13 @@ def error_row(spark, name: str, message: str, errors: list[str] | None = None) -
     return result_rows(spark.range(1), error_struct(name, message, errors))
 
 
-def aggregate_results(results: DataFrame, keys: list[str], order: str = "position") -> DataFrame:
+def aggregate_results(
+    results: DataFrame, keys: list[str], order: str = "position", *extra: Column
+) -> DataFrame:
     """Overall status per key: error over failed over warning over passed.
 
     ``order`` numbers the validators of a key; the first one with records
-    supplies ``total_records``.
+    supplies ``total_records``. ``extra`` adds aggregations to the same pass.
     """
     def count(status: str) -> Column:
         return F.count_if(F.col("status") == status)
@@ -129,6 +131,7 @@ def aggregate_results(results: DataFrame, keys: list[str], order: str = "positio
             count("error").alias("error_validators"),
             F.coalesce(first_total, F.lit(0)).alias("total_records"),
             F.coalesce(F.sum("execution_time_ms"), F.lit(0.0)).alias("total_execution_time_ms"),
+            *extra,
         )
         .withColumn("overall_status", overall)
         .withColumn("overall_passed", F.col("overall_status") == "passed")

@@ -86,9 +86,13 @@ def load_outcomes(incoming: DataFrame, loaded: DataFrame, index: str) -> DataFra
 
 
 def load_dedup(incoming: DataFrame, loaded: DataFrame, index: str) -> DataFrame:
-    """New records only: the first of each hash that is not stored yet."""
-    fresh = incoming.join(loaded.select("record_hash"), "record_hash", "left_anti")
-    return latest_per_key(fresh, ["record_hash"], named(index).asc())
+    """New records only: the first of each hash that is not stored yet.
+
+    Copies are reduced to one per task before the shuffle; the anti join then
+    reuses the same partitioning.
+    """
+    single = latest_per_key(incoming, ["record_hash"], named(index).asc())
+    return single.join(loaded.select("record_hash"), "record_hash", "left_anti")
 
 
 def load_summary(outcomes: DataFrame, keys: Sequence[str], skip_duplicates: bool = True) -> DataFrame:

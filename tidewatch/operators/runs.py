@@ -147,51 +147,51 @@ def audit_rows(results: DataFrame, triggered_by: str, environment: str, at: Colu
     )
 
 
+LOG_FIELDS = [
+    "validation_type", "status", "total_records", "failed_records", "pass_rate", "validator_name", "message"
+]
+
+
 def validation_log_rows(results: DataFrame, at: Column) -> DataFrame:
-    """Log rows: one per validator, and one with the overall outcome per dataset."""
-    single = results.select(
-        "dataset_name",
-        validator_type(F.col("validator_name")).alias("validation_type"),
-        "status", "total_records", "failed_records", "pass_rate", "validator_name", "message",
-        at.alias("created_at"),
+    """Log rows: one per validator, and one with the overall outcome per dataset.
+
+    The results of a dataset, one entry per validator, are gathered next to
+    their summary, so the checks behind them run once.
+    """
+    entry = F.struct(
+        validator_type(F.col("validator_name")).alias("validation_type"), *LOG_FIELDS[1:]
     )
-    summary = validation_summary(results)
-    overall = summary.select(
-        "dataset_name",
+    summary = aggregate_results(results, ["dataset_name"], "position", F.collect_list(entry).alias("entries"))
+    overall = F.struct(
         F.lit("aggregated").alias("validation_type"),
         F.col("overall_status").alias("status"),
-        "total_records",
+        F.col("total_records"),
         F.lit(0).cast("bigint").alias("failed_records"),
         F.when(F.col("overall_passed"), 100.0).otherwise(0.0).alias("pass_rate"),
         F.lit("ValidationAggregator").alias("validator_name"),
-        F.concat(
-            F.lit("Executed "), F.col("total_validators").cast("string"), F.lit(" validators: "),
-            F.col("passed_validators").cast("string"), F.lit(" passed, "),
-            F.col("failed_validators").cast("string"), F.lit(" failed, "),
-            F.col("warning_validators").cast("string"), F.lit(" warnings"),
+        F.format_string(
+            "Executed %d validators: %d passed, %d failed, %d warnings",
+            "total_validators", "passed_validators", "failed_validators", "warning_validators",
         ).alias("message"),
-        at.alias("created_at"),
     )
-    return single.unionByName(overall)
+    rows = F.concat("entries", F.array(overall))
+    return summary.select("dataset_name", F.inline(rows)).select("dataset_name", *LOG_FIELDS, at.alias("created_at"))
 
 
 def revalidation_rows(results: DataFrame) -> DataFrame:
     """Log row of a repeated validation: passed only if every validator passed."""
-    failed = F.filter("messages", lambda m: m.isNotNull())
-    summary = validation_summary(results)
-    messages = results.groupBy("dataset_name").agg(
-        # One message per validator: as many as there are checks.
-        F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("message")))).alias("messages")
+    failures = F.collect_list(F.when(~F.col("passed"), F.col("message")))
+    summary = aggregate_results(
+        results, ["dataset_name"], "position", F.array_sort(failures).alias("errors")
     )
-    return summary.join(messages, "dataset_name").select(
+    return summary.select(
         "dataset_name",
         F.when(F.col("overall_passed"), "passed").otherwise("failed").alias("status"),
         "total_records",
         F.col("failed_validators").alias("failed_records"),
         (F.col("passed_validators") / F.col("total_validators") * 100.0).alias("pass_rate"),
-        F.concat(
-            F.lit("Validation re-executed: "), F.col("passed_validators").cast("string"), F.lit("/"),
-            F.col("total_validators").cast("string"), F.lit(" validators passed"),
+        F.format_string(
+            "Validation re-executed: %d/%d validators passed", "passed_validators", "total_validators"
         ).alias("message"),
-        failed.alias("errors"),
+        "errors",
     )

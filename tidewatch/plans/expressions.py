@@ -237,18 +237,22 @@ def text_ops(t):
     )
 
 
-@query(
-    "make_batch_id",
-    """SELECT o_orderkey, true AS well_formed, true AS names_file FROM @orders""",
-)
+@query("make_batch_id", "SELECT o_orderkey, true AS well_formed FROM @orders")
 def make_batch_id(t):
     made = scalars.batch_id(F.col("o_orderdate"))
+    return t.orders.select(
+        "o_orderkey", made.rlike("^batch_[0-9]{8}_[0-9]{6}_[0-9a-f]{8}$").alias("well_formed")
+    )
+
+
+@query("make_object_name", "SELECT o_orderkey, true AS well_formed, true AS keeps_name FROM @orders")
+def make_object_name(t):
     name = F.concat(F.col("o_orderkey").cast("string"), F.lit(".csv"))
     path = scalars.object_name("raw/", F.col("o_orderdate"), name)
     return t.orders.select(
         "o_orderkey",
-        made.rlike("^batch_[0-9]{8}_[0-9]{6}_[0-9a-f]{8}$").alias("well_formed"),
-        (path.rlike("^raw/[0-9]{8}_[0-9]{6}_[0-9a-f]{32}_") & F.endswith(path, name)).alias("names_file"),
+        path.rlike("^raw/[0-9]{8}_[0-9]{6}_[0-9a-f]{32}_").alias("well_formed"),
+        F.endswith(path, name).alias("keeps_name"),
     )
 
 

@@ -143,6 +143,12 @@ def lookup_by_id(t):
     return flt.apply_filters(t.audit_logs, ("id", "eq", 1234)).select(*AUDIT)
 
 
+@query("lookup", "SELECT dag_id, dag_run_id, state, start_date FROM @dag_runs WHERE dag_run_id = 'run_99'")
+def lookup(t):
+    rows = flt.apply_filters(t.dag_runs, ("dag_run_id", "eq", "run_99"))
+    return rows.select("dag_id", "dag_run_id", "state", "start_date")
+
+
 @query("lookup_by_batch", "SELECT * FROM @load_history WHERE batch_id = 'batch_77'")
 def lookup_by_batch(t):
     return flt.apply_filters(t.load_history, ("batch_id", "eq", "batch_77"))
@@ -530,6 +536,16 @@ def latest_load_per_dataset(t):
     return latest_per_key(rows, ["dataset_name"], F.col("started_at").desc(), F.col("batch_id").desc())
 
 
+@query(
+    "latest_by_key",
+    _latest("dataset_name, validation_type, id, status", "@audit_logs", "dataset_name, validation_type", "created_at DESC, id DESC"),
+)
+def latest_by_key(t):
+    rows = t.audit_logs.select("dataset_name", "validation_type", "id", "status", "created_at")
+    newest = (F.col("created_at").desc(), F.col("id").desc())
+    return latest_per_key(rows, ["dataset_name", "validation_type"], *newest).drop("created_at")
+
+
 @query(
     "last_n_per_key",
     _latest("dag_id, dag_run_id, state, rn AS row_number", "@dag_runs", "dag_id", "execution_date DESC, dag_run_id DESC", 5),

@@ -80,6 +80,15 @@ def most_retried(t):
     return retries.most_retried(_history(t))
 
 
+@query(
+    "topk_retried",
+    """SELECT dataset_name, validation_type, count(*) AS retry_count FROM @retries AS r JOIN @audit_logs AS l
+      ON r.validation_log_id = l.id GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 3""",
+)
+def topk_retried(t):
+    return retries.most_retried(retries.retry_history(t.retries, t.audit_logs), top=3)
+
+
 @query(
     "failure_insights",
     f"""SELECT id, dataset_name, validation_type, status FROM @audit_logs WHERE status IN ('failed', 'error')
