@@ -54,7 +54,20 @@ def connect(folder: str):
     return con
 
 
-def compare(spark, con, folder, plan, sql):
+def same(a, b, tolerance):
+    """Rows agree; with a tolerance, results rounded to 4 decimals may differ in the last one.
+
+    The engines round ties differently: 57.56875 becomes 57.5687 or 57.5688.
+    """
+    if a == b:
+        return True
+    return all(
+        x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=0, abs_tol=tolerance))
+        for x, y in zip(a, b)
+    )
+
+
+def compare(spark, con, folder, plan, sql, tolerance=0.0):
     """None if both sides agree, else a description of the difference."""
     df = plan(spark, folder)
     left = table(df.columns, [tuple(r) for r in df.collect()])
@@ -72,7 +85,7 @@ def compare(spark, con, folder, plan, sql):
     if len(left[1]) != len(right[1]):
         return f"{len(left[1])} rows against {len(right[1])}; {left[1][:2]} / {right[1][:2]}"
     for a, b in zip(left[1], right[1]):
-        if a != b:
+        if not same(a, b, tolerance):
             return f"{left[0]}: {a} against {b}"
     return None if left[1] else "empty on both sides"
 

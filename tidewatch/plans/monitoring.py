@@ -464,7 +464,7 @@ def freshness_summary(t):
 @query(
     "latency_stats",
     """SELECT round(avg(ingestion_latency_seconds), 4) AS avg_ingestion, round(avg(validation_latency_seconds), 4) AS avg_validation,
-      max(ingestion_latency_seconds) AS max_ingestion, max(validation_latency_seconds) AS max_validation FROM @freshness""",
+      round(max(ingestion_latency_seconds), 4) AS max_ingestion, round(max(validation_latency_seconds), 4) AS max_validation FROM @freshness""",
 )
 def latency_stats(t):
     return tidy(rollups.latency_stats(t.freshness))
