@@ -40,22 +40,23 @@ def with_slices(
     n = slices or slice_count(df)
     points = [i / n for i in range(1, n)]
     quantiles = df.select(order.alias("_o"), tie.alias("_t")).agg(
-        F.percentile_approx("_o", points, 50 * n).alias("o"),
-        F.percentile_approx("_t", points, 50 * n).alias("t"),
+        F.struct(
+            F.percentile_approx("_o", points, 50 * n).alias("o"),
+            F.percentile_approx("_t", points, 50 * n).alias("t"),
+        )
     )
     bounded = df.select(
         "*",
         F.struct(*[named(k) for k in keys]).alias(KEY),
         order.alias("_o"),
         tie.alias("_t"),
-        quantiles.select("o").scalar().alias("_order_bounds"),
-        quantiles.select("t").scalar().alias("_tie_bounds"),
+        quantiles.scalar().alias("_bounds"),
     )
-    below = F.size(F.filter("_order_bounds", lambda b: b < F.col("_o")))
-    within = F.size(F.filter("_tie_bounds", lambda b: b < F.col("_t")))
-    on_bound = F.array_contains("_order_bounds", F.col("_o"))
+    below = F.size(F.filter("_bounds.o", lambda b: b < F.col("_o")))
+    within = F.size(F.filter("_bounds.t", lambda b: b < F.col("_t")))
+    on_bound = F.array_contains("_bounds.o", F.col("_o"))
     number = below * (2 * (n + 1)) + F.when(on_bound, within + (n + 1)).otherwise(0)
-    return bounded.withColumn(SLICE, number).drop("_order_bounds", "_tie_bounds")
+    return bounded.withColumn(SLICE, number).drop("_bounds")
 
 
 def ordered_row_number(
@@ -82,7 +83,7 @@ def ordered_changes(
     """Rows whose ``value`` differs from the previous row of the key, numbered per key.
 
     Adds ``version_number`` (1 for the first row of a key, then +1 per change)
-    and ``previous_value``. Unchanged rows are dropped.
+    and ``previous_value``. Unchanged rows are dropped. ``value`` must not be NULL.
     """
     sliced = with_slices(df, keys, order, tie)
     inside = Window.partitionBy(KEY, SLICE).orderBy("_o", "_t")

@@ -54,10 +54,10 @@ def register_schemas(observations: DataFrame) -> DataFrame:
     schemas = normalize_schema(observations, ["dataset_name", "observed_at"]).withColumn(
         "version_hash", schema_hash(F.col("columns"))
     )
-    # Only the hash travels through the ordering; at most one schema per time and dataset.
+    # A dataset has one schema per time, so the time alone orders its observations.
+    no_tie = F.lit(0).cast("bigint")
     versions = ordered_changes(
-        schemas, ["dataset_name"], micros(F.col("observed_at")),
-        F.xxhash64("dataset_name", "version_hash"), "version_hash",
+        schemas, ["dataset_name"], micros(F.col("observed_at")), no_tie, "version_hash"
     )
     return versions.select(
         "dataset_name", "version_number", "version_hash",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.functions.results import error_list, result_rows, result_struct
 from tidewatch.functions.scalars import named, safe_rate
+from tidewatch.functions.skew import join_per_key
 
 SAMPLES = 100
 
@@ -55,13 +56,10 @@ def detect_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def dup_pk_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows whose key occurs more than once; rows with a NULL key part are left out.
-
-    The counts are joined back instead of using a window: a hot key then is a
-    skewed join side, which AQE splits, not one sort in one task.
-    """
+    """All rows whose key occurs more than once; rows with a NULL key part are left out."""
     counts = duplicate_keys(df, keys, None).withColumnRenamed("occurrence_count", "_pk_occurrence_count")
-    return df.join(counts, list(keys), "inner").select(*df.columns, "_pk_occurrence_count")
+    rows = join_per_key(df, counts, list(keys), "_pk_occurrence_count")
+    return rows.select(*[named(c) for c in df.columns], "_pk_occurrence_count")
 
 
 def fk_orphans(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:

@@ -15,6 +15,7 @@ from tidewatch.functions.ordering import latest_per_key
 from tidewatch.functions.scalars import (
     fixed_text, hours_between, merge_metadata, named, reason_is_retryable, record_hash, safe_rate, seconds_between,
 )
+from tidewatch.functions.skew import join_per_key
 
 BATCH = ["batch_id", "dataset_name"]
 
@@ -74,14 +75,16 @@ def load_outcomes(incoming: DataFrame, loaded: DataFrame, index: str) -> DataFra
     came earlier in the same load. The first index per hash is aggregated on
     the map side, so a record copied a million times is one row in the shuffle.
     """
-    first = incoming.groupBy("record_hash").agg(F.min(named(index)).alias("_first"))
+    first = incoming.groupBy("record_hash").agg(
+        F.min(named(index)).alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
     stored = loaded.select("record_hash").distinct().withColumn("_stored", F.lit(True))
     known = first.join(stored, "record_hash", "left")
     fresh = F.col("_stored").isNull() & (named(index) == F.col("_first"))
     return (
-        incoming.join(known, "record_hash")
+        join_per_key(incoming, known, ["record_hash"], "_n")
         .withColumn("outcome", F.when(fresh, "loaded").otherwise("duplicate"))
-        .drop("_first", "_stored")
+        .drop("_first", "_n", "_stored")
     )
 
 
@@ -89,10 +92,10 @@ def load_dedup(incoming: DataFrame, loaded: DataFrame, index: str) -> DataFrame:
     """New records only: the first of each hash that is not stored yet.
 
     Copies are reduced to one per task before the shuffle; the anti join then
-    reuses the same partitioning.
+    reuses the same partitioning, against distinct stored hashes.
     """
     single = latest_per_key(incoming, ["record_hash"], named(index).asc())
-    return single.join(loaded.select("record_hash"), "record_hash", "left_anti")
+    return single.join(loaded.select("record_hash").distinct(), "record_hash", "left_anti")
 
 
 def load_summary(outcomes: DataFrame, keys: Sequence[str], skip_duplicates: bool = True) -> DataFrame:

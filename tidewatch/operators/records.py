@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.scalars import named
+from tidewatch.functions.skew import join_per_key
 
 SHOWN = 10
 VALUE_LENGTH = 50
@@ -55,15 +56,14 @@ def record_duplicates(
 ) -> DataFrame:
     """Second and later occurrences of a unique key; an absent key part counts as NULL.
 
-    The first index per key is aggregated and joined back, so a hot key never
-    needs one sorted group.
+    The first index per key is aggregated and joined back: no group is sorted.
     """
     rows = df.select(named(index).alias("record_index"), F.struct(*_key_fields(payload, keys)).alias("_key"))
     first = rows.groupBy("_key").agg(
         F.min("record_index").alias("_first"), F.count(F.lit(1)).alias("_n")
     ).filter(F.col("_n") > 1)
     found = (
-        rows.join(first, "_key")
+        join_per_key(rows, first, ["_key"], "_n")
         .filter(F.col("record_index") > F.col("_first"))
         .select("record_index", "_key.*")
     )
@@ -110,9 +110,13 @@ def existing_duplicates(
     incoming: DataFrame, stored: DataFrame, payload: str, keys: Sequence[str], index: str
 ) -> DataFrame:
     """Incoming records whose unique key is already stored."""
-    rows = incoming.select(named(index).alias("record_index"), F.struct(*_key_fields(payload, keys)).alias("_key"))
+    rows = incoming.select(
+        named(index).alias("record_index"), F.struct(*_key_fields(payload, keys)).alias("_key")
+    )
     known = stored.select(F.struct(*_key_fields(payload, keys)).alias("_key")).distinct()
-    return rows.join(known, "_key", "left_semi").select("record_index", "_key.*")
+    # Keys are counted and compared first, then joined back to the records.
+    present = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).join(known, "_key", "left_semi")
+    return join_per_key(rows, present, ["_key"], "_n").select("record_index", "_key.*")
 
 
 def row_count_check(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -34,7 +34,8 @@ def most_retried(history: DataFrame, top: int | None = 10) -> DataFrame:
 
 def failures_with_retries(logs: DataFrame, retries: DataFrame) -> DataFrame:
     """Failed validations that were retried, each once."""
-    tried = retries.select(F.col("validation_log_id").alias("id"))
+    # One row per validation before the shuffle, however often it was retried.
+    tried = retries.select(F.col("validation_log_id").alias("id")).distinct()
     return failed_validations(logs).join(tried, "id", "left_semi")
 
 
@@ -47,7 +48,8 @@ def retry_timeline(retries: DataFrame) -> DataFrame:
 
 def enqueue(logs: DataFrame, retries: DataFrame, max_retries: int = 3) -> DataFrame:
     """New pending entries for failed validations without an open retry."""
-    open_ = retries.filter(F.col("retry_status").isin(*OPEN)).select(F.col("validation_log_id").alias("id"))
+    open_ = retries.filter(F.col("retry_status").isin(*OPEN))
+    open_ = open_.select(F.col("validation_log_id").alias("id")).distinct()
     return failed_validations(logs).join(open_, "id", "left_anti").select(
         F.col("id").alias("validation_log_id"),
         F.lit("pending").alias("retry_status"),

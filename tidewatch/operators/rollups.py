@@ -109,11 +109,15 @@ def histogram_stats(
     )
 
 
-def counter_totals(df: DataFrame, name: str, tags: str, value: str) -> DataFrame:
-    """Sum per counter, keyed by the name and its sorted tags."""
+def counter_totals(
+    df: DataFrame, name: str, tags: str, value: str, updated_at: str | None = None
+) -> DataFrame:
+    """Sum per counter, keyed by the name and its sorted tags, and its last update."""
+    totals = [F.sum(named(value)).alias("total")]
+    if updated_at:
+        totals.append(F.max(named(updated_at)).alias("last_updated"))
     return (
-        df.withColumn("counter_key", tag_key(named(name), named(tags)))
-        .groupBy("counter_key").agg(F.sum(named(value)).alias("total"))
+        df.withColumn("counter_key", tag_key(named(name), named(tags))).groupBy("counter_key").agg(*totals)
     )
 
 
@@ -198,6 +202,18 @@ def pipeline_metric_rows(values: DataFrame, names: list[str], keys: list[str]) -
     return values.select(*keys, F.inline(rows)).withColumn("unit", metric_unit(F.col("metric_name")))
 
 
+def quality_metric_rows(scores: DataFrame, score: str, categories: list[str], keys: list[str]) -> DataFrame:
+    """The overall quality score of a dataset and one row per category score."""
+    names = {score: "DataQualityScore", **{c: f"QualityScore_{c}" for c in categories}}
+    rows = F.array(
+        *[
+            F.struct(F.lit(label).alias("metric_name"), named(c).cast("double").alias("metric_value"))
+            for c, label in names.items()
+        ]
+    )
+    return scores.select(*keys, F.inline(rows)).withColumn("unit", F.lit("None"))
+
+
 # --- validations and audits -------------------------------------------------------
 
 

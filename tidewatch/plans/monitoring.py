@@ -316,7 +316,7 @@ def histogram_stats(t):
 @query(
     "counter_totals",
     """SELECT metric_name || '{' || CASE WHEN dataset_name IS NULL THEN '' ELSE 'dataset=' || dataset_name || ',' END
-        || 'type=' || metric_type || '}' AS counter_key, CAST(count(*) AS BIGINT) AS total
+        || 'type=' || metric_type || '}' AS counter_key, CAST(count(*) AS BIGINT) AS total, max(timestamp) AS last_updated
       FROM @metrics GROUP BY 1""",
 )
 def counter_totals(t):
@@ -324,8 +324,8 @@ def counter_totals(t):
         F.create_map(F.lit("type"), F.col("metric_type"), F.lit("dataset"), F.col("dataset_name")),
         lambda _, v: v.isNotNull(),
     )
-    counted = t.metrics.select("metric_name", tags.alias("tags"), F.lit(1).alias("increment"))
-    return rollups.counter_totals(counted, "metric_name", "tags", "increment")
+    counted = t.metrics.select("metric_name", tags.alias("tags"), F.lit(1).alias("increment"), "timestamp")
+    return rollups.counter_totals(counted, "metric_name", "tags", "increment", "timestamp")
 
 
 NORMAL_PATH = "regexp_replace(path, '/[0-9]+', '/:id', 'g')"

@@ -133,6 +133,31 @@ def quality_score(t):
     return profile.quality_score(profile.profile_dataset(t.dirty_orders, "orders", DIRTY_COLUMNS), summary)
 
 
+PARTS = f"""WITH p AS ({DATASET_PROFILE}) SELECT dataset_name, avg(1e2 - null_percentage) AS completeness,
+  avg(unique_count * 1e2 / row_count) AS uniqueness FROM p GROUP BY 1"""
+
+
+@query(
+    "quality_metric_rows",
+    f"""WITH s AS ({PARTS})
+      SELECT dataset_name, 'DataQualityScore' AS metric_name, round((completeness + uniqueness) / 2, 4) AS metric_value, 'None' AS unit FROM s
+      UNION ALL SELECT dataset_name, 'QualityScore_completeness', round(completeness, 4), 'None' FROM s
+      UNION ALL SELECT dataset_name, 'QualityScore_uniqueness', round(uniqueness, 4), 'None' FROM s""",
+)
+def quality_metric_rows(t):
+    scores = (
+        profile.profile_dataset(t.dirty_orders, "orders", DIRTY_COLUMNS).groupBy("dataset_name")
+        .agg(
+            F.avg(100.0 - F.col("null_percentage")).alias("completeness"),
+            F.avg(F.col("unique_count") * 100.0 / F.col("row_count")).alias("uniqueness"),
+        )
+        .withColumn("score", (F.col("completeness") + F.col("uniqueness")) / 2)
+    )
+    return tidy(
+        rollups.quality_metric_rows(scores, "score", ["completeness", "uniqueness"], ["dataset_name"])
+    )
+
+
 PIPELINE_CHECKS = """SELECT 'pipeline_' || CAST(id % 12 AS VARCHAR) AS pipeline_name, status FROM @audit_logs"""
 HEALTH = f"""WITH v AS (SELECT pipeline_name, count(*) AS total_validations, count(*) FILTER (WHERE status = 'passed') AS ok
     FROM ({PIPELINE_CHECKS}) GROUP BY 1),
