@@ -4,24 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidewatch.functions.scalars import named
+
 HOT_KEYS = 10_000
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """Inner join of ``rows`` with ``per_key``, which has one row per key and its row ``count``.
+    """Inner join of ``rows`` with ``per_key``: one row per key, with the ``count`` of its rows.
 
     AQE only splits a skewed side if the other side comes straight from a
     shuffle, not from an aggregation like ``per_key``. So hot keys are treated
-    apart: fewer than 10 000 keys can hold more than a ten-thousandth of the
-    counted rows each, so their rows in ``per_key`` are broadcast and rows with
-    a hot key are never shuffled. All other rows take an ordinary join.
+    apart: fewer than 10 000 keys can hold more than a ten-thousandth of all
+    rows each, so their entries are broadcast and rows with a hot key are never
+    shuffled. All other rows take an ordinary join. Both branches share the
+    broadcast.
     """
-    total = per_key.agg(F.sum(count)).scalar()
-    marked = per_key.withColumn("_total", total).withColumn(
-        "_hot", F.col(count) * HOT_KEYS > F.col("_total")
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    marked = per_key.withColumn("_total", total)
+    is_hot = F.col(count) * HOT_KEYS > F.col("_total")
+    values = [c for c in per_key.columns if c not in keys]
+    hot = marked.filter(is_hot).select(
+        *[named(k) for k in keys], F.struct(*[named(v) for v in values]).alias("_hot")
     )
-    hot = marked.filter("_hot").drop("_total", "_hot")
-    rest = marked.filter("NOT _hot").drop("_total", "_hot")
-    by_broadcast = rows.join(F.broadcast(hot), keys)
-    by_shuffle = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    columns = [named(c) for c in rows.columns]
+    by_broadcast = rows.join(F.broadcast(hot), keys).select(*columns, "_hot.*")
+    others = rows.join(F.broadcast(hot), keys, "left").filter(F.col("_hot").isNull()).select(*columns)
+    by_shuffle = others.join(marked.filter(~is_hot).drop("_total"), keys)
     return by_broadcast.unionByName(by_shuffle)
