@@ -131,3 +131,23 @@ def test_stream_drops_points_beyond_the_retention(spark):
     series = live.current_state(spark, sink, ["hour", "k"], ["count"])
     assert {str(r.hour): r["count"] for r in series.collect()} == {"2024-01-01 00:00:00": 1, "2024-01-05 00:00:00": 2}
     assert [str(r.hour) for r in live.retained(series, "hour").collect()] == ["2024-01-05 00:00:00"]
+
+
+def test_failed_profiles_leave_a_row(spark):
+    path = work_path(spark, "profiles")
+    done = F.lit("2024-01-01").cast("timestamp_ntz")
+    writers.append(writers.failed_profile_row(spark, "d", "no such file", "ann", done), path)
+    (row,) = readers.read_table(spark, path).collect()
+    assert (row.status, row.error_message, row.profiled_by) == ("failed", "no such file", "ann")
+
+
+def test_unreachable_shared_folder_is_refused(spark, monkeypatch):
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared_folder(Cluster)

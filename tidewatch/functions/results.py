@@ -58,11 +58,6 @@ def result_rows(measured: DataFrame, *structs: Column) -> DataFrame:
     return measured.select(F.inline(F.array(*structs)))
 
 
-def result_row(df: DataFrame, *args, **kwargs) -> DataFrame:
-    """One verdict per row of measurements; see :func:`result_struct`."""
-    return df.select(result_struct(*args, **kwargs).alias("r")).select("r.*")
-
-
 class Check(NamedTuple):
     """A validator in three parts, so that several validators share one scan.
 

@@ -38,12 +38,6 @@ def row_checksum(columns: Sequence[str], algorithm: str = "md5") -> Column:
     return digest(text, algorithm)
 
 
-def with_row_checksum(
-    df: DataFrame, columns: Sequence[str] | None = None, algorithm: str = "md5"
-) -> DataFrame:
-    return df.withColumn("_row_checksum", row_checksum(columns or df.columns, algorithm))
-
-
 def duplicate_groups(
     df: DataFrame, columns: Sequence[str] | None = None, algorithm: str = "md5"
 ) -> DataFrame:

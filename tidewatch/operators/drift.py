@@ -19,12 +19,12 @@ def _quoted(text: Column) -> Column:
 def normalize_schema(columns: DataFrame, keys: list[str]) -> DataFrame:
     """One row per schema: its columns sorted by name, with alphabetical positions.
 
-    A schema has as many entries as a table has columns, so the list is small.
+    A schema has as many distinct entries as a table has columns, so the set is small.
     """
     entry = F.struct(
         F.col("column_name").alias("name"), F.col("data_type"), F.col("nullable")
     )
-    return columns.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("columns"))
+    return columns.groupBy(*keys).agg(F.array_sort(F.collect_set(entry)).alias("columns"))
 
 
 def schema_json(columns: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.functions import fixed
 from tidewatch.functions.ordering import latest_per_key
 from tidewatch.functions.scalars import (
-    fixed_text, hours_between, merge_metadata, named, reason_is_retryable, record_hash, safe_rate, seconds_between,
+    fixed_text, hours_between, named, reason_is_retryable, safe_rate, seconds_between,
 )
 from tidewatch.functions.skew import join_per_key
 
@@ -64,10 +64,6 @@ def processed_rows(
     )
 
 
-def with_record_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumn("record_hash", record_hash(list(columns)))
-
-
 def load_outcomes(incoming: DataFrame, loaded: DataFrame, index: str) -> DataFrame:
     """Marks each incoming record ``loaded`` or ``duplicate``.
 
@@ -190,10 +186,6 @@ def failed_load_rows(lifecycle: DataFrame) -> DataFrame:
     )
 
 
-def with_merged_metadata(df: DataFrame, old: str, new: str, name: str = "metadata") -> DataFrame:
-    return df.withColumn(name, merge_metadata(named(old), named(new)))
-
-
 # --- verification --------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType
@@ -78,18 +78,16 @@ def null_plan(
         ),
     )
 
-    def over(what: str, limit: Column, chosen: Column) -> Column:
+    def over(what: str, limit: Callable[[Column], Column], chosen: Column) -> Column:
+        """Errors of the chosen entries whose share exceeds the limit of their column."""
         return F.transform(
-            F.filter(chosen, lambda e: e["share"] > limit_of(e, limit)),
+            F.filter(chosen, lambda e: e["share"] > limit(e["name"])),
             lambda e: F.concat(
                 F.lit("Column '"), e["name"], F.lit(f"' exceeds {what}: "), e["share"].cast("string"),
-                F.lit("% > "), limit_of(e, limit).cast("string"), F.lit("%"),
+                F.lit("% > "), limit(e["name"]).cast("string"), F.lit("%"),
             ),
         )
 
-    def limit_of(entry: Column, limit: Column | dict[str, float]) -> Column:
-        return limit if isinstance(limit, Column) else lookup(entry["name"], limit, F.lit(None).cast("double"))
-
     def ordered(names: Iterable[str]) -> Column:
         """The entries of the given columns, in the given order."""
         return F.flatten(
@@ -112,9 +110,11 @@ def null_plan(
         )
     if column_thresholds:
         limits = {c: float(x) for c, x in column_thresholds.items()}
-        parts.append(over("null threshold", limits, ordered(limits)))
+        no_limit = F.lit(None).cast("double")
+        parts.append(over("null threshold", lambda name: lookup(name, limits, no_limit), ordered(limits)))
     if max_null_percentage > 0:
-        parts.append(over("global null threshold", F.lit(float(max_null_percentage)), F.col("_null_entries")))
+        limit = F.lit(float(max_null_percentage))
+        parts.append(over("global null threshold", lambda _: limit, F.col("_null_entries")))
     empty_text = F.concat(
         F.lit("Found "), F.size(empty).cast("string"),
         F.lit(" completely empty column(s): "), F.array_join(empty, ", "),
@@ -143,7 +143,10 @@ def null_plan(
     return Check(
         measures=[_null_cells(present).alias("_nulls")],
         steps=[
-            {"_null_entries": entries, "_null_cells": F.aggregate("_nulls", F.lit(0).cast("bigint"), lambda a, n: a + n)},
+            {
+                "_null_entries": entries,
+                "_null_cells": F.aggregate("_nulls", F.lit(0).cast("bigint"), lambda a, n: a + n),
+            },
             {"_empty_columns": empty_columns, "_null_share": _percent(cells, total * len(wanted))},
             {"_null_errors": F.concat(*parts)},
         ],

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import freshness, loads, profile, rollups, runs, validators
+from tidewatch.operators import filters, freshness, loads, profile, rollups, runs, validators
 from tidewatch.plans.catalog import query
 from tidewatch.plans.common import EVENTS_END, ORDERS_END, at, tidy
 from tidewatch.plans.profiling import DATASET_PROFILE, DIRTY_COLUMNS
@@ -132,6 +132,15 @@ def scan_json_log(t):
     return readers.read_json_log(t.spark, path)
 
 
+@query(
+    "scan_json_log_tail",
+    """SELECT timestamp, level, logger, message FROM @logs WHERE conv_id % 10 <> 0
+      ORDER BY timestamp DESC, logger DESC, message DESC LIMIT 100""",
+)
+def scan_json_log_tail(t):
+    return filters.recent(scan_json_log(t), "timestamp", ["logger", "message"], 100)
+
+
 @query(
     "scan_log_bytes",
     "SELECT true AS has_files, count(*) AS lines FROM @logs",
