@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_local_folder: str | None = None
+_written: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app: str = "tidewatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,22 +31,69 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def _machine_local(folder: str) -> bool:
+    """A path below a temporary folder of one machine."""
+    path = folder.removeprefix("file:").replace("//", "/").rstrip("/") + "/"
+    return folder.startswith(("/", "file:")) and path.startswith(("/tmp/", "/var/tmp/", tempfile.gettempdir() + "/"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting may fall back to a temporary
-    folder; on a cluster a machine-local folder would lose data with its host.
+    Only a session whose executors run on this machine may use a temporary
+    folder; on a cluster a machine-local folder would lose data with its host,
+    so such a setting is refused there.
     """
+    global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if folder:
+        if not local and _machine_local(folder):
+            raise ValueError(f"spark.checkpoint.dir is {folder}, a temporary folder of one machine")
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+    if local:
+        # The setting cannot be changed in a running session, so the path is kept here.
+        _local_folder = _local_folder or tempfile.mkdtemp(prefix="tidewatch-")
+        return _local_folder
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder for one written table."""
-    return f"{shared_folder(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder for one written table, removed when Python ends."""
+    path = f"{shared_folder(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_release_all)
+    _written.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and not again when an executor is lost."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of ``written`` tables that nothing reads any more."""
+    for table in tables:
+        files = table.inputFiles()
+        for spark, path in [x for x in _written if files and x[1].rsplit("/", 1)[1] in files[0]]:
+            _remove(spark, path)
+            _written.remove((spark, path))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _release_all() -> None:
+    """At the end of the process, while its session still lives."""
+    for spark, path in _written:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _remove(spark, path)
+        except Exception:  # noqa: BLE001  the session or its folder is already gone
+            continue
+    _written.clear()
