@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewatch.llm.bpe import encode
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.simhash import near_duplicates
 
@@ -61,3 +63,11 @@ FROM w LEFT JOIN n_places p USING (doc_id) LEFT JOIN ids i USING (doc_id)
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
