@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.llm.bpe import encode
 from tidewatch.llm.decontamination import decontaminate
+from tidewatch.llm.licenses import scan
+from tidewatch.llm.quality_rules import STATISTICS, judge
 from tidewatch.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +73,19 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge(table(spark, folder, "documents"))
+    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select("doc_id", *STATISTICS, base_failed.alias("base_failed"), "kept")
+
+
+@query
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
