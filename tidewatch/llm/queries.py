@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewatch.llm import quality_model, toxicity
 from tidewatch.llm.bpe import encode
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.licenses import scan
@@ -89,3 +90,16 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+@query
+def op8_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return quality_model.score(documents, quality_model.train(documents, table(spark, folder, "labels")))
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = toxicity.score(documents, toxicity.learn(documents, table(spark, folder, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("terms").cast("long").alias("n_terms"))
