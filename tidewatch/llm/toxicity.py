@@ -16,9 +16,9 @@ from tidewatch.llm.labels import held_out, training_rows
 #: Labelled rows the lexicon is learned from, at most.
 TRAINING_ROWS = 20_000
 #: A learned term stands in so many toxic training texts, and so many times as often as in others.
-LEAST_TEXTS, LEAST_RATIO = 4, 20.0
-#: A stem is a word beginning with so many different endings.
-LEAST_ENDINGS = 5
+LEAST_TEXTS, LEAST_RATIO = 6, 20.0
+#: A stem is a word beginning with so many different endings, and stands out further.
+LEAST_ENDINGS, STEM_RATIO = 5, 100.0
 #: A term that more ordinary words are near to is not looked for with misspellings.
 MOST_NEIGHBOURS = 2
 #: Abusive words that need no labels.
@@ -197,15 +197,18 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: i
     n_toxic, n_clean = F.sum(F.col("label")).alias("n_toxic"), F.sum(1 - F.col("label")).alias("n_clean")
     rate_toxic, rate_clean = F.col("n_toxic") / max(toxic, 1), (F.col("n_clean") + 0.5) / (clean + 1)
     marks = (F.col("n_toxic") >= LEAST_TEXTS) & (rate_toxic >= LEAST_RATIO * rate_clean)
+    marks_stem = marks & (rate_toxic >= STEM_RATIO * rate_clean)
     weight = F.col("n_toxic") / (F.col("n_toxic") + F.col("n_clean") + 0.3)
     counted = words.groupBy("word").agg(n_toxic, n_clean)
     begins = words.withColumn("stem", F.explode(F.array(*[F.substring("word", 1, n) for n in (4, 5, 6)]))).filter(F.length("word") > F.length("stem"))
     per_text = begins.select("stem", "label", "of").distinct().groupBy("stem").agg(n_toxic, n_clean)
     endings = begins.filter("label = 1").groupBy("stem").agg(F.count_distinct("word").alias("endings")).filter(F.col("endings") >= LEAST_ENDINGS)
-    stems = [Term(r[0], r[1], True) for r in per_text.filter(marks).join(endings, "stem").select("stem", weight).collect()]
-    # The shortest stem stands for longer ones.
-    texts_of = {s.text for s in stems}
-    stems = [s for s in stems if not any(s.text[:n] in texts_of for n in range(4, len(s.text)))]
+    found = per_text.filter(marks_stem).join(endings, "stem").select("stem", weight, "n_toxic").collect()
+    # A longer stem that stands in as good as all the texts is clearer; else the shortest stands for longer ones.
+    texts_of = {r[0]: r[2] for r in found}
+    vague = {s[:n] for s, count in texts_of.items() for n in range(4, len(s)) if count >= 0.95 * texts_of.get(s[:n], math.inf)}
+    clear = {s for s in texts_of if s not in vague}
+    stems = [Term(r[0], r[1], True) for r in found if r[0] in clear and not any(r[0][:n] in clear for n in range(4, len(r[0])))]
     terms = {r[0]: Term(r[0], r[1], False) for r in counted.filter(marks & (F.length("word") >= 3)).select("word", weight).collect()}
     common = {r[0] for r in counted.filter(F.col("word").isin(*lexicon) & (F.col("n_clean") > 0) & ~marks).select("word").collect()} if lexicon else set()
     for word in lexicon:
