@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.llm import quality_model, toxicity
 from tidewatch.llm.bpe import encode
+from tidewatch.llm.conversations import format_chats
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.licenses import scan
 from tidewatch.llm.quality_rules import STATISTICS, judge
@@ -103,3 +104,22 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     found = toxicity.score(documents, toxicity.learn(documents, table(spark, folder, "labels")))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("terms").cast("long").alias("n_terms"))
+
+
+@query
+def op7_chats(spark: SparkSession, folder: str) -> DataFrame:
+    return format_chats(table(spark, folder, "conversations"))
+
+
+ORACLES["op7_chats"] = r"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+    FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+said AS (SELECT conv_id, p, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s FROM t),
+pre AS (SELECT conv_id, p, string_agg(s, '') OVER (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS upto, max(p) OVER (PARTITION BY conv_id) AS n FROM said),
+whole AS (SELECT n, upto, min(conv_id) AS conv_id, count(*) AS n_copies FROM pre WHERE p = n GROUP BY n, upto),
+kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM pre q WHERE q.p = w.n AND q.p < q.n AND q.upto = w.upto))
+SELECT k.conv_id, CAST((p - 1) // 1024 AS BIGINT) AS part, CAST(n AS BIGINT) AS n_turns, n_copies, string_agg(s, '' ORDER BY p) AS text
+FROM kept k JOIN said USING (conv_id) GROUP BY k.conv_id, (p - 1) // 1024, n, n_copies
+"""
