@@ -11,6 +11,7 @@ from tidewatch.llm import quality_model, toxicity
 from tidewatch.llm.bpe import encode
 from tidewatch.llm.conversations import format_chats
 from tidewatch.llm.decontamination import decontaminate
+from tidewatch.llm.html_text import extract
 from tidewatch.llm.licenses import scan
 from tidewatch.llm.quality_rules import STATISTICS, judge
 from tidewatch.llm.simhash import near_duplicates
@@ -123,3 +124,9 @@ kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM pre q WHERE q.p =
 SELECT k.conv_id, CAST((p - 1) // 1024 AS BIGINT) AS part, CAST(n AS BIGINT) AS n_turns, n_copies, string_agg(s, '' ORDER BY p) AS text
 FROM kept k JOIN said USING (conv_id) GROUP BY k.conv_id, (p - 1) // 1024, n, n_copies
 """
+
+
+@query
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
