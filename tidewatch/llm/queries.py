@@ -13,6 +13,7 @@ from tidewatch.llm.conversations import format_chats
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.html_text import extract
 from tidewatch.llm.licenses import scan
+from tidewatch.llm.passages import repeated_passages
 from tidewatch.llm.quality_rules import STATISTICS, judge
 from tidewatch.llm.simhash import near_duplicates
 
@@ -130,3 +131,10 @@ FROM kept k JOIN said USING (conv_id) GROUP BY k.conv_id, (p - 1) // 1024, n, n_
 def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
     found = extract(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_passages(table(spark, folder, "documents"))
+    each = found.select("doc_id", "n_left", F.explode("passages").alias("passage"))
+    return each.select("doc_id", "passage.first_word", "passage.n_words", F.col("passage.other_id").alias("first_doc_id"), "passage.similarity", "n_left")
