@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -253,3 +254,12 @@ def score(documents: DataFrame, automaton: Automaton, threshold: float = 0.7) ->
         apply, f"doc_id {kind}, score double, terms array<struct<term string, start long, edits long, weight double>>"
     )
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "terms")
+
+
+def scorer(automaton: Automaton):
+    """A column function: the score of a text column, as ``score`` gives it."""
+    @F.pandas_udf("double")
+    def rated(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: rate(x or "", automaton)[0]).astype("float64")
+
+    return rated
