@@ -76,7 +76,7 @@ def encode(documents: DataFrame, path: str, blocks: int | None = None) -> DataFr
     spark = documents.sparkSession
     rows = documents.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    blocks = blocks or 2 * rows.rdd.getNumPartitions()
+    blocks = blocks or max(1, 2 * rows.rdd.getNumPartitions())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)

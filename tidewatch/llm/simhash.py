@@ -123,6 +123,8 @@ def linked_pairs(prints: DataFrame, distance: int = DISTANCE, part: int = PART)
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = pd.DataFrame({"fingerprint": [], "meeting": []}, dtype="int64")
         for batch in batches:
+            if batch.empty:
+                continue
             batch = pd.concat([rest, batch], ignore_index=True)
             meeting = batch["meeting"].to_numpy()
             whole = int(np.searchsorted(meeting, meeting[-1]))  # the last meeting may go on in the next batch

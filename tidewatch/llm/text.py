@@ -41,3 +41,11 @@ def if_small(df: DataFrame, text: str, limit: int = BROADCAST_TEXT_BYTES) -> boo
     """Whether a table's texts stay below a broadcast bound; one pass over one column."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return size <= limit
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
