@@ -123,12 +123,16 @@ def test_row_checksum_text(spark):
     assert hashes == [hashlib.md5(x.encode()).hexdigest() for x in ("1|Alice|100", "2|NULL|200")]
 
 
-def test_sorted_checksum_matches_plain_python(spark, repeated):
-    hashes = sorted(hashlib.md5(f"{r.id}|{r.name}|{r.value}".encode()).hexdigest() for r in repeated.collect())
-    want = hashlib.md5("|".join(hashes).encode()).hexdigest()
-    assert row(checksums.sorted_checksum(repeated)).dataset_checksum == want
-    with pytest.raises(ValueError):
-        checksums.sorted_checksum(repeated, row_limit=4)
+@pytest.mark.parametrize("algorithm", ["md5", "sha256"])
+def test_piece_sums_use_all_digits(spark, algorithm):
+    digits = checksums.DIGITS[algorithm]
+    base = "0123456789abcdef" * (digits // 16)
+    hashes = [base] + [base[:i] + ("f" if base[i] != "f" else "0") + base[i + 1 :] for i in range(digits)]
+    df = spark.createDataFrame(list(enumerate(hashes)), "id int, h string")
+    sums = df.groupBy("id").agg(*checksums._piece_sums(F.col("h"), "w", algorithm)).drop("id").collect()
+    assert len(set(sums)) == digits + 1
+    whole = df.filter("id = 0").agg(*checksums._piece_sums(F.col("h"), "w", algorithm)).first()
+    assert list(whole) == [int(base[i : i + 4], 16) for i in range(0, digits, 4)]
 
 
 @pytest.mark.parametrize("algorithm", ["md5", "sha256"])

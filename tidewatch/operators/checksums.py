@@ -2,9 +2,9 @@
 
 The digest of a set of rows is the sum of the row hashes, piece by piece: it does
 not depend on the order, counts copies, combines on the map side and ends in
-one row, whatever the size of the table. The digest over the sorted list of all
-row hashes needs that whole list in one place and is therefore limited to
-tables of a checked size.
+one row, whatever the size of the table. It is not the digest over the sorted
+list of hashes that other tools keep: that needs all hashes in one place, so
+stored digests of that kind cannot be compared with these.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from tidewatch.functions.results import (
 )
 from tidewatch.functions.scalars import quoted
 
-SORTED_ROW_LIMIT = 1_000_000
-PIECES = 6
-MASK = (1 << 20) - 1
+#: Hex digits of a hash by algorithm; a sum takes four of them, so it stays within BIGINT for 2^47 rows.
+DIGITS = {"md5": 32, "sha256": 64}
+PIECE = 4
 
 
 def digest(text: Column, algorithm: str = "md5") -> Column:
@@ -49,18 +49,24 @@ def duplicate_groups(
     )
 
 
-def _piece_sums(hash_hex: Column, prefix: str, copies: Column | None = None) -> list[Column]:
-    """Sums of six 20-bit pieces of a hash: 120 bits that stay within BIGINT for 2^43 rows."""
-    halves = [F.conv(F.substring(hash_hex, start, 15), 16, 10).cast("bigint") for start in (1, 16)]
-    pieces = [F.shiftright(h, shift).bitwiseAND(F.lit(MASK)) for h in halves for shift in (40, 20, 0)]
-    return [
-        F.sum(piece if copies is None else piece * copies).alias(f"{prefix}{i}")
-        for i, piece in enumerate(pieces)
-    ]
+def _pieces(algorithm: str) -> int:
+    return DIGITS["sha256" if algorithm == "sha256" else "md5"] // PIECE
+
+
+def _piece_sums(hash_hex: Column, prefix: str, algorithm: str, copies: Column | None = None) -> list[Column]:
+    """Sums of all 16-bit pieces of a hash, cut from numbers of twelve hex digits."""
+    numbers = [F.conv(F.substring(hash_hex, start, 12), 16, 10).cast("bigint") for start in range(1, _pieces(algorithm) * PIECE, 12)]
+    sums = []
+    for i in range(_pieces(algorithm)):
+        number, at = divmod(i, 3)
+        width = min(3, _pieces(algorithm) - 3 * number)  # pieces in this number
+        piece = F.shiftright(numbers[number], 16 * (width - 1 - at)).bitwiseAND(F.lit(0xFFFF))
+        sums.append(F.sum(piece if copies is None else piece * copies).alias(f"{prefix}{i}"))
+    return sums
 
 
 def _combined(prefix: str, count: Column, algorithm: str) -> Column:
-    sums = [F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)).cast("string") for i in range(PIECES)]
+    sums = [F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)).cast("string") for i in range(_pieces(algorithm))]
     return digest(F.concat_ws("|", count.cast("string"), *sums), algorithm)
 
 
@@ -69,7 +75,7 @@ def dataset_checksum(
 ) -> DataFrame:
     """One digest for the whole table, independent of row order, from one scan."""
     hashes = df.select(row_checksum(columns or df.columns, algorithm).alias("h"))
-    return hashes.agg(F.count(F.lit(1)).alias("n"), *_piece_sums(F.col("h"), "w")).select(
+    return hashes.agg(F.count(F.lit(1)).alias("n"), *_piece_sums(F.col("h"), "w", algorithm)).select(
         F.col("n").alias("total_records"),
         _combined("w", F.col("n"), algorithm).alias("dataset_checksum"),
     )
@@ -80,7 +86,7 @@ def column_checksums(
 ) -> DataFrame:
     """The same digest for every column on its own; all columns in one scan."""
     columns = list(columns or df.columns)
-    sums = [s for i, c in enumerate(columns) for s in _piece_sums(row_checksum([c], algorithm), f"c{i}_")]
+    sums = [s for i, c in enumerate(columns) for s in _piece_sums(row_checksum([c], algorithm), f"c{i}_", algorithm)]
     rows = F.array(
         *[
             F.struct(
@@ -93,24 +99,6 @@ def column_checksums(
     return df.agg(F.count(F.lit(1)).alias("n"), *sums).select(F.inline(rows))
 
 
-def sorted_checksum(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    algorithm: str = "md5",
-    row_limit: int = SORTED_ROW_LIMIT,
-) -> DataFrame:
-    """Digest of the sorted row hashes joined by ``|``, to compare with checksums kept elsewhere.
-
-    All hashes meet in one task, so the row count is checked first.
-    """
-    rows = df.count()
-    if rows > row_limit:
-        raise ValueError(f"{rows} rows exceed the limit of {row_limit}; use dataset_checksum")
-    hashes = df.select(row_checksum(columns or df.columns, algorithm).alias("h"))
-    joined = F.array_join(F.sort_array(F.collect_list("h")), "|")
-    return hashes.agg(digest(joined, algorithm).alias("dataset_checksum"))
-
-
 def checksum_check(
     df: DataFrame,
     expected_checksum: str | None = None,
@@ -142,7 +130,7 @@ def checksum_check(
     measured = per_hash.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("total"),
         F.count_if(F.col("copies") > 1).alias("duplicates"),
-        *_piece_sums(F.col("h"), "w", F.col("copies")),
+        *_piece_sums(F.col("h"), "w", algorithm, F.col("copies")),
     )
     measured = measured.withColumn("_dataset_checksum", _combined("w", F.col("total"), algorithm))
     return result_rows(
@@ -165,7 +153,7 @@ def checksum_plan(
         raise ValueError("No valid columns for checksum calculation")
     missing = [c for c in wanted if c not in df.columns]
     return Check(
-        measures=_piece_sums(row_checksum(present, algorithm), "w"),
+        measures=_piece_sums(row_checksum(present, algorithm), "w", algorithm),
         steps=[{"_dataset_checksum": _combined("w", F.col("total"), algorithm)}],
         verdict=checksum_verdict(present, missing, expected_checksum, algorithm, name),
     )

@@ -85,19 +85,22 @@ def since_midnight_days(df: DataFrame, ts: str, as_of: Column, days: int) -> Dat
 
 
 def retention_split(df: DataFrame, ts: str, as_of: Column, days: int) -> tuple[DataFrame, DataFrame]:
-    """(rows to keep, count of expired rows) for a table rewritten without old rows."""
+    """(rows to keep, count of expired rows) for a table rewritten without old rows.
+
+    Rows without a time are kept: they are not known to be old.
+    """
     cutoff = F.timestamp_add("DAY", F.lit(-days), as_of)
-    kept = df.filter(named(ts) >= cutoff)
+    kept = df.filter((named(ts) >= cutoff) | named(ts).isNull())
     deleted = df.agg(F.count_if(named(ts) < cutoff).alias("deleted_count"))
     return kept, deleted
 
 
 def retention_counts(df: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
-    """Kept and deleted rows of a retention run."""
+    """Kept and deleted rows of a retention run; rows without a time are kept."""
     cutoff = F.timestamp_add("DAY", F.lit(-days), as_of)
     return df.agg(
         F.count_if(named(ts) < cutoff).alias("deleted_count"),
-        F.count_if(named(ts) >= cutoff).alias("kept_count"),
+        F.count_if((named(ts) >= cutoff) | named(ts).isNull()).alias("kept_count"),
     )
 
 

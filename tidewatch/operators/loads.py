@@ -23,14 +23,18 @@ BATCH = ["batch_id", "dataset_name"]
 # --- loading -------------------------------------------------------------------
 
 
-def staging_rows(df: DataFrame, dataset: Column, batch: Column, source: Column, payload: Column) -> DataFrame:
-    """Envelope of arriving records: not processed yet, no error."""
+def staging_rows(
+    df: DataFrame, dataset: Column, batch: Column, source: Column, payload: Column, hash_value: Column | None = None
+) -> DataFrame:
+    """Envelope of arriving records: not processed yet, no error; the hash is that of the payload unless given."""
     return df.select(
         dataset.alias("dataset_name"),
         batch.alias("batch_id"),
         source.alias("source_system"),
         payload.alias("raw_data"),
+        (F.sha2(payload.cast("binary"), 256) if hash_value is None else hash_value).alias("record_hash"),
         F.lit(False).alias("is_processed"),
+        F.lit(None).cast("timestamp_ntz").alias("processed_at"),
         F.lit(None).cast("string").alias("error_message"),
     )
 
@@ -70,28 +74,38 @@ def load_outcomes(incoming: DataFrame, loaded: DataFrame, index: str) -> DataFra
     A record is a duplicate if its hash is stored already, in any dataset, or
     came earlier in the same load. The first index per hash is aggregated on
     the map side, so a record copied a million times is one row in the shuffle.
+    Stored hashes are reduced to those that arrive, which Spark does by broadcast
+    or a Bloom filter where that is smaller; records are joined only with
+    hashes that have a duplicate. A record without a hash is compared with none
+    and is loaded.
     """
-    first = incoming.groupBy("record_hash").agg(
-        F.min(named(index)).alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    stored = loaded.select("record_hash").distinct().withColumn("_stored", F.lit(True))
-    known = first.join(stored, "record_hash", "left")
-    fresh = F.col("_stored").isNull() & (named(index) == F.col("_first"))
+    hashed = incoming.filter(F.col("record_hash").isNotNull())
+    first = hashed.groupBy("record_hash").agg(F.min(named(index)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    stored = _stored_among(loaded, hashed).withColumn("_stored", F.lit(True))
+    known = first.join(stored, "record_hash", "left").filter((F.col("_n") > 1) | F.col("_stored"))
+    again = F.coalesce("_stored", named(index) != F.col("_first"))
     return (
-        join_per_key(incoming, known, ["record_hash"], "_n")
-        .withColumn("outcome", F.when(fresh, "loaded").otherwise("duplicate"))
+        join_per_key(incoming, known, ["record_hash"], "_n", "left")
+        .withColumn("outcome", F.when(again, "duplicate").otherwise("loaded"))
         .drop("_first", "_n", "_stored")
     )
 
 
 def load_dedup(incoming: DataFrame, loaded: DataFrame, index: str) -> DataFrame:
-    """New records only: the first of each hash that is not stored yet.
+    """New records only: the first of each hash that is not stored yet, and all without a hash.
 
     Copies are reduced to one per task before the shuffle; the anti join then
-    reuses the same partitioning, against distinct stored hashes.
+    reuses the same partitioning, against stored hashes among those that arrive.
     """
-    single = latest_per_key(incoming, ["record_hash"], named(index).asc())
-    return single.join(loaded.select("record_hash").distinct(), "record_hash", "left_anti")
+    hashed = incoming.filter(F.col("record_hash").isNotNull())
+    single = latest_per_key(hashed, ["record_hash"], named(index).asc())
+    fresh = single.join(_stored_among(loaded, hashed), "record_hash", "left_anti")
+    return fresh.unionByName(incoming.filter(F.col("record_hash").isNull()))
+
+
+def _stored_among(loaded: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Distinct stored hashes that arrive again."""
+    return loaded.select("record_hash").join(incoming.select("record_hash"), "record_hash", "left_semi").distinct()
 
 
 def load_summary(outcomes: DataFrame, keys: Sequence[str], skip_duplicates: bool = True) -> DataFrame:
@@ -110,8 +124,8 @@ def load_summary(outcomes: DataFrame, keys: Sequence[str], skip_duplicates: bool
 
 
 def without_batch(df: DataFrame, batch_id: str) -> DataFrame:
-    """The table without one batch, for the rewrite of a rollback."""
-    return df.filter(F.col("batch_id") != batch_id)
+    """The table without one batch, for the rewrite of a rollback; rows without a batch stay."""
+    return df.filter(~F.col("batch_id").eqNullSafe(batch_id))
 
 
 def rollback_counts(processed: DataFrame, rolled_back: DataFrame) -> DataFrame:
@@ -133,20 +147,25 @@ def without_batches(df: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def upsert_history(history: DataFrame, updates: DataFrame) -> DataFrame:
-    """History rows patched with the non-NULL fields of at most one update per batch.
+    """History rows patched with the non-NULL fields of their updates, applied in the order of ``updated_at``.
 
-    ``updates``: (batch_id, updated_at, any history columns). A final status
-    sets ``completed_at``.
+    ``updates``: (batch_id, updated_at, any history columns). The last non-NULL value of a
+    field wins, of two at one time the larger. A final status sets ``completed_at``
+    to the time of the last update with one.
     """
     patched = [c for c in updates.columns if c in history.columns and c != "batch_id"]
-    new = updates.select(
-        "batch_id", F.col("updated_at").alias("_at"), *[named(c).alias(f"_new_{c}") for c in patched]
+
+    def last(c: str) -> Column:
+        return F.max(F.when(named(c).isNotNull(), F.struct(F.col("updated_at"), named(c).alias("value"))))["value"]
+
+    final = F.col("status").isin(*fixed.TERMINAL_LOAD_STATES) if "status" in patched else F.lit(False)
+    new = updates.groupBy("batch_id").agg(
+        *[last(c).alias(f"_new_{c}") for c in patched], F.max(F.when(final, F.col("updated_at"))).alias("_ended")
     )
     joined = history.join(new, "batch_id", "left")
     values = {c: F.coalesce(F.col(f"_new_{c}"), named(c)) for c in patched}
     if "completed_at" in history.columns:
-        final = F.col("_new_status").isin(*fixed.TERMINAL_LOAD_STATES) if "status" in patched else F.lit(False)
-        values["completed_at"] = F.when(final, F.col("_at")).otherwise(F.col("completed_at"))
+        values["completed_at"] = F.coalesce("_ended", values.get("completed_at", F.col("completed_at")))
     return joined.select(*[values.get(c, named(c)).alias(c) for c in history.columns])
 
 

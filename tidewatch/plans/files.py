@@ -317,8 +317,8 @@ def append_freshness(t):
 
 @query(
     "append_staging",
-    """SELECT 'docs' AS dataset_name, 'batch_' || lang AS batch_id, source AS source_system, text AS raw_data, false AS is_processed,
-      CAST(NULL AS VARCHAR) AS error_message FROM @documents""",
+    """SELECT 'docs' AS dataset_name, 'batch_' || lang AS batch_id, source AS source_system, text AS raw_data, sha256(text) AS record_hash,
+      false AS is_processed, CAST(NULL AS TIMESTAMP) AS processed_at, CAST(NULL AS VARCHAR) AS error_message FROM @documents""",
 )
 def append_staging(t):
     path = work_path(t.spark, "staging")

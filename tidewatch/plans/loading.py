@@ -183,29 +183,35 @@ def failed_loads_summary(t):
 
 # --- loading ----------------------------------------------------------------------------
 
-# Incoming records: every document, whose text also occurs as a copy; stored: those of one language.
-INCOMING = "SELECT doc_id, lang, sha256(text) AS record_hash FROM @documents"
-STORED = "SELECT sha256(text) AS record_hash FROM @documents WHERE lang = 'de'"
+# Incoming records: every document, whose text also occurs as a copy; stored: those of one language. Some have no hash.
+INCOMING = "SELECT doc_id, lang, CASE WHEN doc_id % 17 <> 3 THEN sha256(text) END AS record_hash FROM @documents"
+STORED = "SELECT CASE WHEN doc_id % 19 <> 4 THEN sha256(text) END AS record_hash FROM @documents WHERE lang = 'de'"
+KNOWN = f"SELECT record_hash FROM ({STORED}) WHERE record_hash IS NOT NULL"
+
+
+def _hash(without: str):
+    return F.when(F.expr(without), F.sha2("text", 256)).alias("record_hash")
 
 
 def _incoming(t):
-    return t.documents.select("doc_id", "lang", F.sha2("text", 256).alias("record_hash"))
+    return t.documents.select("doc_id", "lang", _hash("doc_id % 17 <> 3"))
 
 
 def _stored(t):
-    return t.documents.filter(F.col("lang") == "de").select(F.sha2("text", 256).alias("record_hash"))
+    return t.documents.filter(F.col("lang") == "de").select(_hash("doc_id % 19 <> 4"))
 
 
 @query(
     "load_dedup",
     f"""SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, record_hash FROM ({INCOMING})
-      WHERE record_hash NOT IN (SELECT record_hash FROM ({STORED})) GROUP BY record_hash""",
+      WHERE record_hash IS NOT NULL AND record_hash NOT IN ({KNOWN}) GROUP BY record_hash
+      UNION ALL SELECT * FROM ({INCOMING}) WHERE record_hash IS NULL""",
 )
 def load_dedup(t):
     return loads.load_dedup(_incoming(t), _stored(t), "doc_id")
 
 
-OUTCOMES = f"""SELECT doc_id, lang, record_hash, CASE WHEN record_hash IN (SELECT record_hash FROM ({STORED}))
+OUTCOMES = f"""SELECT doc_id, lang, record_hash, CASE WHEN record_hash IS NULL THEN 'loaded' WHEN record_hash IN ({KNOWN})
     OR row_number() OVER (PARTITION BY record_hash ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'loaded' END AS outcome FROM ({INCOMING})"""
 
 
@@ -260,27 +266,39 @@ def load_rollback_kept(t):
     return loads.without_batches(t.processed, _to_roll_back(t)).select("batch_id", "source_record_id", "price")
 
 
-@query("delete_staging", "SELECT batch_id, record_hash, raw_data FROM @staging WHERE batch_id <> 'batch_5'")
+UNBATCHED = "SELECT CASE WHEN record_hash >= '1' THEN batch_id END AS batch_id, record_hash, raw_data FROM @staging"
+
+
+@query("delete_staging", f"SELECT * FROM ({UNBATCHED}) WHERE batch_id IS NULL OR batch_id <> 'batch_5'")
 def delete_staging(t):
-    return loads.without_batch(t.staging, "batch_5").select("batch_id", "record_hash", "raw_data")
+    return loads.without_batch(t.sql(UNBATCHED), "batch_5")
 
 
+# One update for most batches, and a later one for some of them.
 UPDATES = """SELECT 'batch_' || CAST(o_orderkey AS {string}) AS batch_id, o_orderdate AS updated_at,
-  CASE WHEN o_custkey % 4 = 0 THEN 'completed' WHEN o_custkey % 4 = 1 THEN 'rolled_back' END AS status,
-  CASE WHEN o_custkey % 4 = 0 THEN o_custkey END AS records_loaded,
-  CASE WHEN o_custkey % 4 = 1 THEN 'Batch manually rolled back' END AS error_message
-  FROM @orders WHERE o_custkey % 2 = 0 OR o_custkey % 4 = 1"""
+    CASE WHEN o_custkey % 4 = 0 THEN 'completed' WHEN o_custkey % 4 = 1 THEN 'rolled_back' END AS status,
+    CASE WHEN o_custkey % 4 = 0 THEN o_custkey END AS records_loaded,
+    CASE WHEN o_custkey % 4 = 1 THEN 'Batch manually rolled back' END AS error_message
+    FROM @orders WHERE o_custkey % 2 = 0 OR o_custkey % 4 = 1
+  UNION ALL SELECT 'batch_' || CAST(o_orderkey AS {string}), TIMESTAMP{zone} '2002-01-01 00:00:00',
+    CASE WHEN o_custkey % 3 = 0 THEN 'running' WHEN o_custkey % 3 = 1 THEN 'failed' END, o_custkey * 2, NULL
+    FROM @orders WHERE o_custkey % 5 = 0"""
+
+
+def _last(column: str) -> str:
+    return f"arg_max({column}, updated_at) FILTER (WHERE {column} IS NOT NULL) AS {column}"
 
 
 @query(
     "load_history_upsert",
     f"""SELECT h.* REPLACE (coalesce(u.status, h.status) AS status, coalesce(u.records_loaded, h.records_loaded) AS records_loaded,
-        coalesce(u.error_message, h.error_message) AS error_message,
-        CASE WHEN u.status IS NOT NULL THEN u.updated_at ELSE h.completed_at END AS completed_at)
-      FROM @load_history AS h LEFT JOIN ({UPDATES.format(string="VARCHAR")}) AS u ON h.batch_id = u.batch_id""",
+        coalesce(u.error_message, h.error_message) AS error_message, coalesce(u.ended, h.completed_at) AS completed_at)
+      FROM @load_history AS h LEFT JOIN (SELECT batch_id, {_last("status")}, {_last("records_loaded")}, {_last("error_message")},
+        max(updated_at) FILTER (WHERE status IN ('completed', 'failed', 'rolled_back')) AS ended
+        FROM ({UPDATES.format(string='VARCHAR', zone='')}) GROUP BY batch_id) AS u ON h.batch_id = u.batch_id""",
 )
 def load_history_upsert(t):
-    return loads.upsert_history(t.load_history, t.sql(UPDATES.format(string="STRING")))
+    return loads.upsert_history(t.load_history, t.sql(UPDATES.format(string="STRING", zone="_NTZ")))
 
 
 LIFECYCLE = """SELECT batch_id, any_value(dataset_name) AS dataset_name, arg_max(event, (event_time, event)) AS load_status,
@@ -314,13 +332,13 @@ COUNTS = """SELECT coalesce(s.batch_id, p.batch_id) AS batch_id, coalesce(s.data
     coalesce(staging_count, 0) AS staging_count, coalesce(failed_count, 0) AS failed_count, coalesce(warehouse_count, 0) AS warehouse_count
   FROM (SELECT batch_id, dataset_name, count(*) AS staging_count,
       count(*) FILTER (WHERE NOT is_processed AND error_message IS NOT NULL) AS failed_count FROM @staging GROUP BY 1, 2) AS s
-  FULL JOIN (SELECT batch_id, dataset_name, count(*) AS warehouse_count FROM @processed GROUP BY 1, 2) AS p
+  FULL JOIN (SELECT batch_id, dataset_name, count(*) AS warehouse_count FROM @partly_processed GROUP BY 1, 2) AS p
     ON s.batch_id = p.batch_id AND s.dataset_name = p.dataset_name"""
 
 
 @query("batch_verify", COUNTS)
 def batch_verify(t):
-    return loads.batch_counts(t.staging, t.processed)
+    return loads.batch_counts(t.staging, t.partly_processed)
 
 
 @query(
@@ -334,7 +352,7 @@ def batch_verify(t):
       FROM ({COUNTS})""",
 )
 def verify_batch(t):
-    return tidy(loads.verify_batches(loads.batch_counts(t.staging, t.processed)))
+    return tidy(loads.verify_batches(loads.batch_counts(t.staging, t.partly_processed)))
 
 
 RETRYABLE = "regexp_matches(lower(failure_reason), 'timeout|network_error|temporary_error|resource_limit|connection_error')"
@@ -343,7 +361,7 @@ RETRYABLE = "regexp_matches(lower(failure_reason), 'timeout|network_error|tempor
 @query(
     "retry_eligibility",
     f"""WITH s AS (SELECT batch_id, count(*) AS n FROM @staging GROUP BY 1),
-      p AS (SELECT batch_id, dataset_name, count(*) AS n FROM @processed GROUP BY 1, 2),
+      p AS (SELECT batch_id, dataset_name, count(*) AS n FROM @partly_processed GROUP BY 1, 2),
       x AS (SELECT f.*, coalesce(s.n, 0) AS sc, coalesce(p.n, 0) AS wc,
         date_diff('microsecond', load_failed_at, {OT}) / 36e8 AS h FROM @failed_loads AS f
         LEFT JOIN s ON f.batch_id = s.batch_id LEFT JOIN p ON f.batch_id = p.batch_id AND f.dataset_name = p.dataset_name)
@@ -369,7 +387,7 @@ RETRYABLE = "regexp_matches(lower(failure_reason), 'timeout|network_error|tempor
 )
 def retry_eligibility(t):
     return tidy(
-        loads.retry_eligibility(t.failed_loads, t.staging, t.processed, at(ORDERS_END)).select(
+        loads.retry_eligibility(t.failed_loads, t.staging, t.partly_processed, at(ORDERS_END)).select(
             "batch_id", "failure_reason", "retry_count", "checks_passed", "checks_failed", "recommendations",
             "ready", "validation_status",
         )

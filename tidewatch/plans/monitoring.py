@@ -78,13 +78,12 @@ def retention_delete(t):
     return flt.retention_counts(t.audit_logs, "created_at", at(ORDERS_END), 90)
 
 
-@query(
-    "retention_kept",
-    f"SELECT id, metric_name, timestamp FROM @metrics WHERE timestamp >= {ET} - INTERVAL 10 DAY",
-)
+UNDATED = "SELECT id, metric_name, CASE WHEN dataset_name IS NOT NULL THEN timestamp END AS timestamp FROM @metrics"
+
+
+@query("retention_kept", f"SELECT * FROM ({UNDATED}) WHERE timestamp >= {ET} - INTERVAL 10 DAY OR timestamp IS NULL")
 def retention_kept(t):
-    kept, _ = flt.retention_split(t.metrics, "timestamp", at(EVENTS_END), 10)
-    return kept.select("id", "metric_name", "timestamp")
+    return flt.retention_split(t.sql(UNDATED), "timestamp", at(EVENTS_END), 10)[0]
 
 
 @query(

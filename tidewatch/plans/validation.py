@@ -162,11 +162,13 @@ def _row_text(columns: list[str]) -> str:
 
 
 def _digest(hash_sql: str, table: str) -> str:
-    """The sums of the six 5-digit pieces of every hash, joined as text."""
+    """Digits of whole hashes counted place by place, then put together four by four."""
+    places = ", ".join(f"sum(strpos('123456789abcdef', substr(h, {p}, 1))) AS d{p}" for p in range(1, 33))
     sums = ", ".join(
-        f"CAST(sum(CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT)) AS VARCHAR)" for i in range(6)
+        f"CAST(d{p} * 4096 + d{p + 1} * 256 + d{p + 2} * 16 + d{p + 3} AS VARCHAR)" for p in range(1, 33, 4)
     )
-    return f"SELECT count(*) AS n, concat_ws('|', CAST(count(*) AS VARCHAR), {sums}) AS s FROM (SELECT {hash_sql} AS h FROM {table})"
+    counted = f"SELECT count(*) AS n, {places} FROM (SELECT {hash_sql} AS h FROM {table})"
+    return f"SELECT n, concat_ws('|', CAST(n AS VARCHAR), {sums}) AS s FROM ({counted})"
 
 
 @query(
@@ -447,9 +449,6 @@ def schema_check(t):
     return verdict(validators.schema_check(t.contract_columns, t.observed_columns, _row_counts(t)), "dataset_name")
 
 
-AUDITS_AS_RESULTS = "@audit_logs"
-
-
 @query(
     "aggregate_results",
     """WITH g AS (SELECT dataset_name, count(*) AS total_validators,
@@ -577,14 +576,13 @@ def record_types(t):
 @query(
     "existing_duplicates",
     """SELECT idx AS record_index, payload ->> '$.id' AS id FROM @records
-      WHERE payload ->> '$.kind' = 'click' AND payload ->> '$.id' IN
-        (SELECT payload ->> '$.id' FROM @records WHERE payload ->> '$.kind' = 'view')""",
+      WHERE payload ->> '$.id' IN (SELECT CAST(3 * CAST(payload ->> '$.id' AS BIGINT) AS VARCHAR) FROM @records)""",
 )
 def existing_duplicates(t):
-    kind = F.get_json_object("payload", "$.kind")
-    return records.existing_duplicates(
-        t.records.filter(kind == "click"), t.records.filter(kind == "view"), "payload", ["id"], "idx"
+    stored = t.records.select(
+        "idx", F.to_json(F.struct((3 * F.get_json_object("payload", "$.id").cast("bigint")).alias("id"))).alias("payload")
     )
+    return records.existing_duplicates(t.records, stored, "payload", ["id"], "idx")
 
 
 @query(
