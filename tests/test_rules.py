@@ -31,8 +31,8 @@ def test_parsing_rejects_bad_rules():
     assert (parsed[0].rule_id, parsed[0].severity, parsed[0].enabled) == ("r1", "warning", True)
 
 
-def test_all_types(messy):
-    parents = messy.sparkSession.createDataFrame([(1,), (2,), (3,)], "k int")
+def test_all_types(moorings):
+    parents = moorings.sparkSession.createDataFrame([(101,), (102,), (103,)], "k int")
     parsed = rules.parse_rules(
         {
             "rules": [
@@ -49,21 +49,21 @@ def test_all_types(messy):
         "reference", "reference", "referential_integrity",
         parameters={"reference_df": parents, "source_column": "id", "reference_column": "k"},
     )
-    found = {r.rule_id: (r.status, r.failed_records) for r in rules.run_rules(messy, [*parsed, reference]).collect()}
+    found = {r.rule_id: (r.status, r.failed_records) for r in rules.run_rules(moorings, [*parsed, reference]).collect()}
     assert found == {
-        "null_check": ("failed", 4),
+        "null_check": ("failed", 3),
         "datatype": ("failed", 7),
-        "range": ("failed", 1),
+        "range": ("failed", 3),
         "pattern": ("failed", 1),
         "uniqueness": ("failed", 1),
         "custom": ("failed", 3),
-        "reference": ("failed", 5),
+        "reference": ("failed", 6),
     }
 
 
-def test_thresholds_decide(messy):
+def test_thresholds_decide(moorings):
     found = run(
-        messy,
+        moorings,
         rule("range", ["age"], [("pass_rate", ">=", 90.0)], rule_id="strict", min_value=0),
         rule("null_check", ["id"], [("failed_records", "<=", 10), ("unknown", ">", 1)], rule_id="loose"),
     )
@@ -71,9 +71,9 @@ def test_thresholds_decide(messy):
     assert found["loose"].status == "failed" and "Threshold" not in found["loose"].message
 
 
-def test_disabled_and_broken_rules(messy):
+def test_disabled_and_broken_rules(moorings):
     found = run(
-        messy,
+        moorings,
         rule("range", ["age"], enabled=False, rule_id="off"),
         rule("null_check", ["absent"], rule_id="absent"),
         rule("referential_integrity", rule_id="no_parent"),
@@ -82,14 +82,28 @@ def test_disabled_and_broken_rules(messy):
     )
     assert (found["off"].status, found["off"].message) == ("passed", "Rule off is disabled")
     assert found["absent"].status == "error" and found["no_parent"].status == "error"
-    assert found["fine"].failed_records == 2
+    assert found["fine"].failed_records == 1
 
 
-def test_cell_rules_share_one_aggregation(messy):
+def test_rules_that_cannot_be_planned_leave_the_others(moorings):
+    found = run(
+        moorings,
+        rule("custom", expression="nowhere > 3", rule_id="column"),
+        rule("custom", expression="age >", rule_id="sql"),
+        rule("custom", expression="age", rule_id="number"),
+        rule("pattern", ["name"], pattern="(open", rule_id="pattern"),
+        rule("datatype", expected_types={"age": "no such type"}, rule_id="type"),
+        rule("null_check", ["salary"], rule_id="fine"),
+    )
+    assert {k: found[k].status for k in ("column", "sql", "number", "pattern")} == dict.fromkeys(("column", "sql", "number", "pattern"), "error")
+    assert "nowhere" in found["column"].errors[0] and found["fine"].failed_records == 1
+
+
+def test_cell_rules_share_one_aggregation(moorings):
     parsed = rules.parse_rules(
         {"rules": [rule("range", ["age"], rule_id=f"r{i}", min_value=i) for i in range(20)]}
     )
-    plan = rules.run_rules(messy, parsed)._jdf.queryExecution().optimizedPlan().toString()
+    plan = rules.run_rules(moorings, parsed)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
 
 

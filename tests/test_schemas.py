@@ -101,3 +101,19 @@ def test_contract(spark):
     assert verdicts == {"t": (False, 3), "u": (True, 0)}
     schema = contracts.contract_schema([{"name": "id", "data_type": "integer", "nullable": False}])
     assert schema.simpleString() == "struct<id:bigint>"
+
+
+def test_registration_against_stored_versions(observations):
+    """Only changes after the stored versions are new; the same schema again adds nothing."""
+    def shape(versions):
+        return sorted((r.dataset_name, r.version_number, r.version_hash, r.detected_at) for r in versions.collect())
+
+    everything = drift.register_schemas(observations)
+    for day in (1, 2, 3, 5):
+        cut = F.lit(f"2024-01-0{day} 12:00:00").cast("timestamp_ntz")
+        stored = drift.register_schemas(observations.filter(F.col("observed_at") < cut))
+        new = drift.register_new_schemas(stored, observations.filter(F.col("observed_at") > cut))
+        assert shape(stored.unionByName(new)) == shape(everything)
+    last = observations.filter("dataset_name = 'customers' AND observed_at = TIMESTAMP_NTZ '2024-01-06 00:00:00'")
+    assert drift.register_new_schemas(everything, last).count() == 0
+    assert shape(drift.register_new_schemas(everything.limit(0), observations)) == shape(everything)

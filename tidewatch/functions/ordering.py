@@ -2,25 +2,44 @@
 
 A window over ``partitionBy(key).orderBy(ts)`` puts a whole group into one
 task, which fails once one key holds a large share of the rows. The helpers
-here cut every group into time slices of bounded size, run the window inside
-(key, slice), and carry the running state from slice to slice with a second
-window over one summary row per slice.
+here cut the rows into slices along the order, as many as the shuffle is wide, run
+the window inside (key, slice), and carry the running state from slice to
+slice with a second window over one summary row per key and slice.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.scalars import named
 
 SLICE = "_slice"
 KEY = "_key"
+#: Slices of the values among which an exact quantile is looked for; the profiler passes the middle fiftieth only.
+QUANTILE_SLICES = 64
 
 
 def slice_count(df: DataFrame) -> int:
-    """Slices per group: follows the shuffle width, kept between 8 and 512."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(512, width))
+    """Slices of the whole order: the shuffle width, which grows with the cluster and the data."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _edges(bounds: list[int] | None) -> list[float]:
+    """Borders of buckets: one for each distinct bound, which holds that value alone, and those between."""
+    inner = sorted({x for b in set(bounds or ()) for x in (float(b), math.nextafter(float(b), math.inf))})
+    return [-math.inf, *inner, math.inf]
+
+
+def _bucket(df: DataFrame, value: str, edges: list[float], name: str) -> DataFrame:
+    """The bucket of a value by binary search; NULL is in the first."""
+    number = f"{name}_double"
+    prepared = df.withColumn(number, F.coalesce(F.col(value).cast("double"), F.lit(-math.inf)))
+    if len(edges) < 3:
+        return prepared.withColumn(name, F.lit(0)).drop(number)
+    return Bucketizer(splits=edges, inputCol=number, outputCol=name).transform(prepared).drop(number)
 
 
 def with_slices(
@@ -29,34 +48,29 @@ def with_slices(
     """Add ``_key`` and ``_slice``, a number that sorts like (order, tie).
 
     ``order`` and ``tie`` must be BIGINT expressions and ``tie`` should be unique.
-    Boundaries are quantiles of ``order``, so a slice holds about 1/n of all rows.
-    Rows equal to a boundary get a slice of their own, cut again by the quantiles
-    of ``tie``: a single timestamp shared by a third of the rows is split as well.
-    The quantiles arrive as scalar subqueries of n values; nothing is collected.
+    Boundaries are quantiles of ``order``, so a slice holds about 1/n of all rows,
+    also of those of one key. Rows equal to a boundary get a slice of their own, cut again by the
+    quantiles of ``tie``: a single timestamp shared by a third of the rows is split as
+    well. One job finds the 2n quantiles; a row finds its slice by two binary searches.
 
     ``_key`` is a struct, in which NULL keys are equal to each other, so the
     windows and joins on (``_key``, ``_slice``) share one shuffle.
     """
     n = slices or slice_count(df)
     points = [i / n for i in range(1, n)]
-    quantiles = df.select(order.alias("_o"), tie.alias("_t")).agg(
-        F.struct(
-            F.percentile_approx("_o", points, 50 * n).alias("o"),
-            F.percentile_approx("_t", points, 50 * n).alias("t"),
-        )
-    )
-    bounded = df.select(
-        "*",
-        F.struct(*[named(k) for k in keys]).alias(KEY),
-        order.alias("_o"),
-        tie.alias("_t"),
-        quantiles.scalar().alias("_bounds"),
-    )
-    below = F.size(F.filter("_bounds.o", lambda b: b < F.col("_o")))
-    within = F.size(F.filter("_bounds.t", lambda b: b < F.col("_t")))
-    on_bound = F.array_contains("_bounds.o", F.col("_o"))
-    number = below * (2 * (n + 1)) + F.when(on_bound, within + (n + 1)).otherwise(0)
-    return bounded.withColumn(SLICE, number).drop("_bounds")
+    found = df.select(order.alias("_o"), tie.alias("_t")).agg(
+        F.percentile_approx("_o", points, 50 * n), F.percentile_approx("_t", points, 50 * n)
+    ).first()
+    edges, ties = _edges(found[0]), _edges(found[1])
+    keyed = df.select("*", F.struct(*[named(k) for k in keys]).alias(KEY), order.alias("_o"), tie.alias("_t"))
+    placed = _bucket(_bucket(keyed, "_o", edges, "_below"), "_t", ties, "_within")
+    # Odd buckets hold one value of the order, a boundary.
+    singles = [i for i in range(len(edges) - 1) if i % 2]
+    # Beyond 2^53 several integers share a double, and such a bucket is not cut again.
+    exact = F.col("_o").between(-(1 << 53), 1 << 53)
+    on_bound = exact & (F.col("_below").cast("long") % 2 == 1) if singles else F.lit(False)
+    number = F.col("_below").cast("long") * len(ties) + F.when(on_bound, F.col("_within").cast("long")).otherwise(0)
+    return placed.withColumn(SLICE, number).drop("_below", "_within")
 
 
 def ordered_row_number(
@@ -145,7 +159,7 @@ def exact_quantiles(
     row (bounds) and at most two rows (wanted slices) per group, so ``group``
     must be of bounded size, such as the columns of a table.
     """
-    n = slice_count(histogram)
+    n = QUANTILE_SLICES
     points = [i / n for i in range(1, n)]
     bounds = histogram.groupBy(named(group).alias("_g")).agg(
         F.percentile_approx(named(value), points, 50 * n).alias("_bounds")

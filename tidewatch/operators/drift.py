@@ -65,6 +65,36 @@ def register_schemas(observations: DataFrame) -> DataFrame:
     )
 
 
+def register_new_schemas(stored: DataFrame, observations: DataFrame) -> DataFrame:
+    """Versions to append to ``stored``: new observations that differ from the latest version before them.
+
+    ``stored`` are rows as ``register_schemas`` returns them, ``observations`` as it
+    takes them. Only the latest stored version of a dataset that is observed
+    again is compared, and numbers go on from it; observing the same schema again
+    adds nothing. New observations count as later than every stored version.
+    """
+    schemas = normalize_schema(observations, ["dataset_name", "observed_at"]).withColumn(
+        "version_hash", schema_hash(F.col("columns"))
+    )
+    observed = observations.select("dataset_name").distinct()
+    latest = latest_per_key(
+        stored.join(observed, "dataset_name", "left_semi"), ["dataset_name"], F.col("version_number").desc()
+    )
+    before = latest.select(
+        "dataset_name", F.col("detected_at").alias("observed_at"), "columns", "version_hash",
+        F.col("version_number").cast("bigint").alias("_stored_number"),
+    )
+    rows = schemas.withColumn("_stored_number", F.lit(None).cast("bigint")).unionByName(before)
+    # The stored version comes first, whatever its time.
+    order = F.when(F.col("_stored_number").isNotNull(), F.lit(-(1 << 53))).otherwise(micros(F.col("observed_at")))
+    versions = ordered_changes(rows, ["dataset_name"], order, F.lit(0).cast("bigint"), "version_hash")
+    bases = latest.select("dataset_name", (F.col("version_number") - 1).cast("bigint").alias("_offset"))
+    return versions.filter(F.col("_stored_number").isNull()).join(bases, "dataset_name", "left").select(
+        "dataset_name", (F.col("version_number") + F.coalesce("_offset", F.lit(0))).alias("version_number"), "version_hash",
+        F.col("observed_at").alias("detected_at"), "columns",
+    )
+
+
 def version_columns(versions: DataFrame) -> DataFrame:
     """The exploded form: one row per version and column, with its position."""
     return versions.select(

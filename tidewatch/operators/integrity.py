@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.results import error_list, result_rows, result_struct
 from tidewatch.functions.scalars import named, safe_rate
@@ -25,8 +25,16 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], limit: int | None = SAMPL
     return found if limit is None else found.orderBy(*[named(k) for k in keys]).limit(limit)
 
 
+def _first_keys(found: DataFrame, keys: Sequence[str], limit: int = SAMPLES) -> Column:
+    """The smallest ``limit`` keys as texts, in order: a scalar that a result row carries along."""
+    top = found.orderBy(*[named(k).asc_nulls_first() for k in keys]).limit(limit)
+    text = F.concat_ws(", ", *[F.coalesce(named(k).cast("string"), F.lit("NULL")) for k in keys])
+    ordered = F.sort_array(F.collect_list(F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)], text.alias("text"))))
+    return top.agg(ordered["text"].alias("sample")).scalar()
+
+
 def pk_uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows beyond the first of each key, and the number of duplicated keys."""
+    """Rows beyond the first of each key, the number of duplicated keys, and the first of them as texts."""
     many = F.col("occurrence_count") > 1
     return (
         key_counts(df, keys)
@@ -36,11 +44,13 @@ def pk_uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.count_if(many).alias("unique_duplicate_keys"),
         )
         .withColumn("has_duplicates", F.col("unique_duplicate_keys") > 0)
+        .withColumn("sample_keys", _first_keys(duplicate_keys(df, keys, None), keys))
     )
 
 
 def detect_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Total, distinct and difference for the given keys; no keys means no duplicates."""
+    """Total, distinct and difference for the given keys, and the first repeated keys; no keys means no duplicates."""
+    sample = _first_keys(duplicate_keys(df, keys, None), keys) if keys else F.array().cast("array<string>")
     if not keys:
         totals = df.agg(F.count(F.lit(1)).alias("total_records")).withColumn(
             "unique_records", F.col("total_records")
@@ -50,9 +60,11 @@ def detect_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.coalesce(F.sum("occurrence_count"), F.lit(0)).alias("total_records"),
             F.count(F.lit(1)).alias("unique_records"),
         )
-    return totals.withColumn(
-        "duplicate_count", F.col("total_records") - F.col("unique_records")
-    ).withColumn("has_duplicates", F.col("duplicate_count") > 0)
+    return (
+        totals.withColumn("duplicate_count", F.col("total_records") - F.col("unique_records"))
+        .withColumn("has_duplicates", F.col("duplicate_count") > 0)
+        .withColumn("sample_keys", sample)
+    )
 
 
 def dup_pk_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,15 +75,12 @@ def dup_pk_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def fk_orphans(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows without a parent; a NULL foreign key has none.
+    """Child rows without a parent, in one scan; a NULL foreign key has none.
 
-    NULL keys are taken by a pushed-down filter, so they never meet in one
-    shuffle partition.
+    The anti join keeps NULL keys. Both sides come straight from a shuffle, so AQE
+    splits the partition in which they, or another hot key, meet.
     """
-    parents = parent.select(named(key).alias("_parent"))
-    with_key = child.filter(named(fk).isNotNull())
-    unmatched = with_key.join(parents, named(fk) == F.col("_parent"), "left_anti")
-    return unmatched.unionAll(child.filter(named(fk).isNull()))
+    return child.join(parent.select(named(key).alias("_parent")), named(fk) == F.col("_parent"), "left_anti")
 
 
 def _orphan_counts(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
@@ -96,7 +105,7 @@ def fk_check(
     foreign_keys: Mapping[str, tuple[str, str]],
     parents: Mapping[str, DataFrame],
 ) -> DataFrame:
-    """One row per foreign key; a missing column or parent is an error entry with no orphans."""
+    """One row per foreign key, with the first orphaned values; a missing column or parent is an error entry with no orphans."""
     spark = child.sparkSession
     rows = []
     for fk, (parent_name, key) in foreign_keys.items():
@@ -112,12 +121,14 @@ def fk_check(
             measured = spark.range(1).select(
                 F.lit(0).cast("bigint").alias("orphan_count"),
                 F.lit(0).cast("bigint").alias("orphan_keys"),
+                F.array().cast("array<string>").alias("sample_orphans"),
             )
         else:
-            measured = _orphan_counts(child, fk, parent, key).agg(
+            orphans = _orphan_counts(child, fk, parent, key)
+            measured = orphans.agg(
                 F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_count"),
                 F.count(F.lit(1)).alias("orphan_keys"),
-            )
+            ).withColumn("sample_orphans", _first_keys(orphans, ["value"]))
         rows.append(
             measured.select(
                 F.lit(fk).alias("fk_column"),
@@ -126,6 +137,7 @@ def fk_check(
                 (F.lit(problem is None) & (F.col("orphan_count") == 0)).alias("valid"),
                 "orphan_count",
                 "orphan_keys",
+                "sample_orphans",
                 F.lit(problem).cast("string").alias("error"),
             )
         )

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions import fixed
@@ -116,9 +117,27 @@ def _unusable(df: DataFrame, rule: Rule) -> str | None:
             return "Missing required parameters for referential integrity check"
     if rule.rule_type == "uniqueness" and not rule.target_columns:
         return "Missing target columns for uniqueness check"
+    try:
+        _plan(df, rule)
+    except (PySparkException, ValueError, TypeError, KeyError) as problem:
+        return f"Rule cannot be evaluated: {str(problem).strip().splitlines()[0]}"
     return None
 
 
+def _plan(df: DataFrame, rule: Rule) -> None:
+    """Raise what is wrong with a rule without reading the table: unknown columns, bad SQL, types or patterns."""
+    if rule.rule_type == "referential_integrity":
+        df.select(named(rule.parameters["source_column"]))
+        rule.parameters["reference_df"].select(named(rule.parameters["reference_column"]))
+        return
+    checks = _row_checks(df, rule)
+    if checks:
+        df.select(*[F.count_if(c) for c in checks])
+    if rule.rule_type == "pattern":
+        # A pattern is only compiled when it meets a value.
+        df.sparkSession.range(1).select(F.rlike(F.lit("text"), F.lit(rule.parameters["pattern"]))).first()
+
+
 def _measure_separately(df: DataFrame, rule: Rule) -> DataFrame:
     """(total, failed) of a rule that needs a grouping of its own."""
     if rule.rule_type == "uniqueness":

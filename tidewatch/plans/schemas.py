@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.ordering import latest_per_key
 from tidewatch.operators import contracts, drift, filters, rollups
 from tidewatch.plans.catalog import query
+from tidewatch.plans.common import at
 from tidewatch.session import work_path
 from tidewatch.sources import readers, writers
 
@@ -182,6 +183,19 @@ def schema_register(t):
     return _versions(t).drop("columns")
 
 
+CUT = "2024-01-16 00:00:00"
+
+
+@query("schema_register_new", f"SELECT * FROM ({VERSIONS}) WHERE detected_at >= TIMESTAMP '{CUT}'")
+def schema_register_new(t):
+    """Versions up to a day are stored; the observations after it are registered against them."""
+    seen = t.observations.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    path = work_path(t.spark, "schema_versions")
+    writers.append(drift.register_schemas(seen.filter(F.col("observed_at") < at(CUT))), path)
+    later = seen.filter(F.col("observed_at") >= at(CUT))
+    return drift.register_new_schemas(readers.read_table(t.spark, path), later).drop("columns")
+
+
 @query(
     "next_version_number",
     f"SELECT dataset_name, max(version_number) + 1 AS next_version FROM ({VERSIONS}) GROUP BY 1",

@@ -251,11 +251,13 @@ SUPPLIER_ORPHAN = "NOT EXISTS (SELECT 1 FROM @fk_suppliers AS p WHERE p.supplier
 @query(
     "pk_uniqueness",
     """SELECT CAST(sum(n) AS BIGINT) AS total_records, CAST(sum(n - 1) FILTER (WHERE n > 1) AS BIGINT) AS duplicate_count,
-        count(*) FILTER (WHERE n > 1) AS unique_duplicate_keys, count(*) FILTER (WHERE n > 1) > 0 AS has_duplicates
+        count(*) FILTER (WHERE n > 1) AS unique_duplicate_keys, count(*) FILTER (WHERE n > 1) > 0 AS has_duplicates,
+        coalesce((SELECT string_agg(l_orderkey || ', ' || l_linenumber, ';' ORDER BY l_orderkey, l_linenumber) FROM
+          (SELECT l_orderkey, l_linenumber FROM @lineitem GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 1, 2 LIMIT 100)), '') AS sample_keys
       FROM (SELECT count(*) AS n FROM @lineitem GROUP BY l_orderkey, l_linenumber)""",
 )
 def pk_uniqueness(t):
-    return integrity.pk_uniqueness(t.lineitem, PK)
+    return tidy(integrity.pk_uniqueness(t.lineitem, PK))
 
 
 @query(
@@ -270,11 +272,15 @@ def duplicate_key_samples(t):
 @query(
     "detect_duplicates",
     """SELECT CAST(sum(n) AS BIGINT) AS total_records, count(*) AS unique_records,
-        CAST(sum(n) AS BIGINT) - count(*) AS duplicate_count, sum(n) > count(*) AS has_duplicates
+        CAST(sum(n) AS BIGINT) - count(*) AS duplicate_count, sum(n) > count(*) AS has_duplicates,
+        (SELECT string_agg(coalesce(CAST(customer_id AS VARCHAR), 'NULL') || ', ' || coalesce(priority, 'NULL'), ';'
+            ORDER BY customer_id NULLS FIRST, priority NULLS FIRST) FROM
+          (SELECT customer_id, priority FROM @dirty_orders GROUP BY 1, 2 HAVING count(*) > 1
+            ORDER BY 1 NULLS FIRST, 2 NULLS FIRST LIMIT 100)) AS sample_keys
       FROM (SELECT count(*) AS n FROM @dirty_orders GROUP BY customer_id, priority)""",
 )
 def detect_duplicates(t):
-    return integrity.detect_duplicates(t.dirty_orders, ["customer_id", "priority"])
+    return tidy(integrity.detect_duplicates(t.dirty_orders, ["customer_id", "priority"]))
 
 
 @query(
@@ -301,18 +307,23 @@ def fk_orphan_values(t):
     return integrity.fk_orphan_values(t.fk_child, "order_ref", t.fk_orders, "order_id")
 
 
+def _orphan_sample(column: str, orphan: str) -> str:
+    return f"""coalesce((SELECT string_agg(coalesce(CAST({column} AS VARCHAR), 'NULL'), ';' ORDER BY {column} NULLS FIRST) FROM
+      (SELECT DISTINCT c.{column} FROM @fk_child AS c WHERE {orphan} ORDER BY 1 NULLS FIRST LIMIT 100)), '') AS sample_orphans"""
+
+
 @query(
     "fk_check",
     f"""SELECT 'order_ref' AS fk_column, 'orders' AS parent_dataset, 'order_id' AS parent_key_column,
         count(*) = 0 AS valid, count(*) AS orphan_count,
-        count(DISTINCT coalesce(c.order_ref, -1)) AS orphan_keys, CAST(NULL AS VARCHAR) AS error
+        count(DISTINCT coalesce(c.order_ref, -1)) AS orphan_keys, {_orphan_sample("order_ref", ORDER_ORPHAN)}, CAST(NULL AS VARCHAR) AS error
       FROM @fk_child AS c WHERE {ORDER_ORPHAN}
       UNION ALL SELECT 'supplier_ref', 'suppliers', 'supplier_id', count(*) = 0, count(*),
-        count(DISTINCT c.supplier_ref), NULL FROM @fk_child AS c WHERE {SUPPLIER_ORPHAN}
-      UNION ALL SELECT 'l_partkey', 'parts', 'p_partkey', false, 0, 0, 'Parent dataset ''parts'' not provided'""",
+        count(DISTINCT c.supplier_ref), {_orphan_sample("supplier_ref", SUPPLIER_ORPHAN)}, NULL FROM @fk_child AS c WHERE {SUPPLIER_ORPHAN}
+      UNION ALL SELECT 'l_partkey', 'parts', 'p_partkey', false, 0, 0, '', 'Parent dataset ''parts'' not provided'""",
 )
 def fk_check(t):
-    return integrity.fk_check(t.fk_child, {**FKS, "l_partkey": ("parts", "p_partkey")}, _parents(t))
+    return tidy(integrity.fk_check(t.fk_child, {**FKS, "l_partkey": ("parts", "p_partkey")}, _parents(t)))
 
 
 @query(
@@ -726,6 +737,9 @@ ALL_RULES = [
     _rule("off", "range", ["total"], enabled=False, min_value=0),
     _rule("no_column", "null_check", ["absent"]),
     _rule("no_parent", "referential_integrity"),
+    _rule("bad_column", "custom", expression="nowhere > 3"),
+    _rule("bad_sql", "custom", expression="total >"),
+    _rule("bad_pattern", "pattern", ["priority"], pattern="(open"),
 ]
 RUN_ALL = " UNION ALL ".join(
     [RULE_SQL[k] for k in RULES]
@@ -733,6 +747,9 @@ RUN_ALL = " UNION ALL ".join(
         CUSTOM,
         "SELECT 'no_column', 'null_check', 'error', 0, 0, 0e0",
         "SELECT 'no_parent', 'referential_integrity', 'error', 0, 0, 0e0",
+        "SELECT 'bad_column', 'custom', 'error', 0, 0, 0e0",
+        "SELECT 'bad_sql', 'custom', 'error', 0, 0, 0e0",
+        "SELECT 'bad_pattern', 'pattern', 'error', 0, 0, 0e0",
     ]
 )
 
