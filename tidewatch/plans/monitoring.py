@@ -492,6 +492,7 @@ TWO = ("CAST(format('{:.2f}',", ") AS DOUBLE)")
 
 
 def _evaluations(t):
+    """Operations with a service level: one without it has nothing to comply with, and is counted by ``sla_unrated``."""
     breach = F.when(F.col("sla_status") == "breached", F.col("dataset_age_hours") - 22)
     return t.freshness.filter(F.col("sla_status").isNotNull()).select(
         "dataset_name", "sla_status", F.col("dataset_age_hours").alias("actual_latency_hours"),
@@ -509,6 +510,17 @@ def sla_batch_by_dataset(t):
     return rollups.sla_batch(_evaluations(t), ["dataset_name"])
 
 
+@query(
+    "sla_unrated",
+    """SELECT dataset_name, count(*) AS operations, count(*) FILTER (WHERE sla_status IS NULL) AS unrated
+      FROM @freshness GROUP BY 1""",
+)
+def sla_unrated(t):
+    return t.freshness.groupBy("dataset_name").agg(
+        F.count(F.lit(1)).alias("operations"), F.count_if(F.col("sla_status").isNull()).alias("unrated")
+    )
+
+
 # --- windows ----------------------------------------------------------------------------------
 
 

@@ -33,7 +33,7 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
 
 def _machine_local(folder: str) -> bool:
     """A path below a temporary folder of one machine."""
-    path = folder.removeprefix("file:").replace("//", "/").rstrip("/") + "/"
+    path = "/" + folder.removeprefix("file:").strip("/") + "/"
     return folder.startswith(("/", "file:")) and path.startswith(("/tmp/", "/var/tmp/", tempfile.gettempdir() + "/"))
 
 

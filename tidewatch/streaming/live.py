@@ -2,7 +2,9 @@
 
 Every micro-batch writes its own ``batch_id=<n>`` folder and overwrites it when
 the batch is repeated after a failure, so results are neither lost nor doubled.
-State and offsets live in the checkpoint folder on shared storage.
+State and offsets live in the checkpoint folder on shared storage. ``compact``
+turns finished batches into one snapshot beside the sink, so that reading the current
+state does not grow with the age of the stream.
 """
 
 from __future__ import annotations
@@ -40,12 +42,22 @@ def _start(
 
 
 def stream_counters(
-    events: DataFrame, keys: Sequence[str], value: str, sink: str, checkpoint: str, every: str | None = None
+    events: DataFrame, keys: Sequence[str], value: str, sink: str, checkpoint: str, every: str | None = None,
+    ts: str | None = None, period: str | None = None, late: str = "0 seconds",
 ) -> StreamingQuery:
-    """Running count and sum per key; each batch writes the counters it changed."""
-    totals = events.groupBy(*[named(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("count"), F.sum(named(value)).alias("total")
-    )
+    """Running count and sum per key; each batch writes the counters it changed.
+
+    With ``ts`` and ``period`` counters run per key and period, and the state of a period
+    goes once events are ``late`` beyond its end, so it does not grow with the age of
+    the stream; ``current_state`` keyed by (period, keys) keeps them, and their sums are the totals.
+    """
+    columns: list[Column] = [named(k) for k in keys]
+    if ts and period:
+        events = events.withColumn(ts, named(ts).cast("timestamp")).withWatermark(ts, late)
+        columns.insert(0, F.window(named(ts), period).alias("w"))
+    totals = events.groupBy(*columns).agg(F.count(F.lit(1)).alias("count"), F.sum(named(value)).alias("total"))
+    if ts and period:
+        totals = totals.select(F.col("w.start").cast("timestamp_ntz").alias("period"), *keys, "count", "total")
     return _start(totals, sink, checkpoint, "update", lambda d: d, every)
 
 
@@ -72,12 +84,54 @@ def stream_ingest(
     return _start(files, sink, checkpoint, "append", validate, every)
 
 
+def _folders(spark: SparkSession, folder: str, prefix: str) -> dict[int, str]:
+    """Finished ``<prefix>=<number>`` folders by number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
+    for status in files.listStatus(path) if files.exists(path) else []:
+        name, child = status.getPath().getName(), status.getPath()
+        if name.startswith(f"{prefix}=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(child, "_SUCCESS")):
+            found[int(name.split("=", 1)[1])] = child.toString()
+    return found
+
+
+def _newest(spark: SparkSession, sink: str, keys: Sequence[str], values: Sequence[str]) -> tuple[DataFrame, int]:
+    """The newest values per key with their batch, from the last snapshot and the batches after it; the last batch."""
+    snapshots, batches = _folders(spark, f"{sink}-snapshots", "upto"), _folders(spark, sink, "batch_id")
+    upto = max(snapshots, default=-1)
+    later = [path for n, path in batches.items() if n > upto]
+    columns = [*keys, *values, "batch_id"]
+    parts = [spark.read.parquet(snapshots[upto]).select(*columns)] if upto >= 0 else []
+    if later:
+        parts.append(spark.read.option("basePath", sink).parquet(*later).select(*columns))
+    if not parts:
+        raise ValueError(f"no finished batch in {sink}")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    newest = rows.groupBy(*[named(k) for k in keys]).agg(
+        *[F.max_by(v, "batch_id").alias(v) for v in values], F.max("batch_id").alias("batch_id")
+    )
+    return newest, max([upto, *batches])
+
+
 def current_state(spark: SparkSession, sink: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The newest value per key over all batches written so far."""
-    rows = spark.read.parquet(sink)
-    return rows.groupBy(*[named(k) for k in keys]).agg(
-        *[F.max_by(v, "batch_id").alias(v) for v in values]
-    )
+    return _newest(spark, sink, keys, values)[0].drop("batch_id")
+
+
+def compact(spark: SparkSession, sink: str, keys: Sequence[str], values: Sequence[str]) -> int:
+    """Write the newest value per key as a snapshot and remove the batches and snapshots it replaces.
+
+    Returns the last batch in it. A snapshot counts once it is complete, and
+    batches after it are read beside it, so a failure at any point loses nothing.
+    """
+    rows, upto = _newest(spark, sink, keys, values)
+    rows.write.mode("overwrite").parquet(f"{sink}-snapshots/upto={upto}")
+    old = [p for n, p in _folders(spark, sink, "batch_id").items() if n <= upto]
+    old += [p for n, p in _folders(spark, f"{sink}-snapshots", "upto").items() if n < upto]
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, old):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return upto
 
 
 def retained(series: DataFrame, ts: str, hours: int = 24) -> DataFrame:
