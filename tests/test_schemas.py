@@ -117,3 +117,11 @@ def test_registration_against_stored_versions(observations):
     last = observations.filter("dataset_name = 'customers' AND observed_at = TIMESTAMP_NTZ '2024-01-06 00:00:00'")
     assert drift.register_new_schemas(everything, last).count() == 0
     assert shape(drift.register_new_schemas(everything.limit(0), observations)) == shape(everything)
+
+
+def test_contract_reads_each_side_once(spark):
+    contract = spark.range(0).selectExpr("'d' AS dataset_name", "'c' AS column_name", "'string' AS data_type", "true AS required")
+    observed = spark.range(0).selectExpr("'d' AS dataset_name", "'c' AS column_name", "'string' AS data_type")
+    for check in (contracts.contract_validate, contracts.contract_errors):
+        plan = check(contract, observed)._jdf.queryExecution().analyzed().toString()
+        assert plan.count("Range (") == 2 and plan.count("Join ") == 1

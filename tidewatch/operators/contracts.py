@@ -2,84 +2,85 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.scalars import normalize_type
 
 KEYS = ["dataset_name", "column_name"]
-ERROR_COLUMNS = ["dataset_name", "error_type", "column_name", "expected", "actual", "message"]
 
 
-def contract_missing(contract: DataFrame, observed: DataFrame) -> DataFrame:
-    """Required contract columns the dataset does not have."""
-    name = F.col("column_name")
-    return (
-        contract.filter("required").join(observed.select(*KEYS), KEYS, "left_anti")
-        .select(
-            "dataset_name", F.lit("missing_column").alias("error_type"), "column_name",
-            F.concat(F.lit("Required column: "), name).alias("expected"),
-            F.lit("Column not found").alias("actual"),
-            F.concat(F.lit("Required column '"), name, F.lit("' is missing from dataset")).alias("message"),
+def compare_contract(contract: DataFrame, observed: DataFrame) -> DataFrame:
+    """(dataset_name, column_name, in_contract, in_data, expected, actual, error_type): every column of either side, once.
+
+    One full outer join; error_type is null for a column that is as agreed.
+    """
+    want = contract.select(*KEYS, "required", F.col("data_type").alias("expected"), F.lit(True).alias("in_contract"))
+    have = observed.select(*KEYS, F.coalesce("data_type", F.lit("unknown")).alias("actual"), F.lit(True).alias("in_data"))
+    both = want.join(have, KEYS, "full_outer").fillna(False, ["in_contract", "in_data"])
+    differs = normalize_type(F.col("expected")) != normalize_type(F.col("actual"))
+    kind = (
+        F.when(~F.col("in_data") & F.col("required"), "missing_column")
+        .when(~F.col("in_contract"), "unexpected_column")
+        .when(F.col("in_data") & differs, "type_mismatch")
+    )
+    return both.withColumn("error_type", kind).drop("required")
+
+
+def contract_errors(contract: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row per missing, unexpected or mistyped column."""
+    name, kind = F.col("column_name"), F.col("error_type")
+    missing, unexpected = kind == "missing_column", kind == "unexpected_column"
+    message = (
+        F.when(missing, F.concat(F.lit("Required column '"), name, F.lit("' is missing from dataset")))
+        .when(unexpected, F.concat(F.lit("Column '"), name, F.lit("' exists in dataset but not in contract")))
+        .otherwise(
+            F.concat(
+                F.lit("Column '"), name, F.lit("' has type '"), F.col("actual"), F.lit("' but expected '"),
+                F.col("expected"), F.lit("'"),
+            )
         )
     )
+    return compare_contract(contract, observed).filter(kind.isNotNull()).select(
+        "dataset_name", "error_type", "column_name",
+        F.when(missing, F.concat(F.lit("Required column: "), name))
+        .when(unexpected, F.lit("Column should not exist")).otherwise(F.col("expected")).alias("expected"),
+        F.when(missing, F.lit("Column not found"))
+        .when(unexpected, F.concat(F.lit("Column found: "), name)).otherwise(F.col("actual")).alias("actual"),
+        message.alias("message"),
+    )
+
+
+def contract_missing(contract: DataFrame, observed: DataFrame) -> DataFrame:
+    """Required contract columns the dataset does not have."""
+    return contract_errors(contract, observed).filter(F.col("error_type") == "missing_column")
 
 
 def contract_unexpected(contract: DataFrame, observed: DataFrame) -> DataFrame:
     """Dataset columns the contract does not know."""
-    name = F.col("column_name")
-    return observed.join(contract.select(*KEYS), KEYS, "left_anti").select(
-        "dataset_name", F.lit("unexpected_column").alias("error_type"), "column_name",
-        F.lit("Column should not exist").alias("expected"),
-        F.concat(F.lit("Column found: "), name).alias("actual"),
-        F.concat(
-            F.lit("Column '"), name, F.lit("' exists in dataset but not in contract")
-        ).alias("message"),
-    )
+    return contract_errors(contract, observed).filter(F.col("error_type") == "unexpected_column")
 
 
 def contract_type_mismatch(contract: DataFrame, observed: DataFrame) -> DataFrame:
     """Columns on both sides whose normalised types differ."""
-    want = contract.select(*KEYS, F.col("data_type").alias("expected"))
-    have = observed.select(*KEYS, F.coalesce("data_type", F.lit("unknown")).alias("actual"))
-    return (
-        want.join(have, KEYS)
-        .filter(normalize_type(F.col("expected")) != normalize_type(F.col("actual")))
-        .select(
-            "dataset_name", F.lit("type_mismatch").alias("error_type"), "column_name", "expected", "actual",
-            F.concat(
-                F.lit("Column '"), F.col("column_name"), F.lit("' has type '"), F.col("actual"),
-                F.lit("' but expected '"), F.col("expected"), F.lit("'"),
-            ).alias("message"),
-        )
-    )
-
-
-def contract_errors(contract: DataFrame, observed: DataFrame) -> DataFrame:
-    parts = (contract_missing, contract_unexpected, contract_type_mismatch)
-    return reduce(
-        DataFrame.unionAll, [part(contract, observed).select(*ERROR_COLUMNS) for part in parts]
-    )
+    return contract_errors(contract, observed).filter(F.col("error_type") == "type_mismatch")
 
 
 def contract_validate(contract: DataFrame, observed: DataFrame) -> DataFrame:
-    """One verdict per dataset that has a contract."""
-    known = contract.select("dataset_name").distinct()
-    observed = observed.join(known, "dataset_name", "left_semi")
-    expected = contract.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("total_columns_expected"))
-    actual = observed.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("total_columns_actual"))
-    errors = contract_errors(contract, observed).groupBy("dataset_name").agg(
-        F.count(F.lit(1)).alias("error_count"),
-        F.count_if(F.col("error_type") == "missing_column").alias("missing_columns"),
-        F.count_if(F.col("error_type") == "unexpected_column").alias("unexpected_columns"),
-        F.count_if(F.col("error_type") == "type_mismatch").alias("type_mismatches"),
-    )
-    counts = ["total_columns_actual", "error_count", "missing_columns", "unexpected_columns", "type_mismatches"]
+    """One verdict per dataset that has a contract, from one comparison of its columns."""
+    def errors(kind: str, name: str):
+        return F.count_if(F.col("error_type") == kind).alias(name)
+
     return (
-        expected.join(actual, "dataset_name", "left").join(errors, "dataset_name", "left")
-        .fillna(0, counts)
+        compare_contract(contract, observed).groupBy("dataset_name").agg(
+            F.count_if("in_contract").alias("total_columns_expected"),
+            F.count_if("in_data").alias("total_columns_actual"),
+            F.count("error_type").alias("error_count"),
+            errors("missing_column", "missing_columns"),
+            errors("unexpected_column", "unexpected_columns"),
+            errors("type_mismatch", "type_mismatches"),
+        )
+        .filter(F.col("total_columns_expected") > 0)
         .withColumn("is_valid", F.col("error_count") == 0)
     )
 
