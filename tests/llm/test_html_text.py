@@ -18,6 +18,15 @@ def test_one_page():
     assert extract_text(PAGE, [])[0] == TEXT
 
 
+def test_classes_of_neighbours_and_forms():
+    text = "<p>" + "The words of the story. " * 5 + "</p>"
+    for page in (
+        f"<div class='content has-sidebar'>{text}</div>", f"<article class='post widget'>{text}<article class='comment'>{text}</article></article>",
+        f"<form id=all><div>{text}</div></form>", f"<div class='post'>{text}</div><form><p>{'Fill in. ' * 40}</p></form>",
+    ):
+        assert extract_text(page, [])[0] == ("The words of the story. " * 5).strip(), page
+
+
 def test_broken_markup_ends():
     for page in ("", "<", "<p", "<!-- open", "<script>x", "<p title='a>b", "a <b <c> d", "</p></div>text", "<div>" * 3000 + "x" + "</div>" * 10):
         assert isinstance(extract_text(page, [])[0], str)

@@ -37,6 +37,9 @@ MARKS = frozenset(
     "breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion social share sharing related "
     "recommended recommendations pagination pager copyright hidden complementary contentinfo search skip".split()
 )
+#: Of these words the ones that mark even an article or main element; and beginnings of a class that only tells of a neighbour.
+FOREIGN = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies respond".split())
+NEIGHBOUR = ("has-", "with-", "no-", "without-")
 #: Words in a class or id that speak for main text.
 MAIN = frozenset("article content post entry story main body text".split())
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -76,7 +79,9 @@ def _marks(attributes: str) -> tuple[set[str], str]:
         name = name.lower()
         if name in ("class", "id", "role"):
             value = html.unescape(a or b or c)
-            words.update(p.lower() for p in _PARTS.findall(value))
+            for part in value.split():
+                if not part.lower().startswith(NEIGHBOUR):
+                    words.update(p.lower() for p in _PARTS.findall(part))
             if name == "class":
                 classes = "".join("." + w for w in sorted(set(_DIGITS.sub("#", value).split())))
         elif name == "aria-hidden" and (a or b or c) == "true":
@@ -87,7 +92,15 @@ def _marks(attributes: str) -> tuple[set[str], str]:
 
 
 def read(page: str) -> tuple[list[Element], list[Block]]:
-    """The containers of a page and its blocks of possible main text, in page order."""
+    """The containers of a page and its blocks of possible main text, in page order.
+
+    Forms are no main text, unless a page has all of its text in one.
+    """
+    found = _read(page, BESIDE)
+    return found if found[1] or "<form" not in page.lower() else _read(page, BESIDE - {"form"})
+
+
+def _read(page: str, besides: frozenset[str]) -> tuple[list[Element], list[Block]]:
     elements = [Element((), -1, False)]
     blocks: list[Block] = []
     # Open elements: tag, container number, whether outside main text, in a link, in an article; and how many of each tag.
@@ -176,7 +189,7 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
             flush()
             words, classes = _marks(attributes) if attributes.strip() else (set(), "")
             article = article or name in ("article", "main")
-            beside = beside or name in BESIDE or (name not in ("body", "html") and bool(words & MARKS))
+            beside = beside or name in besides or (name not in ("body", "html") and bool(words & (FOREIGN if name in ("article", "main") else MARKS)))
             beside = beside or ((name == "header" or "header" in words) and not article and name not in HEADING)
             if name not in ("p", *HEADING) and not beside:
                 step = name if name in ("html", "body") else name + classes
@@ -184,7 +197,7 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
                 elements.append(Element((*elements[container].steps, step)[-STEPS:], container, good))
                 container = len(elements) - 1
         else:
-            beside = beside or name in BESIDE or (name != "a" and attributes != "" and bool(_marks(attributes)[0] & MARKS))
+            beside = beside or name in besides or (name != "a" and attributes != "" and bool(_marks(attributes)[0] & MARKS))
             link = link or name == "a"
         if not attributes.rstrip().endswith("/"):
             stack.append((name, container, beside, link, article))
