@@ -59,16 +59,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load_all()
     spark.read.parquet(f"{folder}/region.parquet").count()
-    seconds: dict[str, float] = {}
-    for name in names:
-        best = None
-        for _ in range(2):
-            start = time.perf_counter()
-            # Every row and column is computed, nothing is kept.
-            queries[name](spark, folder).write.format("noop").mode("overwrite").save()
-            elapsed = time.perf_counter() - start
-            best = elapsed if best is None else min(best, elapsed)
-        seconds[name] = round(best, 3)
+    seconds = {name: timed(spark, queries[name], folder) for name in names}
+    # The same queries on a tenth of the data show what grows with it.
+    smaller = os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.01")
+    small = {n: timed(spark, queries[n], smaller, 1) for n in names} if os.path.isdir(smaller) and smaller != folder else {}
     print(
         json.dumps(
             {
@@ -77,11 +71,22 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
+                "smaller": {"sf": smaller.rstrip("/").rsplit("sf", 1)[-1], "value": round(sum(small.values()), 3), "queries": small},
             }
         )
     )
     spark.stop()
 
 
+def timed(spark, query, folder: str, runs: int = 2) -> float:
+    """The best of some runs; every row and column is computed, nothing is kept."""
+    best = float("inf")
+    for _ in range(runs):
+        start = time.perf_counter()
+        query(spark, folder).write.format("noop").mode("overwrite").save()
+        best = min(best, time.perf_counter() - start)
+    return round(best, 3)
+
+
 if __name__ == "__main__":
     main()

@@ -71,7 +71,9 @@ def test_record_duplicates(hot, small_skew_limits):
 def test_existing_records(hot, small_skew_limits):
     payload = hot.select("id", F.to_json(F.struct("k")).alias("p"))
     rows = records.existing_duplicates(payload, payload.filter("id < 300"), "p", ["k"], "id")
-    assert len(rows.collect()) == 10000 + 200
+    found = {(r.record_index, r.k) for r in rows.collect()}
+    assert found == {(i, "0") for i in range(0, 30000, 3)} | {(i, str(i)) for i in range(300) if i % 3}
+    assert hot_rows_avoid_the_shuffle(rows)
 
 
 def test_load_outcomes(hot, small_skew_limits):

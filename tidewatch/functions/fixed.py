@@ -61,6 +61,35 @@ RETRYABLE_REASONS = (
     "connection_error",
 )
 
+# Messages of the checks before a load is retried: passed, failed, recommendation.
+RETRY_CHECKS = {
+    "staging": (
+        "Staging data exists ({staged} records)",
+        "No staging data found - may need to re-ingest",
+        "Re-ingest source data before retry",
+    ),
+    "reason": (
+        "Failure reason is retryable",
+        "Failure reason may not be retryable - review required",
+        "Review failure reason: {reason}",
+    ),
+    "retries": (
+        "Retry count acceptable ({retries}/3)",
+        "Maximum retry attempts reached ({retries})",
+        "Investigate root cause before further retries",
+    ),
+    "warehouse": (
+        "No partial data in warehouse (clean retry)",
+        "Partial data exists in warehouse ({loaded} records)",
+        "Clean up partial warehouse data before retry",
+    ),
+    "elapsed": (
+        "Sufficient time elapsed since failure ({hours}h)",
+        "Recent failure - consider waiting before retry",
+        "Wait at least 1 hour between retry attempts",
+    ),
+}
+
 # Load states that end a load.
 TERMINAL_LOAD_STATES = ("completed", "failed", "rolled_back")
 

@@ -6,6 +6,7 @@ without a batch, and the state of a load is the latest of its events.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -250,6 +251,12 @@ def failed_records(staging: DataFrame, preview: int = 200) -> DataFrame:
 # --- retry decisions --------------------------------------------------------------------
 
 
+def _filled(text: str, values: dict[str, Column]) -> Column:
+    """A message with its ``{names}`` replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
+
+
 def retry_eligibility(
     failed: DataFrame, staging: DataFrame, processed: DataFrame, as_of: Column
 ) -> DataFrame:
@@ -262,41 +269,15 @@ def retry_eligibility(
     )
     hours = hours_between(F.col("load_failed_at"), as_of)
     retries = F.col("retry_count").cast("string")
-    checks = [
-        (
-            F.col("staging_count") > 0,
-            F.concat(F.lit("Staging data exists ("), F.col("staging_count").cast("string"), F.lit(" records)")),
-            F.lit("No staging data found - may need to re-ingest"),
-            F.lit("Re-ingest source data before retry"),
-        ),
-        (
-            reason_is_retryable(F.col("failure_reason")),
-            F.lit("Failure reason is retryable"),
-            F.lit("Failure reason may not be retryable - review required"),
-            F.concat(F.lit("Review failure reason: "), F.col("failure_reason")),
-        ),
-        (
-            F.col("retry_count") < 3,
-            F.concat(F.lit("Retry count acceptable ("), retries, F.lit("/3)")),
-            F.concat(F.lit("Maximum retry attempts reached ("), retries, F.lit(")")),
-            F.lit("Investigate root cause before further retries"),
-        ),
-        (
-            F.col("warehouse_count") == 0,
-            F.lit("No partial data in warehouse (clean retry)"),
-            F.concat(
-                F.lit("Partial data exists in warehouse ("),
-                F.col("warehouse_count").cast("string"), F.lit(" records)"),
-            ),
-            F.lit("Clean up partial warehouse data before retry"),
-        ),
-        (
-            hours >= 1,
-            F.concat(F.lit("Sufficient time elapsed since failure ("), fixed_text(hours, 1), F.lit("h)")),
-            F.lit("Recent failure - consider waiting before retry"),
-            F.lit("Wait at least 1 hour between retry attempts"),
-        ),
-    ]
+    values = {
+        "staged": F.col("staging_count").cast("string"), "retries": retries, "loaded": F.col("warehouse_count").cast("string"),
+        "hours": fixed_text(hours, 1), "reason": F.col("failure_reason"),
+    }
+    holds = {
+        "staging": F.col("staging_count") > 0, "reason": reason_is_retryable(F.col("failure_reason")), "retries": F.col("retry_count") < 3,
+        "warehouse": F.col("warehouse_count") == 0, "elapsed": hours >= 1,
+    }
+    checks = [(holds[name], *[_filled(text, values) for text in texts]) for name, texts in fixed.RETRY_CHECKS.items()]
     ready = F.size("checks_failed") == 0
     return (
         joined.withColumns(

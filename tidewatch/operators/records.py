@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -75,17 +74,12 @@ def _variant_type(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def record_types(
-    df: DataFrame, index: str, payload: str, schema: Mapping[str, str], shown: int | None = None
-) -> DataFrame:
-    """(record, field) pairs whose non-null value has another type than expected."""
-    parsed = df.select(
-        named(index).alias("record_index"), F.try_parse_json(named(payload)).alias("_json")
-    )
+def _type_findings(json: str, schema: Mapping[str, str]) -> Column:
+    """An entry for each field whose non-null value has another type than expected."""
     def finding(field: str, expected: str) -> Column:
-        kind = _variant_type(F.variant_get("_json", f"$.{field}", "variant"))
+        kind = _variant_type(F.variant_get(json, f"$.{field}", "variant"))
         wrong = kind.isNotNull() & ~kind.isin("VOID", *RECORD_TYPES[expected])
-        text = F.substring(F.try_variant_get("_json", f"$.{field}", "string"), 1, VALUE_LENGTH)
+        text = F.substring(F.try_variant_get(json, f"$.{field}", "string"), 1, VALUE_LENGTH)
         # The value is only read for a mismatch.
         return F.when(
             wrong,
@@ -95,10 +89,19 @@ def record_types(
             ),
         )
 
-    checks = F.array_compact(F.array(*[finding(f, e) for f, e in schema.items()]))
+    return F.array_compact(F.array(*[finding(f, e) for f, e in schema.items()]))
+
+
+def record_types(
+    df: DataFrame, index: str, payload: str, schema: Mapping[str, str], shown: int | None = None
+) -> DataFrame:
+    """(record, field) pairs whose non-null value has another type than expected."""
+    parsed = df.select(
+        named(index).alias("record_index"), F.try_parse_json(named(payload)).alias("_json")
+    )
     names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
     found = (
-        parsed.select("record_index", F.inline(checks))
+        parsed.select("record_index", F.inline(_type_findings("_json", schema)))
         .select(
             "record_index", "field", "expected_type", names[F.col("_type")].alias("actual_type"), "value"
         )
@@ -151,32 +154,37 @@ def validate_batch(
     unique_keys: Sequence[str] = (),
     schema: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per configured record check with its number of findings."""
-    parts = []
-    if required:
-        found = record_required_columns(df, index, payload, required)
-        parts.append(("required_columns", "Required columns", " records missing required columns", found))
+    """One row per configured record check with its number of findings, from one scan and one aggregation per key."""
+    none = F.lit(0)
+    flags = df.select(
+        F.struct(*_key_fields(payload, unique_keys), none.alias("_none")).alias("_key"),
+        (F.size(missing_fields(named(payload), required)) > 0).cast("int").alias("missing") if required else none.alias("missing"),
+        named(payload).alias("_payload"),
+    )
+    wrong = F.size(_type_findings("_json", schema)) if schema else none
+    flags = flags.withColumn("_json", F.try_parse_json("_payload")).select("_key", "missing", wrong.alias("wrong"))
+    sums = [F.sum("missing").alias("missing"), F.sum("wrong").alias("wrong")]
     if unique_keys:
-        found = record_duplicates(df, index, payload, unique_keys)
-        parts.append(("duplicates", "Duplicate", " duplicate records found", found))
-    if schema:
-        found = record_types(df, index, payload, schema)
-        parts.append(("data_types", "Data type", " type mismatches found", found))
+        # One row per key, combined before the shuffle; the findings of its records go along.
+        flags = flags.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), *sums)
+        sums.append(F.sum(F.col("n") - 1).alias("again"))
+    counted = flags.agg(*[F.coalesce(s, none).cast("bigint").alias(n) for s, n in zip(sums, ("missing", "wrong", "again"))])
+    kinds = [
+        (required, "required_columns", "Required columns", " records missing required columns", "missing"),
+        (unique_keys, "duplicates", "Duplicate", " duplicate records found", "again"),
+        (schema, "data_types", "Data type", " type mismatches found", "wrong"),
+    ]
     rows = []
-    for kind, title, text, found in parts:
-        n = F.col("finding_count")
-        rows.append(
-            found.agg(F.count(F.lit(1)).alias("finding_count")).select(
-                F.lit(kind).alias("validation_type"),
-                (n == 0).alias("is_valid"),
-                n,
-                F.concat(
-                    F.lit(f"{title} validation "), F.when(n == 0, "passed").otherwise("failed"),
-                    F.lit(": "), n.cast("string"), F.lit(text),
-                ).alias("message"),
+    for wanted, kind, title, text, name in kinds:
+        if wanted:
+            n = F.col(name)
+            message = F.concat(
+                F.lit(f"{title} validation "), F.when(n == 0, "passed").otherwise("failed"), F.lit(": "), n.cast("string"), F.lit(text)
             )
-        )
-    return reduce(DataFrame.unionAll, rows)
+            rows.append(
+                F.struct(F.lit(kind).alias("validation_type"), (n == 0).alias("is_valid"), n.alias("finding_count"), message.alias("message"))
+            )
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def batch_verdict(checks: DataFrame) -> DataFrame:

@@ -88,7 +88,12 @@ def metrics_summary(df: DataFrame) -> DataFrame:
 def histogram_stats(
     df: DataFrame, keys: list[str], value: str, *newest_first: Column, size: int = HISTOGRAM_SIZE
 ) -> DataFrame:
-    """Statistics over the last ``size`` values per key; percentiles pick the value at int(n*p)."""
+    """Statistics over the last ``size`` values per key; percentiles pick the value at int(n*p).
+
+    Up to 1 000 values Spark limits each key before the shuffle, so no key is hot; a larger ``size`` is refused.
+    """
+    if not 0 < size <= HISTOGRAM_SIZE:
+        raise ValueError(f"size must be at most {HISTOGRAM_SIZE}")
     last = first_n_per_key(df, keys, size, *newest_first)
     # At most ``size`` values per key remain, so the list is bounded.
     lists = last.groupBy(*keys).agg(F.sort_array(F.collect_list(named(value))).alias("v"))
