@@ -89,10 +89,6 @@ class Text:
     def n_capitals(self) -> int:
         return len(self.raw) - len(self.raw.translate(None, bytes(range(65, 91))))
 
-    @cached_property
-    def n_small(self) -> int:
-        return len(self.raw) - len(self.raw.translate(None, bytes(range(97, 123))))
-
 
 class Rule(NamedTuple):
     """A reason to reject a document."""
@@ -108,8 +104,9 @@ RULES = [
     Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 4 * len(t.lines)),
     Rule("stutter", lambda t: 10 * t.n_stutters > 3 * t.n_words),
     Rule("exclamations", lambda t: 2 * t.n_exclamations > t.n_words),
-    Rule("capitals", lambda t: t.n_capitals > t.n_small),
-    Rule("long_words", lambda t: t.word_chars > 20 * t.n_words),
+    Rule("capitals", lambda t: 2 * t.n_capitals > t.word_chars),
+    # Scripts without spaces have long words; they take several bytes a character.
+    Rule("long_words", lambda t: t.word_chars > 20 * t.n_words and len(t.raw) < 1.5 * len(t.text)),
 ]
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
