@@ -107,50 +107,62 @@ def version_columns(versions: DataFrame) -> DataFrame:
     )
 
 
-def compare_columns(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per change between two schemas of the same ``keys``.
+SIDES = ("previous", "current")
 
-    Both sides: (keys, column_name, data_type, nullable, position).
-    """
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(
-            *keys, "column_name",
-            F.col("data_type").alias(f"{prefix}_type"), F.col("nullable").alias(f"{prefix}_nullable"),
-            F.col("position").alias(f"{prefix}_position"), F.lit(True).alias(f"_{prefix}"),
-        )
 
-    both = side(previous, "previous").join(side(current, "current"), [*keys, "column_name"], "full_outer")
+def _side(role: str) -> Column:
+    """The column as it stands on one side of a comparison."""
+    entry = F.struct(F.col("data_type").alias("type"), F.col("nullable"), F.col("position"))
+    return F.max(F.when(F.col("_role") == role, entry)).alias(f"_{role}")
+
+
+def _changes(roles: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per change from rows (keys, column_name, data_type, nullable, position, _role), by one aggregation."""
+    both = roles.groupBy(*keys, "column_name").agg(*[_side(role) for role in SIDES])
     old, new = F.col("_previous").isNotNull(), F.col("_current").isNotNull()
     kept = old & new
     kinds = F.array_compact(
         F.array(
             F.when(new & ~old, "added"),
             F.when(old & ~new, "removed"),
-            F.when(kept & ~F.col("previous_type").eqNullSafe(F.col("current_type")), "type"),
-            F.when(kept & ~F.col("previous_nullable").eqNullSafe(F.col("current_nullable")), "nullability"),
-            F.when(kept & (F.col("previous_position") != F.col("current_position")), "position"),
+            F.when(kept & ~F.col("_previous.type").eqNullSafe(F.col("_current.type")), "type"),
+            F.when(kept & ~F.col("_previous.nullable").eqNullSafe(F.col("_current.nullable")), "nullability"),
+            F.when(kept & (F.col("_previous.position") != F.col("_current.position")), "position"),
         )
     )
     return both.select(
         *keys, "column_name", F.explode(kinds).alias("change"),
-        "previous_type", "current_type", "previous_nullable", "current_nullable",
-        "previous_position", "current_position",
+        *[F.col(f"_{role}.{f}").alias(f"{role}_{f}") for f in ("type", "nullable", "position") for role in SIDES],
     )
 
 
-def successive(columns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(previous, current) schemas keyed by (dataset_name, current_version)."""
-    current = columns.filter(F.col("version_number") > 1).withColumn("current_version", F.col("version_number"))
-    shifted = columns.withColumn("current_version", F.col("version_number") + 1)
-    # The newest version has no successor; its columns must not look like removals.
-    followed = current.filter(F.col("position") == 0).select("dataset_name", "current_version")
-    return shifted.join(followed, ["dataset_name", "current_version"], "left_semi"), current
+def compare_columns(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per change between two schemas of the same ``keys``.
+
+    Both sides: (keys, column_name, data_type, nullable, position), a column once.
+    """
+    columns = [*keys, "column_name", "data_type", "nullable", "position"]
+    parts = [df.select(*columns, F.lit(role).alias("_role")) for df, role in zip((previous, current), SIDES)]
+    return _changes(parts[0].unionAll(parts[1]), keys)
+
+
+def _compared(columns: DataFrame) -> DataFrame:
+    """Every version as the current one of its own comparison and the previous one of the next, with the later one's time."""
+    heads = columns.filter((F.col("position") == 0) & (F.col("version_number") > 1)).select(
+        "dataset_name", F.col("version_number").alias("current_version"), "detected_at"
+    )
+    roles = F.array(
+        F.struct(F.col("version_number").alias("current_version"), F.lit("current").alias("_role")),
+        F.struct((F.col("version_number") + 1).alias("current_version"), F.lit("previous").alias("_role")),
+    )
+    both = columns.select("dataset_name", "column_name", "data_type", "nullable", "position", F.inline(roles))
+    # A first version has nothing before it, and the newest nothing after it.
+    return both.join(heads, ["dataset_name", "current_version"])
 
 
 def drift_changes(columns: DataFrame) -> DataFrame:
     """Every version against its predecessor, one row per change."""
-    previous, current = successive(columns)
-    return compare_columns(previous, current, ["dataset_name", "current_version"])
+    return _changes(_compared(columns), ["dataset_name", "current_version"])
 
 
 def categorize(changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,13 +187,9 @@ def categorize(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 def drift_history(columns: DataFrame) -> DataFrame:
     """Drift rows of all versions: type, severity, change counts and time."""
-    times = columns.filter(F.col("position") == 0).select(
-        "dataset_name", F.col("version_number").alias("current_version"), "detected_at"
-    )
-    drift = categorize(drift_changes(columns), ["dataset_name", "current_version"])
-    return drift.join(times, ["dataset_name", "current_version"]).withColumn(
-        "previous_version", F.col("current_version") - 1
-    ).withColumn("acknowledged", F.lit(False))
+    keys = ["dataset_name", "current_version", "detected_at"]
+    drift = categorize(_changes(_compared(columns), keys), keys)
+    return drift.withColumn("previous_version", F.col("current_version") - 1).withColumn("acknowledged", F.lit(False))
 
 
 def compare_versions(columns: DataFrame, version1: int, version2: int) -> DataFrame:
