@@ -86,6 +86,34 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *STATISTICS, base_failed.alias("base_failed"), "kept")
 
 
+ORACLES["op5_quality_rules"] = r"""
+WITH w AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+        [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
+    FROM documents),
+win AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+rep AS (
+    SELECT doc_id, count(DISTINCT p) AS n
+    FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1)
+    GROUP BY doc_id),
+s AS (
+    SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+        len(ls) AS n_lines, len([i FOR i IN range(2, len(ws) + 1) IF ws[i] = ws[i - 1]]) AS n_stutters,
+        length(t) - length(replace(t, '!', '')) AS n_exclamations, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
+        strlen(t) AS n_bytes, length(t) AS n_chars
+    FROM w LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 4 * n_lines OR 10 * n_stutters > 3 * n_words
+        OR 2 * n_exclamations > n_words OR 2 * n_capitals > word_chars OR (word_chars > 20 * n_words AND n_bytes * 2 < 3 * n_chars)) AS kept
+FROM b
+"""
+
+
 @query
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = scan(table(spark, folder, "documents"))
