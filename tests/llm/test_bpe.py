@@ -3,7 +3,7 @@ import struct
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import by_id
-from tidewatch.llm.bpe import encode, split_words
+from tidewatch.llm.bpe import decode, encode, split_words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -20,7 +20,7 @@ def expected(text):
 
 def test_equals_the_library(make):
     docs = make([(i, t) for i, t in enumerate(TEXTS)] + [(11, "same"), (None, "no id")], "doc_id long, text string")
-    got = by_id(encode(docs, PATH, blocks=3), "doc_id", "n_tokens", "ids", "decoded")
+    got = by_id(decode(encode(docs, PATH, blocks=3), PATH), "doc_id", "n_tokens", "ids", "decoded")
     for i, text in enumerate(TEXTS):
         assert got[i][0][0] == expected(text)[0] and bytes(got[i][0][1]) == expected(text)[1] and got[i][0][2] == expected(text)[2]
     assert len(got[11]) == 2 and got[None][0][2] == expected("no id")[2]
@@ -34,7 +34,7 @@ def test_blocks_do_not_matter(spark):
 
 
 def test_empty_table(make):
-    assert encode(make([], "doc_id long, text string"), PATH).count() == 0
+    assert decode(encode(make([], "doc_id long, text string"), PATH), PATH).count() == 0
 
 
 def test_words_are_cut_at_the_tokenizers_white_space():

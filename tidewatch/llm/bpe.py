@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +20,8 @@ from tidewatch.llm.text import row_key
 #: Python's split() also cuts at these separators, which tokenizers do not take for white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(r"(?:(?![\x1c-\x1f])\s)+")
+#: Documents decoded at a time.
+_ROWS = 256
 
 
 @lru_cache(maxsize=2)
@@ -48,24 +50,28 @@ def split_words(text: str) -> list[str]:
     return [w for w in _SPACES.split(text) if w]
 
 
-def _by_bucket(texts: list[str], buckets: int) -> dict[int, list[str]]:
+def _by_bucket(texts: Iterable[str], buckets: int) -> dict[int, list[str]]:
     """The distinct words of a block, sorted, in buckets that are the same for every block."""
+    distinct: set[str] = set()
+    for text in texts:
+        distinct.update(split_words(text))
     found: dict[int, list[str]] = defaultdict(list)
-    for word in set().union(*map(split_words, texts)):
+    for word in distinct:
         found[zlib.crc32(word.encode()) % buckets].append(word)
-    return {bucket: sorted(words) for bucket, words in found.items()}
+    for words in found.values():
+        words.sort()
+    return found
 
 
 def encode(documents: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text): doc_id, key, n_tokens, ids, decoded.
+    """One row per row of ``documents`` (doc_id, text): doc_id, key, n_tokens, ids.
 
     ids are little-endian unsigned 32-bit integers; they equal what the tokenizer
-    in ``path`` gives for the whole text without special tokens of its own, and
-    decoded equals its decoding with special tokens. Null texts count as empty:
-    no ids, and the empty text. Repeated rows each get their row; other columns
-    are ignored.
+    in ``path`` gives for the whole text without special tokens of its own.
+    Null texts count as empty and have no ids. Repeated rows each get their row;
+    other columns are ignored.
 
-    The tokenizer must not join tokens across white space and must have no decoder.
+    The tokenizer must not join tokens across white space.
     Documents are dealt over ``blocks`` (by default twice the input partitions). A
     block sends its distinct words, sorted and cut into hash buckets, to the bucket's
     task, which encodes each distinct word of the corpus once. The ids come back in
@@ -88,9 +94,10 @@ def encode(documents: DataFrame, path: str, blocks: int | None = None) -> DataFr
         pack, f"block int, doc_id {kind}, key long, packed binary"
     ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
 
-    def unpacked(frame: pd.DataFrame) -> list[str]:
+    def unpacked(frame: pd.DataFrame) -> Iterator[str]:
+        """One text after the other, so that a block is never unpacked as a whole."""
         opener = zstandard.ZstdDecompressor()
-        return [opener.decompress(x).decode() for x in frame["packed"]]
+        return (opener.decompress(x).decode() for x in frame["packed"])
 
     def parcels(frame: pd.DataFrame) -> pd.DataFrame:
         packer = zstandard.ZstdCompressor(level=3)
@@ -101,40 +108,52 @@ def encode(documents: DataFrame, path: str, blocks: int | None = None) -> DataFr
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
             out = []
             for packed in batch["packed"]:
                 words = opener.decompress(packed).decode().split("\n")
                 new = [w for w in words if w not in known]
                 for word, code in zip(new, _tokenizer(path).encode_batch(new, add_special_tokens=False)):
-                    known[word] = code.ids
+                    known[word] = np.array(code.ids, dtype="<u4").tobytes()
                 ids = [known[w] for w in words]
                 sizes = np.fromiter(map(len, ids), dtype="<u4", count=len(ids))
-                flat = np.fromiter((i for x in ids for i in x), dtype="<u4", count=int(sizes.sum()))
-                out.append(packer.compress(np.concatenate([sizes, flat]).tobytes()))
+                out.append(packer.compress(sizes.tobytes() + b"".join(ids)))
             yield pd.DataFrame({"block": batch["block"], "bucket": batch["bucket"], "codes": out})
 
     def join(texts: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        opener, pieces = zstandard.ZstdDecompressor(), _pieces(path)
-        plain = unpacked(texts)
-        words, of = _by_bucket(plain, blocks), {}
+        opener, words, of = zstandard.ZstdDecompressor(), _by_bucket(unpacked(texts), blocks), {}
         for bucket, packed in zip(codes["bucket"], codes["codes"]):
-            all_ids, here = np.frombuffer(opener.decompress(packed), dtype="<u4"), words.pop(bucket)
-            ends = np.cumsum(all_ids[: len(here)]) * 4
-            flat, start = all_ids[len(here) :].tobytes(), 0
+            here, all_ids = words.pop(bucket), opener.decompress(packed)
+            ends, start = np.cumsum(np.frombuffer(all_ids, dtype="<u4", count=len(here))) + 4 * len(here), 4 * len(here)
             for word, end in zip(here, ends.tolist()):
-                of[word] = flat[start:end]
+                of[word] = all_ids[start:end]
                 start = end
-        ids = [b"".join(map(of.__getitem__, split_words(x))) for x in plain]
-        del plain, of
-        decoded = [" ".join(map(pieces.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in ids]
-        return pd.DataFrame(
-            {"doc_id": texts["doc_id"], "key": texts["key"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": decoded}
-        )
+        ids = [b"".join(map(of.__getitem__, split_words(x))) for x in unpacked(texts)]
+        return pd.DataFrame({"doc_id": texts["doc_id"], "key": texts["key"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
 
     sent = dealt.groupBy("block").applyInPandas(parcels, "bucket int, block int, packed binary")
     back = sent.repartition("bucket").mapInPandas(encoded, "block int, bucket int, codes binary")
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
-        join, f"doc_id {kind}, key long, n_tokens long, ids binary, decoded string"
+        join, f"doc_id {kind}, key long, n_tokens long, ids binary"
     )
+
+
+def decode(coded: DataFrame, path: str) -> DataFrame:
+    """``coded`` (doc_id, key, n_tokens, ids) with decoded: the pieces of its ids, as the tokenizer decodes them with special tokens.
+
+    Every id is joined with its piece by position; the table of pieces is as long as the
+    vocabulary. The tokenizer must have no decoder: then pieces are joined by spaces.
+    """
+    fields = ["doc_id", "key", "n_tokens", "ids"]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(path)
+        for batch in batches:
+            for start in range(0, len(batch), _ROWS):
+                some = batch.slice(start, _ROWS)
+                texts = [" ".join(map(pieces.__getitem__, np.frombuffer(x.as_py(), dtype="<u4").tolist())) for x in some["ids"]]
+                yield pa.RecordBatch.from_arrays([*(some[f] for f in fields), pa.array(texts, pa.string())], [*fields, "decoded"])
+
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    return coded.select(fields).mapInArrow(spell, f"doc_id {kind}, key long, n_tokens long, ids binary, decoded string")
