@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.labels import held_out, training_rows
+from tidewatch.session import written
 
 #: Labelled rows the lexicon is learned from, at most.
 TRAINING_ROWS = 20_000
@@ -191,7 +192,8 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: i
     texts = training_rows(documents, labels, label, rows)
     texts = texts.dropDuplicates(["label", "text"]).withColumns({"head": F.substring("text", 1, 48), "tail": F.substring("text", -48, 48)})
     texts = texts.groupBy("label", "head").agg(F.min_by("text", "rank").alias("text"), F.min_by("tail", "rank").alias("tail"), F.min("rank").alias("rank"))
-    texts = texts.groupBy("label", "tail").agg(F.min_by("text", "rank").alias("text")).select("label", "text")
+    # The documents are read once for the sample; everything below reads the sample.
+    texts = written(texts.groupBy("label", "tail").agg(F.min_by("text", "rank").alias("text")).select("label", "text"), "training")
     words = texts.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))).alias("word"), F.xxhash64("text").alias("of"))
     sizes = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
