@@ -31,6 +31,8 @@ def test_blocks_do_not_matter(spark):
     docs = spark.createDataFrame(docs.collect(), docs.schema)
     one, many = (by_id(encode(docs, PATH, blocks=n), "doc_id", "ids") for n in (1, 17))
     assert one == many
+    both = encode(docs, PATH, blocks=5, with_text=True)
+    assert by_id(both, "doc_id", "decoded") == by_id(decode(encode(docs, PATH), PATH), "doc_id", "decoded")
 
 
 def test_empty_table(make):

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -63,8 +64,8 @@ def _by_bucket(texts: Iterable[str], buckets: int) -> dict[int, list[str]]:
     return found
 
 
-def encode(documents: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text): doc_id, key, n_tokens, ids.
+def encode(documents: DataFrame, path: str, blocks: int | None = None, with_text: bool = False) -> DataFrame:
+    """One row per row of ``documents`` (doc_id, text): doc_id, key, n_tokens, ids; with ``with_text`` also decoded, as ``decode`` gives it.
 
     ids are little-endian unsigned 32-bit integers; they equal what the tokenizer
     in ``path`` gives for the whole text without special tokens of its own.
@@ -94,24 +95,28 @@ def encode(documents: DataFrame, path: str, blocks: int | None = None) -> DataFr
         pack, f"block int, doc_id {kind}, key long, packed binary"
     ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
 
-    def unpacked(frame: pd.DataFrame) -> Iterator[str]:
+    def unpacked(table: pa.Table) -> Iterator[str]:
         """One text after the other, so that a block is never unpacked as a whole."""
         opener = zstandard.ZstdDecompressor()
-        return (opener.decompress(x).decode() for x in frame["packed"])
+        return (opener.decompress(x.as_py()).decode() for x in table["packed"])
 
-    def parcels(frame: pd.DataFrame) -> pd.DataFrame:
+    def parcels(table: pa.Table) -> pa.Table:
         packer = zstandard.ZstdCompressor(level=3)
-        found = _by_bucket(unpacked(frame), blocks)
-        return pd.DataFrame(
-            {"bucket": list(found), "block": frame["block"].iloc[0], "packed": [packer.compress("\n".join(w).encode()) for w in found.values()]}
-        )
+        found = _by_bucket(unpacked(table), blocks)
+        block = table["block"][0].as_py() if len(table) else 0
+        packed = [packer.compress("\n".join(w).encode()) for w in found.values()]
+        columns = [pa.array(list(found), pa.int32()), pa.array([block] * len(found), pa.int32()), pa.array(packed, pa.binary())]
+        return pa.Table.from_arrays(columns, ["bucket", "block", "packed"])
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         known: dict[str, bytes] = {}
+        current = None
         for batch in batches:
             out = []
-            for packed in batch["packed"]:
+            for bucket, packed in zip(batch["bucket"], batch["packed"]):
+                if bucket != current:  # a bucket's words stand in no other
+                    current, known = bucket, {}
                 words = opener.decompress(packed).decode().split("\n")
                 new = [w for w in words if w not in known]
                 for word, code in zip(new, _tokenizer(path).encode_batch(new, add_special_tokens=False)):
@@ -121,24 +126,37 @@ def encode(documents: DataFrame, path: str, blocks: int | None = None) -> DataFr
                 out.append(packer.compress(sizes.tobytes() + b"".join(ids)))
             yield pd.DataFrame({"block": batch["block"], "bucket": batch["bucket"], "codes": out})
 
-    def join(texts: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
+    def join(texts: pa.Table, codes: pa.Table) -> pa.Table:
         opener, words, of = zstandard.ZstdDecompressor(), _by_bucket(unpacked(texts), blocks), {}
-        for bucket, packed in zip(codes["bucket"], codes["codes"]):
-            here, all_ids = words.pop(bucket), opener.decompress(packed)
+        for bucket, packed in zip(codes["bucket"].to_pylist(), codes["codes"]):
+            here, all_ids = words.pop(bucket), opener.decompress(packed.as_py())
             ends, start = np.cumsum(np.frombuffer(all_ids, dtype="<u4", count=len(here))) + 4 * len(here), 4 * len(here)
             for word, end in zip(here, ends.tolist()):
                 of[word] = all_ids[start:end]
                 start = end
-        ids = [b"".join(map(of.__getitem__, split_words(x))) for x in unpacked(texts)]
-        return pd.DataFrame({"doc_id": texts["doc_id"], "key": texts["key"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
-
-    sent = dealt.groupBy("block").applyInPandas(parcels, "bucket int, block int, packed binary")
-    back = sent.repartition("bucket").mapInPandas(encoded, "block int, bucket int, codes binary")
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
-        join, f"doc_id {kind}, key long, n_tokens long, ids binary"
+        del words
+        all_texts, columns = unpacked(texts), ([], [], [])
+        while some := [b"".join(map(of.__getitem__, split_words(x))) for x in islice(all_texts, _ROWS)]:
+            columns[0].append(pa.array([len(x) // 4 for x in some], pa.int64()))
+            columns[1].append(pa.array(some, pa.binary()))
+            columns[2].append(_spelled(some, path) if with_text else pa.nulls(len(some), pa.string()))
+        kinds = (pa.int64(), pa.binary(), pa.string())[: 2 + with_text]
+        made = [pa.chunked_array(c, k) for c, k in zip(columns, kinds)]
+        return pa.Table.from_arrays([texts["doc_id"], texts["key"], *made], ["doc_id", "key", "n_tokens", "ids", "decoded"][: 4 + with_text])
+
+    sent = dealt.groupBy("block").applyInArrow(parcels, "bucket int, block int, packed binary")
+    back = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(encoded, "block int, bucket int, codes binary")
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        join, f"doc_id {kind}, key long, n_tokens long, ids binary" + ", decoded string" * with_text
     )
 
 
+def _spelled(ids: list[bytes], path: str) -> pa.Array:
+    """The pieces of each text's ids, joined by spaces."""
+    pieces = _pieces(path)
+    return pa.array([" ".join(map(pieces.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in ids], pa.string())
+
+
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """``coded`` (doc_id, key, n_tokens, ids) with decoded: the pieces of its ids, as the tokenizer decodes them with special tokens.
 
@@ -148,12 +166,10 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     fields = ["doc_id", "key", "n_tokens", "ids"]
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(path)
         for batch in batches:
             for start in range(0, len(batch), _ROWS):
                 some = batch.slice(start, _ROWS)
-                texts = [" ".join(map(pieces.__getitem__, np.frombuffer(x.as_py(), dtype="<u4").tolist())) for x in some["ids"]]
-                yield pa.RecordBatch.from_arrays([*(some[f] for f in fields), pa.array(texts, pa.string())], [*fields, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(some[f] for f in fields), _spelled(some["ids"].to_pylist(), path)], [*fields, "decoded"])
 
     kind = coded.schema["doc_id"].dataType.simpleString()
     return coded.select(fields).mapInArrow(spell, f"doc_id {kind}, key long, n_tokens long, ids binary, decoded string")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.llm import quality_model, toxicity
-from tidewatch.llm.bpe import decode, encode
+from tidewatch.llm.bpe import encode
 from tidewatch.llm.conversations import format_chats
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.html_text import extract
@@ -74,7 +74,7 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = decode(encode(table(spark, folder, "documents"), path), path)
+    coded = encode(table(spark, folder, "documents"), path, with_text=True)
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
