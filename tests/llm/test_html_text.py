@@ -27,6 +27,18 @@ def test_classes_of_neighbours_and_forms():
         assert extract_text(page, [])[0] == ("The words of the story. " * 5).strip(), page
 
 
+def test_text_beside_the_largest_container():
+    text = "The words of the story. " * 40
+    said = text.strip()
+    for inner in ("<h1>Title</h1><p>Lead</p>", "<header><h1>Title</h1></header><p>Lead</p>"):
+        for kind in ("article", "main"):
+            page = f"<body><div>menu</div><{kind}>{inner}<div class='article-body'><p>{text}</p></div></{kind}></body>"
+            assert extract_text(page, [best_path(page)[0]])[0] == f"Title\nLead\n{said}"
+    two = f"<section class='a'><p>{text}</p></section><section class='b'><p>Short end.</p></section>"
+    for page in (f"<article><h1>Title</h1>{two}</article>", f"<body><div class='page'><h1>Title</h1>{two}</div><div>beside</div></body>"):
+        assert extract_text(page, [best_path(page)[0]])[0] == f"Title\n{said}\nShort end."
+
+
 def test_broken_markup_ends():
     for page in ("", "<", "<p", "<!-- open", "<script>x", "<p title='a>b", "a <b <c> d", "</p></div>text", "<div>" * 3000 + "x" + "</div>" * 10):
         assert isinstance(extract_text(page, [])[0], str)

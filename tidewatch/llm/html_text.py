@@ -71,6 +71,10 @@ class Element(NamedTuple):
         """The last steps from the root, so that deep pages have short paths."""
         return "/".join(self.steps)
 
+    @property
+    def tag(self) -> str:
+        return self.steps[-1].split(".")[0] if self.steps else ""
+
 
 def _marks(attributes: str) -> tuple[set[str], str]:
     """The words in class, id and role, and the classes for the path, digits generalised."""
@@ -220,12 +224,36 @@ def scores(elements: list[Element], blocks: list[Block]) -> list[float]:
     return total
 
 
-def best_path(page: str) -> tuple[str, float]:
-    """The path of the page's container with the highest score, the first of equals."""
-    elements, blocks = read(page)
+def best(elements: list[Element], blocks: list[Block]) -> tuple[int, float]:
+    """The container of the main text and the score it is chosen by.
+
+    The container with the highest score, the first of equals; then the outermost
+    article around it, or the outermost main without one, or else the parent of
+    several sections of which it is one.
+    """
     total = scores(elements, blocks)
     at = max(range(len(total)), key=lambda i: (total[i], -i))
-    return elements[at].path, total[at]
+    score = total[at]
+    around = [at]
+    while elements[around[-1]].parent > 0:
+        around.append(elements[around[-1]].parent)
+    for kind in ("article", "main"):
+        whole = [i for i in around if elements[i].tag == kind]
+        if whole:
+            return whole[-1], score
+    if elements[at].tag != "section":
+        return at, score
+    # Sections of one parent are parts of one text.
+    parent = elements[at].parent
+    parts = [i for i, e in enumerate(elements) if e.parent == parent and e.tag == "section" and total[i] > 0]
+    return (parent if len(parts) > 1 else at), score
+
+
+def best_path(page: str) -> tuple[str, float]:
+    """The path of the page's container of main text, and its score."""
+    elements, blocks = read(page)
+    at, score = best(elements, blocks)
+    return elements[at].path, score
 
 
 def extract_text(page: str, winning: list[str]) -> tuple[str, str]:
@@ -237,8 +265,7 @@ def extract_text(page: str, winning: list[str]) -> tuple[str, str]:
     paths = {e.path for e in elements}
     path = next((w for w in winning if w in paths), None)
     if path is None or not blocks:
-        total = scores(elements, blocks)
-        path = elements[max(range(len(total)), key=lambda i: (total[i], -i))].path
+        path = elements[best(elements, blocks)[0]].path
     inside = [False] * len(elements)
     for at, element in enumerate(elements):
         inside[at] = element.path == path or (element.parent >= 0 and inside[element.parent])
