@@ -55,6 +55,18 @@ def test_learned_terms_and_held_out_rows(spark):
     assert right / total > 0.96
 
 
+def test_texts_under_one_header_are_all_learned_from(make):
+    draw = random.Random(3)
+    some = lambda n: " ".join("".join(draw.choices("abcdefghij", k=7)) for _ in range(n))
+    header, footer = "the header of a forum that stands above all of its posts", "and the footer that stands below all of the posts of the forum"
+    texts = [(i, f"{header} {some(9)} grumpfel {some(9)} {footer}", 1) for i in range(400)]
+    texts += [(1000 + i, f"{some(30)}", 0) for i in range(400)]
+    docs, labels = make([t[:2] for t in texts], "doc_id long, text string"), make([(t[0], t[2]) for t in texts], "doc_id long, toxic int")
+    found = learn(docs, labels)
+    assert found.match("grumpfel").term == "grumpfel"
+    assert not found.match("header") and not found.match("forum") and not found.match("below")
+
+
 def test_edge_rows(make):
     docs = make([(1, None), (2, ""), (3, "you idiot"), (3, "you idiot"), (None, "filler " * 100_000 + "scum")], "doc_id long, text string")
     labels = make([(None, 1), (1, 1), (2, None), (9, 0)], "doc_id long, toxic int")

@@ -10,6 +10,7 @@ from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.llm.labels import held_out, training_rows
@@ -30,6 +31,8 @@ REPORTING = frozenset(("said", "says", "wrote", "called", "quote", "quoted", "qu
 ADDRESSING = frozenset(("you", "your", "youre", "du", "dein", "ihr", "tu", "ton", "vous", "eres", "usted"))
 #: Context factors, words on either side that are looked at, and the score's growth with the sum.
 QUOTED, REPORTED, ADDRESSED, AROUND, GROWTH = 0.2, 0.4, 1.3, 6, 1.24
+#: Words on either side that tell a copy of a place from another place.
+BESIDE = 4
 #: A misspelled term counts this much of the term.
 MISSPELLED = 0.5
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -182,44 +185,67 @@ def rate(text: str, automaton: Automaton) -> tuple[float, list[tuple[str, int, i
     return 1 - math.exp(-GROWTH * total), places
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct word of a text at its first place, with hashes of the text and of the ``BESIDE`` words before and behind it; of the text where there are none."""
+    for batch in batches:
+        for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist()):
+            found = _WORDS.findall(text.lower())
+            if not found:
+                continue
+            first = {word: i for i, word in reversed(list(enumerate(found)))}
+            of = xxhash.xxh3_64_intdigest(text.encode())
+            hashes = [
+                [xxhash.xxh3_64_intdigest(" ".join(w).encode()) if w else of for w in sides]
+                for sides in ((found[max(0, i - BESIDE) : i] for i in first.values()), (found[i + 1 : i + 1 + BESIDE] for i in first.values()))
+            ]
+            columns = [pa.array([label] * len(first), pa.int32()), pa.array(list(first), pa.string())]
+            columns += [pa.array(h, pa.uint64()).view(pa.int64()) for h in ([of] * len(first), *hashes)]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "word", "of", "before", "behind"])
+
+
 def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS, lexicon: tuple[str, ...] = LEXICON) -> Automaton:
     """An automaton of ``lexicon`` and of words and stems that mark toxic texts among at most ``rows`` labelled ones.
 
-    Texts that begin or end alike count once, so that the words of a copied text
-    are not taken for terms. Words of texts that are not toxic are no
+    A word counts once for each surrounding it has, so that the words of a copied text
+    are not taken for terms; all distinct texts are trained on. Words of texts that are not toxic are no
     misspellings. Everything the driver gets comes from the bounded sample.
     """
     texts = training_rows(documents, labels, label, rows)
-    texts = texts.dropDuplicates(["label", "text"]).withColumns({"head": F.substring("text", 1, 48), "tail": F.substring("text", -48, 48)})
-    texts = texts.groupBy("label", "head").agg(F.min_by("text", "rank").alias("text"), F.min_by("tail", "rank").alias("tail"), F.min("rank").alias("rank"))
     # The documents are read once for the sample; everything below reads the sample.
-    texts = written(texts.groupBy("label", "tail").agg(F.min_by("text", "rank").alias("text")).select("label", "text"), "training")
-    words = texts.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))).alias("word"), F.xxhash64("text").alias("of"))
+    texts = written(texts.select("label", "text").dropDuplicates(["label", "text"]), "training")
+    words = written(texts.mapInArrow(_placed, "label int, word string, of long, before long, behind long"), "words")
     sizes = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    n_toxic, n_clean = F.sum(F.col("label")).alias("n_toxic"), F.sum(1 - F.col("label")).alias("n_clean")
+    # Copied words stand between the same words: a word counts once for each of them, on the side with fewer.
+    n_toxic, n_clean = (
+        F.least(*[F.count_distinct(F.when(F.col("label") == label, F.col(c))) for c in ("of", "before", "behind")]).alias(name)
+        for label, name in ((1, "n_toxic"), (0, "n_clean"))
+    )
     rate_toxic, rate_clean = F.col("n_toxic") / max(toxic, 1), (F.col("n_clean") + 0.5) / (clean + 1)
     marks = (F.col("n_toxic") >= LEAST_TEXTS) & (rate_toxic >= LEAST_RATIO * rate_clean)
     marks_stem = marks & (rate_toxic >= STEM_RATIO * rate_clean)
     weight = F.col("n_toxic") / (F.col("n_toxic") + F.col("n_clean") + 0.3)
-    counted = words.groupBy("word").agg(n_toxic, n_clean)
+    # Surroundings are no more than texts, so only words of enough texts are counted by them: a part of the bounded sample's.
+    plain = written(words.groupBy("word").agg(F.sum("label").alias("in_toxic"), F.sum(1 - F.col("label")).alias("in_clean")), "counts")
+    often = plain.filter(F.col("in_toxic") >= LEAST_TEXTS).select("word")
+    counted = words.join(F.broadcast(often), "word", "left_semi").groupBy("word").agg(n_toxic, n_clean)
     begins = words.withColumn("stem", F.explode(F.array(*[F.substring("word", 1, n) for n in (4, 5, 6)]))).filter(F.length("word") > F.length("stem"))
-    per_text = begins.select("stem", "label", "of").distinct().groupBy("stem").agg(n_toxic, n_clean)
     endings = begins.filter("label = 1").groupBy("stem").agg(F.count_distinct("word").alias("endings")).filter(F.col("endings") >= LEAST_ENDINGS)
-    found = per_text.filter(marks_stem).join(endings, "stem").select("stem", weight, "n_toxic").collect()
+    per_text = begins.join(F.broadcast(endings), "stem", "left_semi").groupBy("stem").agg(n_toxic, n_clean)
+    found = per_text.filter(marks_stem).select("stem", weight, "n_toxic").collect()
     # A longer stem that stands in as good as all the texts is clearer; else the shortest stands for longer ones.
     texts_of = {r[0]: r[2] for r in found}
     vague = {s[:n] for s, count in texts_of.items() for n in range(4, len(s)) if count >= 0.95 * texts_of.get(s[:n], math.inf)}
     clear = {s for s in texts_of if s not in vague}
     stems = [Term(r[0], r[1], True) for r in found if r[0] in clear and not any(r[0][:n] in clear for n in range(4, len(r[0])))]
     terms = {r[0]: Term(r[0], r[1], False) for r in counted.filter(marks & (F.length("word") >= 3)).select("word", weight).collect()}
-    common = {r[0] for r in counted.filter(F.col("word").isin(*lexicon) & (F.col("n_clean") > 0) & ~marks).select("word").collect()} if lexicon else set()
+    common = {r[0] for r in plain.filter(F.col("word").isin(*lexicon) & (F.col("in_clean") > 0)).select("word").collect()} - set(terms) if lexicon else set()
     for word in lexicon:
         if word not in common:
             terms.setdefault(word, Term(word, 1.0, False))
     own = [t for t in terms.values() if not any(t.text.startswith(s.text) for s in stems)]
     nearby = Automaton([*own, *stems])
-    ordinary = counted.filter("n_clean > 0").select("word")
+    ordinary = plain.filter("in_clean > 0").select("word")
 
     def misread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
