@@ -13,6 +13,7 @@ from tidewatch.llm.conversations import format_chats
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.html_text import extract
 from tidewatch.llm.licenses import scan
+from tidewatch.llm.packing import pack
 from tidewatch.llm.passages import repeated_passages
 from tidewatch.llm.quality_rules import STATISTICS, judge
 from tidewatch.llm.simhash import near_duplicates
@@ -167,3 +168,8 @@ def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
     found = repeated_passages(table(spark, folder, "documents"))
     each = found.select("doc_id", "n_left", F.explode("passages").alias("passage"))
     return each.select("doc_id", "passage.first_word", "passage.n_words", F.col("passage.other_id").alias("first_doc_id"), "passage.similarity", "n_left")
+
+
+@query
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
