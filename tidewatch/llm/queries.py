@@ -13,6 +13,7 @@ from tidewatch.llm.conversations import format_chats
 from tidewatch.llm.decontamination import decontaminate
 from tidewatch.llm.html_text import extract
 from tidewatch.llm.licenses import scan
+from tidewatch.llm.merkle import document_leaves, manifest
 from tidewatch.llm.packing import pack
 from tidewatch.llm.passages import repeated_passages
 from tidewatch.llm.quality_rules import STATISTICS, judge
@@ -27,6 +28,13 @@ def query(plan: Callable[[SparkSession, str], DataFrame]):
     return plan
 
 
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text: each byte goes in, then eight bits are shifted out."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ord(c), 256, 256, 256, 256, 256, 256, 256, 256]))"
+    shifted = "xor(crc >> 1, CASE WHEN crc & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda crc, x: CASE WHEN x < 256 THEN xor(crc, x) ELSE {shifted} END))"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -173,3 +181,47 @@ def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(document_leaves(table(spark, folder, "documents")), "lang", "doc_id", "changed")
+
+
+ORACLES["op13_merkle"] = rf"""
+WITH RECURSIVE base AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS rid
+    FROM (
+        SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+            CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0
+                THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS changed
+        FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+            coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents))),
+lv AS (
+    SELECT 0 AS l, lang, pos, n, leaf AS d FROM base
+    UNION ALL
+    SELECT l + 1, lang, pos // 2, any_value((n + 1) // 2), sha256(string_agg(d, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY l, lang, pos // 2),
+tops AS (SELECT lang, l AS h, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+up AS (
+    SELECT 0 AS l, pos, n, d FROM tops
+    UNION ALL
+    SELECT l + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(d, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY l, pos // 2),
+root AS (SELECT l AS h, d FROM up WHERE n = 1),
+path AS (
+    SELECT rid, b.l, b.pos >> b.l AS pos, s.d AS sib
+    FROM (SELECT b.*, unnest(range(t.h)) AS l FROM base b JOIN tops t ON b.lang IS NOT DISTINCT FROM t.lang) b
+    LEFT JOIN lv s ON s.l = b.l AND s.lang IS NOT DISTINCT FROM b.lang AND s.pos = xor(b.pos >> b.l, 1)
+    UNION ALL
+    SELECT rid, b.h + b.l, b.top >> b.l, s.d
+    FROM (SELECT b.rid, t.h, t.pos AS top, unnest(range(r.h)) AS l FROM base b JOIN tops t ON b.lang IS NOT DISTINCT FROM t.lang, root r) b
+    LEFT JOIN up s ON s.l = b.l AND s.pos = xor(b.top >> b.l, 1)),
+proofs AS (SELECT rid, coalesce(string_agg(sib, '' ORDER BY l), '') AS sibs FROM path GROUP BY rid),
+fold AS (
+    SELECT rid, 0 AS l, changed AS d FROM base WHERE changed IS NOT NULL
+    UNION ALL
+    SELECT f.rid, f.l + 1, CASE WHEN p.pos % 2 = 1 THEN sha256(p.sib || f.d) ELSE sha256(f.d || coalesce(p.sib, '')) END
+    FROM fold f JOIN path p ON p.rid = f.rid AND p.l = f.l),
+folded AS (SELECT rid, max_by(d, l) AS d FROM fold GROUP BY rid)
+SELECT b.doc_id, b.leaf, t.d AS subroot, r.d AS root, sha256(coalesce(p.sibs, '')) AS proof_sha256, coalesce(f.d, r.d) AS folded_root, coalesce(f.d, r.d) = r.d AS verified
+FROM base b JOIN tops t ON b.lang IS NOT DISTINCT FROM t.lang CROSS JOIN root r LEFT JOIN proofs p USING (rid) LEFT JOIN folded f USING (rid)
+"""
