@@ -18,6 +18,7 @@ from tidewatch.llm.packing import pack
 from tidewatch.llm.passages import repeated_passages
 from tidewatch.llm.quality_rules import STATISTICS, judge
 from tidewatch.llm.simhash import near_duplicates
+from tidewatch.llm.trie import prefix_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +226,39 @@ folded AS (SELECT rid, max_by(d, l) AS d FROM fold GROUP BY rid)
 SELECT b.doc_id, b.leaf, t.d AS subroot, r.d AS root, sha256(coalesce(p.sibs, '')) AS proof_sha256, coalesce(f.d, r.d) AS folded_root, coalesce(f.d, r.d) = r.d AS verified
 FROM base b JOIN tops t ON b.lang IS NOT DISTINCT FROM t.lang CROSS JOIN root r LEFT JOIN proofs p USING (rid) LEFT JOIN folded f USING (rid)
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = rf"""
+WITH t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || x)) AS p,
+        count(*) OVER (PARTITION BY conv_id) AS n, sha256(strlen(r) || ':' || r || x) AS d, len(regexp_extract_all(x, '[^ 	-]+')) AS words
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, any_value(n) AS n, any_value({crc32_sql("CAST(conv_id AS VARCHAR)")} % 4) AS h FROM t GROUP BY conv_id),
+k AS (SELECT c.*, conv_id - conv_id % 20 AS base, least(h, coalesce((SELECT b.n FROM c b WHERE b.conv_id = c.conv_id - c.conv_id % 20), 0)) AS k FROM c),
+turns AS (
+    SELECT k.conv_id, t.p AS depth, d, words FROM k JOIN t ON t.conv_id = k.base AND t.p <= k.k
+    UNION ALL
+    SELECT k.conv_id, k.k + t.p - k.h, d, words FROM k JOIN t ON t.conv_id = k.conv_id AND t.p > k.h),
+pre AS (
+    SELECT conv_id, depth, words, count(*) OVER (PARTITION BY conv_id) AS len,
+        sha256(string_agg(d, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS name FROM turns
+    UNION ALL
+    SELECT conv_id, 0, 0, (SELECT count(*) FROM turns x WHERE x.conv_id = c.conv_id), '' FROM c),
+node AS (
+    SELECT name, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends_sha256
+    FROM pre GROUP BY name, depth),
+up AS (SELECT n.name, n.depth, q.name AS above FROM node n JOIN pre q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1),
+kids AS (SELECT above AS name, count(*) AS n FROM up GROUP BY above),
+own AS (SELECT n.*, coalesce(kids.n, 0) AS n_children, a.conv_id AS parent_conv_id FROM node n LEFT JOIN kids USING (name) LEFT JOIN up ON up.name = n.name LEFT JOIN node a ON a.name = up.above),
+sums AS (
+    SELECT q.name, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.words) AS saved_tokens
+    FROM own o JOIN pre q ON q.conv_id = o.conv_id AND q.depth <= o.depth GROUP BY q.name)
+SELECT o.conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM own o JOIN sums USING (name)
+"""
