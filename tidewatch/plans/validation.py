@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import results as R
-from tidewatch.operators import checksums, integrity, records, rules, runs, validators
+from tidewatch.operators import checksums, hashtree, integrity, records, rules, runs, validators
 from tidewatch.plans.catalog import query
 from tidewatch.plans.common import tidy, verdict
+from tidewatch.session import written
 
 DIRTY = ["order_id", "customer_id", "priority", "quantity_text", "date_text", "flag_text", "total", "comment"]
 
@@ -234,6 +235,77 @@ def checksum_check(t):
     )
 
 
+# --- hash trees -----------------------------------------------------------------
+
+TREE = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipmode_note"]
+TREE_KEYS = ["l_orderkey", "l_linenumber"]
+# A copy of the line items in which some rows are gone, some new, some changed and some repeated.
+TREE_LEFT = "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_linestatus END AS l_shipmode_note FROM @lineitem"
+TREE_RIGHT = f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 701 = 3 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
+    l_returnflag, l_shipmode_note FROM ({TREE_LEFT}) WHERE l_orderkey % 907 <> 5
+  UNION ALL SELECT -l_orderkey, l_linenumber, l_quantity, l_returnflag, NULL FROM ({TREE_LEFT}) WHERE l_orderkey % 1009 = 7
+  UNION ALL SELECT * FROM ({TREE_LEFT}) WHERE l_orderkey % 1103 = 11"""
+
+
+def _tree_text(columns: list[str]) -> str:
+    parts = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns]
+    return " || ".join(parts)
+
+
+def _tree_sql(table: str, levels: int) -> str:
+    """All levels of a hash tree, last level first."""
+    number = lambda i: f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT))"
+    sums = " || '|' || ".join(number(i) for i in range(4))
+    leaf = f"""SELECT left(md5({_tree_text(TREE_KEYS)}), {levels}) AS r, md5({_tree_text(TREE)}) AS h FROM ({table})"""
+    parts = [f"SELECT {levels} AS level, r AS range, count(*) AS n_rows, md5(count(*) || '|' || {sums}) AS digest FROM ({leaf}) GROUP BY r"]
+    names = [f"l{levels}"]
+    for level in range(levels - 1, -1, -1):
+        below = names[-1]
+        parts.append(f"SELECT {level} AS level, left(range, {level}) AS range, CAST(sum(n_rows) AS BIGINT) AS n_rows, md5(string_agg(range || '=' || digest, ',' ORDER BY range)) AS digest FROM {below} GROUP BY 2")
+        names.append(f"l{level}")
+    ctes = ", ".join(f"{n} AS ({p})" for n, p in zip(names, parts))
+    return f"WITH {ctes} " + " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)
+
+
+@query("hash_tree", _tree_sql(TREE_LEFT, 2))
+def hash_tree(t):
+    return hashtree.table_tree(t.sql(TREE_LEFT), TREE_KEYS, TREE, 2)
+
+
+@query("merged_hash_tree", f"SELECT n_rows, digest FROM ({_tree_sql(TREE_LEFT, 3)}) WHERE level = 0")
+def merged_hash_tree(t):
+    """The digest of a table from the leaves of its parts."""
+    parts = [hashtree.leaves(t.sql(f"SELECT * FROM ({TREE_LEFT}) WHERE l_orderkey % 3 = {i}"), TREE_KEYS, TREE, 3) for i in range(3)]
+    return hashtree.root_digest(hashtree.hash_tree(hashtree.merged_leaves(*parts)))
+
+
+@query(
+    "differing_ranges",
+    f"""SELECT coalesce(a.range, b.range) AS range, coalesce(a.n_rows, 0) AS left_rows, coalesce(b.n_rows, 0) AS right_rows
+      FROM ({_tree_sql(TREE_LEFT, 3)}) AS a FULL JOIN ({_tree_sql(TREE_RIGHT, 3)}) AS b ON a.level = b.level AND a.range = b.range
+      WHERE coalesce(a.level, b.level) = 3 AND a.digest IS DISTINCT FROM b.digest""",
+)
+def differing_ranges(t):
+    return hashtree.differing_ranges(*[written(hashtree.table_tree(t.sql(x), TREE_KEYS, TREE, 3), "tree") for x in (TREE_LEFT, TREE_RIGHT)])
+
+
+def _whole_rows(table: str) -> str:
+    rows = f"SELECT {', '.join(TREE_KEYS)}, {_tree_text(TREE)} AS whole FROM ({table})"
+    return f"SELECT {', '.join(TREE_KEYS)}, count(*) AS n, string_agg(whole, chr(10) ORDER BY whole) AS listed FROM ({rows}) GROUP BY {', '.join(TREE_KEYS)}"
+
+
+@query(
+    "differing_keys",
+    f"""SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber,
+        CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'extra' ELSE 'changed' END AS kind,
+        coalesce(a.n, 0) AS left_rows, coalesce(b.n, 0) AS right_rows
+      FROM ({_whole_rows(TREE_LEFT)}) AS a FULL JOIN ({_whole_rows(TREE_RIGHT)}) AS b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber
+      WHERE a.listed IS DISTINCT FROM b.listed""",
+)
+def differing_keys(t):
+    return hashtree.differing_keys(t.sql(TREE_LEFT), t.sql(TREE_RIGHT), TREE_KEYS, TREE, levels=3)
+
+
 # --- keys ------------------------------------------------------------------------
 
 PK = ["l_orderkey", "l_linenumber"]
