@@ -30,19 +30,22 @@ REMEMBERED = 600_000
 #: Rows of one Arrow batch.
 _ROWS = 4096
 _END_OF_WORD = "</w>"
-#: A run of these letters is one word to the tokenizer's rules, and so is a run of these marks behind it.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
-_MARKS = ".,;:!?%$&()*#\"-"
+#: To the tokenizer's rules a run of these letters is one word, and so is a run of these marks behind it.
+_LETTERS, _MARKS = "a-zß-öø-ÿ", ".,;:!?%$&()*#\"-"
+_PLAIN = re.compile(f"[{_LETTERS}]+|[{re.escape(_MARKS)}]+").fullmatch
+_MARK = f"[{re.escape(_MARKS)}]"
+_MARKED = re.compile(f"{_MARK}(?<=[{_LETTERS}]{_MARK}){_MARK}*(?=[ \n\t\r]|\\Z)")
 _BEYOND_LATIN = re.compile("[^\x00-\xff]").search
 
 
 class WordCoder:
     """ids of whole texts, word by word, as the tokenizer in ``path`` gives them.
 
-    A word is what stands between white space; no token crosses it. Words of Latin
-    letters, with ordinary marks behind them or without, are encoded in large batches by the same model
-    without the regular expressions of the full tokenizer; all others go through the
-    full tokenizer word by word. Each word is encoded once until the memory is emptied.
+    A word is what stands between white space; no token crosses it. In texts of Latin letters the
+    marks that end a word are words of their own, as the tokenizer takes them. Words of Latin letters, and such marks, are
+    encoded in large batches by the same model without the regular expressions of the full
+    tokenizer; all others go through the full tokenizer word by word. Each word is encoded
+    once until the memory is emptied.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -51,7 +54,6 @@ class WordCoder:
         self.full.no_padding()
         self.remembered = remembered
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         vocabulary = self.full.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(_END_OF_WORD)]] = True
@@ -59,65 +61,48 @@ class WordCoder:
         self.fast.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.lowers, self.plain = False, lambda _: None
-        self.lowers, self.plain = (True, _PLAIN) if self._agrees() else (False, self.plain)
+        self.short = self._agrees()
+        self.words.clear()
 
     def _agrees(self) -> bool:
         """Whether this tokenizer has the rules that the short way stands for."""
-        probe = ["Harbour", "été.", "Größe,", "tide%%%", "x", 'q"', "mooring-", "zz*#", "ÀÖØöøÿ", "a(;b"]
-        for word in probe:
-            low = word.lower()
-            letters = low.rstrip(_MARKS)
-            if not _PLAIN(letters):
-                continue
-            parts = [p for p in (letters, low[len(letters) :]) if p]
-            self._learn_parts(parts)
-            expected = np.array(self.full.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if b"".join(self.parts.get(p, b"") for p in parts) != expected:
+        probe = ["Harbour", "été.", "Größe,", "tide%%%", "x", 'q"', "mooring-", "zz*#", "ÀÖØöøÿ", "a(;b", "a. b"]
+        for text in probe:
+            words = _MARKED.sub(r" \g<0>", text.lower()).split()
+            plain = [w for w in words if _PLAIN(w)]
+            self._learn_plain(plain)
+            expected = np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if len(plain) == len(words) and b"".join(self.words.get(w, b"") for w in words) != expected:
                 return False
         return True
 
-    def _learn_parts(self, order: list[str]) -> None:
-        chunks = [" ".join(order[i : i + 1024]) for i in range(0, len(order), 1024)]
-        for at, code in enumerate(self.fast.encode_batch(chunks, add_special_tokens=False)):
+    def _learn_plain(self, plain: list[str]) -> list[str]:
+        """Remember plain words; returns those that the model spells otherwise than with one ending piece."""
+        words, unclear = self.words, []
+        chunks = [plain[i : i + 1024] for i in range(0, len(plain), 1024)]
+        for chunk, code in zip(chunks, self.fast.encode_batch([" ".join(c) for c in chunks], add_special_tokens=False)):
             ids = np.array(code.ids, dtype="<u4")
-            here, raw, start = order[at * 1024 : (at + 1) * 1024], ids.tobytes(), 0
             last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(here):
-                for part, end in zip(here, (4 * (last + 1)).tolist()):
-                    self.parts[part] = raw[start:end]
-                    start = end
+            if len(last) != len(chunk):
+                unclear += chunk
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(chunk, (4 * last + 4).tolist()):
+                words[word] = raw[start:end]
+                start = end
+        return unclear
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.parts) > self.remembered:
-            self.parts.clear()
-        words, known, later, others, missing = self.words, self.parts, [], [], set()
-        for word in new:
-            letters = word.rstrip(_MARKS)
-            found = known.get(letters)
-            if found is not None and len(letters) == len(word):
-                words[word] = found
-            elif self.plain(letters) and len(word) < 256:
-                later.append((word, letters))
-                missing.add(letters)
-                if len(letters) < len(word):
-                    missing.add(word[len(letters) :])
-            else:
-                others.append(word)
-        self._learn_parts([p for p in missing if p not in known])
-        for word, letters in later:
-            whole = known.get(letters)
-            marks = known.get(word[len(letters) :]) if len(letters) < len(word) else b""
-            if whole is None or marks is None:
-                others.append(word)
-            else:
-                words[word] = whole + marks if marks else whole
+        short = _PLAIN if self.short else lambda _: None
+        plain = [w for w in new if len(w) < 256 and short(w)]
+        others = [w for w in new if not (len(w) < 256 and short(w))] if len(plain) < len(new) else []
+        others += self._learn_plain(plain)
         for word, code in zip(others, self.full.encode_batch(others, add_special_tokens=False)):
-            words[word] = np.array(code.ids, dtype="<u4").tobytes()
+            self.words[word] = np.array(code.ids, dtype="<u4").tobytes()
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; texts of a batch share one round of encoding."""
-        cut = [split_words(self._lowered(x)) for x in texts]
+        cut = [self._cut(x) for x in texts]
         if len(self.words) > self.remembered:
             self.words.clear()
         new: set[str] = set()
@@ -127,15 +112,15 @@ class WordCoder:
         unknown = [w for w in new if w not in known]
         if unknown:
             self._learn(unknown)
-        spell = self.words.__getitem__
+        here = {w: known[w] for w in new}  # small enough for the processor's cache
         for words in cut:
-            yield b"".join(map(spell, words))
+            yield b"".join(map(here.__getitem__, words))
 
-    def _lowered(self, text: str) -> str:
-        """A text of Latin letters in lower case, as the tokenizer lowers it itself; special tokens are matched before that."""
-        if self.lowers and "<|" not in text and (text.isascii() or not _BEYOND_LATIN(text)):
-            return text.lower()
-        return text
+    def _cut(self, text: str) -> list[str]:
+        """Words of a text. One of Latin letters is lowered first, as the tokenizer does itself; special tokens are matched before that."""
+        if self.short and "<|" not in text and (text.isascii() or not _BEYOND_LATIN(text)):
+            text = _MARKED.sub(r" \g<0>", text.lower())
+        return split_words(text)
 
 
 @lru_cache(maxsize=1)
@@ -154,12 +139,12 @@ def cut_pieces(documents: DataFrame, path: str, size: int = SIZE, end_id: int =
     end = int(end_id).to_bytes(4, "little")
 
     def groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
-        """Runs of rows with about a megabyte of text."""
+        """Runs of rows with some megabytes of text."""
         start, texts, held = 0, [], 0
         for at, x in enumerate(batch["text"]):
             texts.append(x.as_py() or "")
             held += len(texts[-1])
-            if held > 1 << 20:
+            if held > 1 << 22:
                 yield start, texts
                 start, texts, held = at + 1, [], 0
         if texts:
