@@ -8,6 +8,8 @@ from tidewatch.functions.scalars import record_hash
 from tidewatch.operators import filters, loads, rollups
 from tidewatch.plans.catalog import query
 from tidewatch.plans.common import EVENTS_END, ORDERS_END, at, tidy
+from tidewatch.session import work_path
+from tidewatch.sources import snapshots
 
 OT = f"TIMESTAMP '{ORDERS_END}'"
 
@@ -289,14 +291,14 @@ def _last(column: str) -> str:
     return f"arg_max({column}, updated_at) FILTER (WHERE {column} IS NOT NULL) AS {column}"
 
 
-@query(
-    "load_history_upsert",
-    f"""SELECT h.* REPLACE (coalesce(u.status, h.status) AS status, coalesce(u.records_loaded, h.records_loaded) AS records_loaded,
+UPSERTED = f"""SELECT h.* REPLACE (coalesce(u.status, h.status) AS status, coalesce(u.records_loaded, h.records_loaded) AS records_loaded,
         coalesce(u.error_message, h.error_message) AS error_message, coalesce(u.ended, h.completed_at) AS completed_at)
       FROM @load_history AS h LEFT JOIN (SELECT batch_id, {_last("status")}, {_last("records_loaded")}, {_last("error_message")},
         max(updated_at) FILTER (WHERE status IN ('completed', 'failed', 'rolled_back')) AS ended
-        FROM ({UPDATES.format(string='VARCHAR', zone='')}) GROUP BY batch_id) AS u ON h.batch_id = u.batch_id""",
-)
+        FROM ({UPDATES.format(string='VARCHAR', zone='')}) GROUP BY batch_id) AS u ON h.batch_id = u.batch_id"""
+
+
+@query("load_history_upsert", UPSERTED)
 def load_history_upsert(t):
     return loads.upsert_history(t.load_history, t.sql(UPDATES.format(string="STRING", zone="_NTZ")))
 
@@ -326,6 +328,45 @@ def failed_load_rows(t):
     return loads.failed_load_rows(loads.load_lifecycle(t.load_events))
 
 
+# --- tables that change in one step -----------------------------------------------------------
+
+
+def _store(t):
+    return snapshots.Snapshots(t.spark, work_path(t.spark, "store"))
+
+
+ROLLED_BACK = "SELECT batch_id FROM @load_history WHERE load_type = 'full' AND status = 'failed' AND batch_id < 'batch_3'"
+
+
+@query(
+    "rollback_in_place",
+    f"""SELECT 'processed' AS table_name, batch_id, count(*) AS n_rows, CAST(NULL AS VARCHAR) AS status FROM @processed
+        WHERE batch_id NOT IN ({ROLLED_BACK}) GROUP BY batch_id
+      UNION ALL SELECT 'history', batch_id, count(*), CASE WHEN batch_id IN ({ROLLED_BACK}) THEN 'rolled_back' ELSE any_value(status) END FROM @load_history GROUP BY batch_id""",
+)
+def rollback_in_place(t):
+    """Batches leave two tables in one commit; folders of other batches stay as they are."""
+    store = _store(t)
+    group = snapshots.bucket("batch_id", 16)
+    store.commit({"processed": snapshots.Replace(t.processed, group), "history": snapshots.Replace(t.load_history, group)})
+    gone = t.sql(ROLLED_BACK).distinct()
+    snapshots.roll_back_grouped(store, gone, ["processed"], "history", group)
+    counts = [
+        store.read(name).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), status.alias("status")).select(F.lit(name).alias("table_name"), "*")
+        for name, status in (("processed", F.first(F.lit(None).cast("string"))), ("history", F.first("status")))
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+@query("history_patched", f"SELECT batch_id, status, records_loaded, error_message FROM ({UPSERTED})")
+def history_patched(t):
+    """The upsert of ``load_history_upsert`` on a stored table: only groups of batches with updates are rewritten."""
+    store, group = _store(t), snapshots.bucket("batch_id", 16)
+    store.write("history", t.load_history, group)
+    snapshots.patch(store, "history", t.sql(UPDATES.format(string="STRING", zone="_NTZ")), "batch_id", loads.upsert_history, group)
+    return store.read("history").select("batch_id", "status", "records_loaded", "error_message")
+
+
 # --- verification ---------------------------------------------------------------------------
 
 COUNTS = """SELECT coalesce(s.batch_id, p.batch_id) AS batch_id, coalesce(s.dataset_name, p.dataset_name) AS dataset_name,

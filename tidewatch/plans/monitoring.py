@@ -9,6 +9,8 @@ from tidewatch.operators import filters as flt
 from tidewatch.operators import freshness, retries, rollups, runs
 from tidewatch.plans.catalog import query
 from tidewatch.plans.common import EVENTS_END, ORDERS_END, at, tidy
+from tidewatch.session import work_path
+from tidewatch.sources import snapshots
 
 OT, ET = f"TIMESTAMP '{ORDERS_END}'", f"TIMESTAMP '{EVENTS_END}'"
 AUDIT = ["id", "dataset_name", "validation_type", "status", "total_records", "failed_records", "created_at"]
@@ -86,6 +88,16 @@ def retention_kept(t):
     return flt.retention_split(t.sql(UNDATED), "timestamp", at(EVENTS_END), 10)[0]
 
 
+@query("retention_in_place", f"SELECT * FROM ({UNDATED}) WHERE timestamp >= {ET} - INTERVAL 10 DAY OR timestamp IS NULL")
+def retention_in_place(t):
+    """Retention on a stored table by day: old days go unread, the day of the cutoff is rewritten."""
+    store = snapshots.Snapshots(t.spark, work_path(t.spark, "store"))
+    day = F.col("timestamp").cast("date").cast("string")
+    store.write("metrics", t.sql(UNDATED), day)
+    snapshots.expire(store, "metrics", "timestamp", at(EVENTS_END) - F.expr("INTERVAL 10 DAYS"), day)
+    return store.read("metrics")
+
+
 @query(
     "integrity_violations",
     """SELECT id, dataset_name, status, failed_records, created_at FROM @audit_logs
