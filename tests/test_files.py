@@ -151,3 +151,45 @@ def test_unreachable_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         shared_folder(Cluster)
+
+
+def _tide_rows(spark):
+    return spark.createDataFrame([(i, None if i % 10 == 3 else f"pier {i % 4}", float(i)) for i in range(200)], "id int, pier string, level double").repartition(3)
+
+
+def test_written_and_measured_in_one_job(spark, tmp_path):
+    path = str(tmp_path / "a" / "tides")
+    tracker, group = spark.sparkContext.statusTracker(), "observed-write"
+    spark.sparkContext.setJobGroup(group, group)
+    report = writers.write_observed(_tide_rows(spark), path, checks={"high": F.col("level") >= 20, "pier": F.col("pier") != "pier 1"})
+    # The rows are computed once: one job, or one more for the map stage that AQE runs on its own.
+    assert 1 <= len(tracker.getJobIdsForGroup(group)) <= 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert report.record_count == 200 and report.nulls == {"id": 0, "pier": 20, "level": 0}
+    expected = sum(i % 10 == 3 or i % 4 == 1 for i in range(200))
+    assert report.failed == {"high": 20, "pier": expected}
+    assert spark.read.parquet(path).count() == 200
+    assert {(r["kind"], r["name"]): r["failed_records"] for r in report.rows(spark).collect()}[("nulls", "pier")] == 20
+
+
+def test_table_that_fails_its_check_is_not_kept(spark, tmp_path):
+    path = str(tmp_path / "tides")
+    with pytest.raises(writers.CheckFailed, match="high 20 of 200") as caught:
+        writers.write_observed(_tide_rows(spark), path, checks={"high": F.col("level") >= 20}, allowed={"high": 0.05})
+    assert caught.value.report.record_count == 200 and list(tmp_path.iterdir()) == []
+    bad = _tide_rows(spark).withColumn("level", F.when(F.col("id") == 77, F.raise_error(F.lit("disk"))).otherwise(F.col("level")))
+    with pytest.raises(Exception, match="disk"):
+        writers.write_observed(bad, path)
+    assert list(tmp_path.iterdir()) == []
+    writers.write_observed(_tide_rows(spark), path, checks={"high": F.col("level") >= 20}, allowed={"high": 0.1})
+    with pytest.raises(ValueError, match="exists"):
+        writers.write_observed(_tide_rows(spark), path)
+    with pytest.raises(ValueError, match="no such check"):
+        writers.write_observed(_tide_rows(spark), path + "2", allowed={"low": 0.1})
+
+
+def test_ingest_reports_what_it_wrote(spark, tmp_path):
+    report, preview = writers.ingest(_tide_rows(spark), str(tmp_path / "json"), "json", keys=["pier"])
+    assert report.record_count == 200 and {r["record_count"] for r in preview.collect()} == {200} and preview.count() == 5
+    empty, none = writers.ingest(_tide_rows(spark).limit(0), str(tmp_path / "empty"))
+    assert empty.record_count == 0 and none.collect() == []

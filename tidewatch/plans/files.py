@@ -238,6 +238,23 @@ def ingest_summary(t):
     return writers.ingest_preview(t.customer.select("c_custkey", "c_name", "c_acctbal"), F.col("c_custkey"))
 
 
+@query(
+    "ingest_observed",
+    """SELECT 'nulls' AS kind, 'order_id' AS name, count(*) - count(order_id) AS failed_records, count(*) AS total_records FROM @dirty_orders
+      UNION ALL SELECT 'nulls', 'priority', count(*) - count(priority), count(*) FROM @dirty_orders
+      UNION ALL SELECT 'nulls', 'total', count(*) - count(total), count(*) FROM @dirty_orders
+      UNION ALL SELECT 'check', 'positive', count(*) - count(*) FILTER (WHERE total > 0), count(*) FROM @dirty_orders
+      UNION ALL SELECT 'written', 'rows', count(*), count(*) FROM @dirty_orders""",
+)
+def ingest_observed(t):
+    """Counts, NULLs and a check, all measured by the job that writes."""
+    path = f"{work_path(t.spark, 'ingested')}/orders"
+    rows = t.dirty_orders.select("order_id", "priority", "total")
+    report = writers.write_observed(rows, path, checks={"positive": F.col("total") > 0}, allowed={"positive": 1.0})
+    kept = t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("failed_records"), F.count(F.lit(1)).alias("total_records"))
+    return report.rows(t.spark).unionByName(kept.select(F.lit("written").alias("kind"), F.lit("rows").alias("name"), "*"))
+
+
 AUDIT_SQL = f"""WITH d AS ({DEFAULTS_SQL})
   SELECT dataset_name, replace(lower(validator_name), 'validator', '') AS validation_type, status, total_records, failed_records,
     pass_rate, validator_name, 'system' AS triggered_by, 'dev' AS environment, {OT} AS created_at FROM d"""
@@ -439,6 +456,18 @@ def stream_counters(t):
     return tidy(live.current_state(t.spark, sink, keys, ["count", "total"]))
 
 
+@query(
+    "stream_idle_counters",
+    """SELECT event_type, user_id, count(*) AS "count", round(sum(value), 4) AS total FROM @events GROUP BY 1, 2""",
+)
+def stream_idle_counters(t):
+    """Counters whose state goes when a key is idle for a day; the totals stay whole."""
+    sink, checkpoint = work_path(t.spark, "counters"), work_path(t.spark, "offsets")
+    keys = ["event_type", "user_id"]
+    _finish(live.expiring_counters(_event_stream(t), keys, "value", "ts", sink, checkpoint, idle="1 day", late="1 hour"))
+    return tidy(live.session_totals(t.spark, sink, keys))
+
+
 @query(
     "stream_timeseries",
     """SELECT * FROM (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS "count", round(sum(value), 4) AS total

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.scalars import named
@@ -39,6 +41,95 @@ def write_partitioned(
     (writer.partitionBy(*keys) if keys else writer).save(path)
 
 
+@dataclass(frozen=True)
+class WriteReport:
+    """What was measured while a table was written: rows, NULLs per column, and rows that failed each check."""
+
+    path: str
+    record_count: int
+    nulls: dict[str, int]
+    failed: dict[str, int]
+
+    def rows(self, spark) -> DataFrame:
+        """(kind, name, failed_records, total_records), one row per column and per check."""
+        listed = [("nulls", c, n, self.record_count) for c, n in self.nulls.items()]
+        listed += [("check", c, n, self.record_count) for c, n in self.failed.items()]
+        return spark.createDataFrame(listed, "kind string, name string, failed_records bigint, total_records bigint")
+
+
+class CheckFailed(ValueError):
+    """A table was not kept because too many of its rows failed a check."""
+
+    def __init__(self, report: WriteReport, names: list[str]):
+        super().__init__(f"too many failed rows: {', '.join(f'{n} {report.failed[n]} of {report.record_count}' for n in names)}")
+        self.report, self.names = report, names
+
+
+def write_observed(
+    df: DataFrame, path: str, kind: str = "parquet", keys: Sequence[str] = (), checks: dict[str, Column] | None = None,
+    allowed: dict[str, float] | None = None, nulls: bool = True,
+) -> WriteReport:
+    """Write a new table and measure it in the same job; nothing is read again.
+
+    ``checks`` are conditions that a good row meets; a NULL verdict is a failure. A check
+    named in ``allowed`` may fail for that share of the rows: beyond it the folder is
+    removed and ``CheckFailed`` raised, so that readers never meet a bad table under its name. The
+    table is first written beside ``path`` and renamed once it has passed.
+
+    The counts belong to the tasks that write: a task that is repeated counts once, as
+    no shuffle follows the place where they are taken.
+    """
+    if kind not in ("parquet", "json"):
+        raise ValueError(f"Unsupported output format: {kind}")
+    checks, allowed = dict(checks or {}), dict(allowed or {})
+    unknown = sorted(set(allowed) - set(checks))
+    if unknown:
+        raise ValueError(f"no such check: {', '.join(unknown)}")
+    columns = df.columns if nulls else []
+    measures = [F.count(F.lit(1)).alias("n")]
+    measures += [F.count_if(named(c).isNull()).alias(f"null_{i}") for i, c in enumerate(columns)]
+    measures += [F.count_if(~F.coalesce(condition, F.lit(False))).alias(f"check_{i}") for i, condition in enumerate(checks.values())]
+    spread = df.hint("rebalance", *[named(k) for k in keys]) if keys else df
+    seen = Observation()
+    spark, draft = df.sparkSession, f"{path.rstrip('/')}.draft-{uuid.uuid4().hex}"
+    system, target, written_to = _file_system(spark, path, draft)
+    if system.exists(target):
+        raise ValueError(f"{path} exists already")
+    writer = spread.observe(seen, *measures).write.format(kind)
+    if kind == "json":
+        writer = writer.option("ignoreNullFields", False)
+    try:
+        (writer.partitionBy(*keys) if keys else writer).save(draft)
+        got = seen.get
+        report = WriteReport(
+            path, got["n"], {c: got[f"null_{i}"] for i, c in enumerate(columns)}, {c: got[f"check_{i}"] for i, c in enumerate(checks)}
+        )
+        failed = [c for c, share in allowed.items() if report.failed[c] > share * report.record_count]
+        if failed:
+            raise CheckFailed(report, failed)
+        system.mkdirs(target.getParent())
+        if not system.rename(written_to, target):
+            raise ValueError(f"{path} exists already")
+    finally:
+        system.delete(written_to, True)
+    return report
+
+
+def _file_system(spark, *names: str):
+    """The file system of the first path, and all paths."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(n) for n in names]
+    return paths[0].getFileSystem(spark._jsc.hadoopConfiguration()), *paths
+
+
+def ingest(df: DataFrame, path: str, kind: str = "parquet", n: int = 5, **more) -> tuple[WriteReport, DataFrame]:
+    """Write arriving records once; the report of that write, and the first ``n`` written rows with the number of all rows.
+
+    The rows are the first that a reader of the files meets, so no more than the beginning of a file is read.
+    """
+    report = write_observed(df, path, kind, **more)
+    return report, df.sparkSession.read.schema(df.schema).format(kind).load(path).limit(n).withColumn("record_count", F.lit(report.record_count))
+
+
 def header_label(column: str) -> str:
     return column[:1].upper() + column[1:].replace("_", " ")
 
