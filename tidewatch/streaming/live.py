@@ -9,10 +9,11 @@ state does not grow with the age of the stream.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidewatch.functions.scalars import named
@@ -61,6 +62,82 @@ def stream_counters(
     return _start(totals, sink, checkpoint, "update", lambda d: d, every)
 
 
+class _IdleCounter(StatefulProcessor):
+    """Count and sum of one key since its state began; a timer ends the state once the key is idle."""
+
+    def __init__(self, keys: list[str], idle_ms: int):
+        self.keys, self.idle_ms = keys, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "began bigint, last bigint, n bigint, total double")
+
+    def _row(self, key, began: int, n: int, total: float, closed: bool) -> pd.DataFrame:
+        values = dict(zip(self.keys, key)) | {"began": began, "count": n, "total": total, "closed": closed}
+        return pd.DataFrame({k: [v] for k, v in values.items()})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's names
+        held = self.counts.get() if self.counts.exists() else None
+        began, last, n, total = held if held is not None else (None, None, 0, 0.0)
+        for frame in rows:
+            # Spark hands computed columns over without their names: value, time, milliseconds come last.
+            values, times = frame.iloc[:, -3], frame.iloc[:, -1]
+            began = int(times.min()) if began is None else began
+            last = int(times.max()) if last is None else max(last, int(times.max()))
+            n, total = n + len(frame), total + float(values.sum())
+        if held is not None:
+            self.handle.deleteTimer(held[1] + self.idle_ms)
+        # A key that only late rows have reached ends with the next watermark.
+        self.handle.registerTimer(last + self.idle_ms)
+        self.counts.update((began, last, n, total))
+        yield self._row(key, began, n, total, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        began, last, n, total = self.counts.get()
+        self.counts.clear()
+        yield self._row(key, began, n, total, True)
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_counters(
+    events: DataFrame, keys: Sequence[str], value: str, ts: str, sink: str, checkpoint: str,
+    idle: str = "1 day", late: str = "1 hour", every: str | None = None,
+) -> StreamingQuery:
+    """Running count and sum per key whose state goes once the key had no event for ``idle``.
+
+    A key's rows belong to the state that is open when they arrive, from its first event on
+    (``began``); when the watermark, ``late`` behind the newest event, passes the last event by
+    ``idle``, the state is dropped and the row closed. A key that comes back opens a new
+    state, so the state kept is that of recently active keys, and the sums over all
+    states of a key are its exact totals (``session_totals``). Rows are dropped if they are later
+    than the watermark allows, NULL times as well; a NULL value adds nothing to the sum.
+
+    One task handles a key's rows of a batch as a stream of Arrow batches. Needs the RocksDB state store, which
+    is set for this stream.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    timed = events.filter(named(ts).isNotNull()).select(
+        *[named(k) for k in keys], F.coalesce(named(value).cast("double"), F.lit(0.0)).alias("_value"),
+        named(ts).cast("timestamp").alias("_at"), F.unix_millis(named(ts).cast("timestamp")).alias("_ms"),
+    ).withWatermark("_at", late)
+    idle_ms = spark.range(1).select((F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {idle}"))).alias("ms")).first()[0]
+    counted = timed.groupBy(*[named(k) for k in keys]).transformWithStateInPandas(
+        _IdleCounter(list(keys), idle_ms), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", began bigint, count bigint, total double, closed boolean",
+        "Update", "eventTime",
+    )
+    return _start(counted, sink, checkpoint, "update", lambda d: d, every)
+
+
+def session_totals(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, count, total): sums over all states of ``expiring_counters``, open and closed."""
+    states = current_state(spark, sink, [*keys, "began"], ["count", "total"])
+    return states.groupBy(*[named(k) for k in keys]).agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
+
+
 def stream_timeseries(
     points: DataFrame, ts: str, keys: Sequence[str], value: str, sink: str, checkpoint: str,
     retention: str = "24 hours", width: str = "1 hour", every: str | None = None,
