@@ -59,3 +59,43 @@ def test_clean_table_passes(repeated):
 def test_rows_not_matching_leaves_nulls_out(spark):
     df = spark.createDataFrame([(True,), (False,), (None,)], "ok boolean")
     assert integrity.rows_not_matching(df, "ok").count() == 1
+
+
+def _scans(df):
+    """File scans that really run: those of reused exchanges do not."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return final.count("FileScan parquet")
+
+
+def test_one_scan_for_any_number_of_keys(spark, tmp_path):
+    path = str(tmp_path / "child")
+    rows = [(i, i % 7, f"k{i % 5}", float(i % 3), None if i % 4 == 0 else i % 6) for i in range(300)]
+    spark.createDataFrame(rows, "id bigint, a int, b string, c double, d int").write.parquet(path)
+    child = spark.read.parquet(path)
+    parents = {
+        "ints": spark.createDataFrame([(i,) for i in range(5)], "k bigint"),
+        "texts": spark.createDataFrame([("k0",), ("k1",)], "k string"),
+        "reals": spark.createDataFrame([(0.0,), (-0.0,), (2.0,)], "k double"),
+        "decimals": spark.createDataFrame([("1",), ("2",), ("x",)], "k string"),
+    }
+    keys = {"a": ("ints", "k"), "b": ("texts", "k"), "c": ("reals", "k"), "d": ("decimals", "k")}
+    found = integrity.fk_check(child, keys, parents)
+    got = {r.fk_column: (r.orphan_count, r.orphan_keys, r.sample_orphans) for r in found.collect()}
+    expected = {}
+    for name, at, ok in (("a", 1, set(range(5))), ("b", 2, {"k0", "k1"}), ("c", 3, {0.0, 2.0}), ("d", 4, {1, 2})):
+        lost = [r[at] for r in rows if r[at] not in ok]
+        order = sorted(set(lost), key=lambda v: (v is not None, v if v is not None else 0))
+        expected[name] = (len(lost), len(order), ["NULL" if v is None else str(v) for v in order])
+    assert got == expected
+    assert _scans(found) == 1
+    orphans = integrity.union_orphans(child, keys, parents)
+    assert {r[0]: r[1] for r in orphans.groupBy("_invalid_fk_column").count().collect()} == {k: v[0] for k, v in expected.items()}
+    assert orphans.columns == [*child.columns, "_invalid_fk_column"] and _scans(integrity.union_orphans(child, keys, parents)) == 1
+
+
+def test_samples_are_the_smallest_by_value(spark):
+    child = spark.createDataFrame([(v,) for v in [*range(500, -500, -1), None]], "a int")
+    found = integrity.fk_check(child, {"a": ("p", "k")}, {"p": spark.createDataFrame([(-499,)], "k int")}).first()
+    assert found.orphan_count == 1000 and found.sample_orphans == ["NULL", *[str(v) for v in range(-498, -399)]]

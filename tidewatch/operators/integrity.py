@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.results import error_list, result_rows, result_struct
 from tidewatch.functions.scalars import named, safe_rate
@@ -100,48 +101,106 @@ def fk_orphan_values(
     )
 
 
+def _common_type(spark, a: T.DataType, b: T.DataType) -> str:
+    """The type in which a foreign key and its parent key are compared; a text is read as the other's type."""
+    if isinstance(a, T.StringType) or isinstance(b, T.StringType):
+        other = b if isinstance(a, T.StringType) else a
+        return other.simpleString()
+    both = f"coalesce(CAST(NULL AS {a.simpleString()}), CAST(NULL AS {b.simpleString()}))"
+    return spark.range(0).select(F.expr(both).alias("c")).schema[0].dataType.simpleString()
+
+
+def _match_text(column: Column, kind: str) -> Column:
+    """Equal values of a type have equal texts."""
+    value = column.try_cast(kind)
+    return (value + F.lit(0.0) if kind in ("float", "double") else value).cast("string")
+
+
+def _key_problem(child: DataFrame, fk: str, parent_name: str, key: str, parents: Mapping[str, DataFrame]) -> str | None:
+    if fk not in child.columns:
+        return f"Foreign key column '{fk}' not found in dataset"
+    if parents.get(parent_name) is None:
+        return f"Parent dataset '{parent_name}' not provided"
+    if key not in parents[parent_name].columns:
+        return f"Parent key column '{key}' not found in parent dataset"
+    return None
+
+
+def _tagged(
+    child: DataFrame, foreign_keys: Mapping[str, tuple[str, str]], parents: Mapping[str, DataFrame]
+) -> tuple[Column, DataFrame, list[str]]:
+    """For all usable foreign keys together: an array of (key, own, value) of a child row, the union of (key, value) of all parents, and the names.
+
+    ``key`` is a number of the list of names. A row's entries are made in one pass,
+    however many keys there are, and all of them meet all parents in one join.
+    """
+    usable = [fk for fk, (parent, key) in foreign_keys.items() if _key_problem(child, fk, parent, key, parents) is None]
+    entries, sides = [], []
+    for at, fk in enumerate(usable):
+        parent, key = parents[foreign_keys[fk][0]], foreign_keys[fk][1]
+        kind = _common_type(child.sparkSession, child.schema[fk].dataType, parent.schema[key].dataType)
+        entries.append(
+            F.struct(F.lit(at).alias("key"), named(fk).cast("string").alias("own"), _match_text(named(fk), kind).alias("value"))
+        )
+        sides.append(parent.select(F.lit(at).alias("key"), _match_text(named(key), kind).alias("value")).filter("value IS NOT NULL"))
+    return F.array(*entries), reduce(DataFrame.unionAll, sides) if sides else None, usable
+
+
+def _orphans_of_all(child: DataFrame, foreign_keys: Mapping[str, tuple[str, str]], parents: Mapping[str, DataFrame]) -> tuple[DataFrame | None, list[str]]:
+    """(key, own, n): orphaned values of every foreign key with their rows, from one scan of the child table.
+
+    Values are counted before the shuffle, so a hot value is one row per task.
+    """
+    entries, keys, usable = _tagged(child, foreign_keys, parents)
+    if not usable:
+        return None, usable
+    values = child.select(F.inline(entries)).groupBy("key", "own", "value").agg(F.count(F.lit(1)).alias("n"))
+    return values.join(keys, ["key", "value"], "left_anti").select("key", "own", "n"), usable
+
+
 def fk_check(
     child: DataFrame,
     foreign_keys: Mapping[str, tuple[str, str]],
     parents: Mapping[str, DataFrame],
 ) -> DataFrame:
-    """One row per foreign key, with the first orphaned values; a missing column or parent is an error entry with no orphans."""
+    """One row per foreign key, with the first orphaned values; a missing column or parent is an error entry with no orphans.
+
+    The child table is read once for all keys: its rows are turned to (key, value),
+    counted, and joined once with the union of the parents' keys.
+    """
     spark = child.sparkSession
-    rows = []
-    for fk, (parent_name, key) in foreign_keys.items():
-        parent = parents.get(parent_name)
-        problem = None
-        if fk not in child.columns:
-            problem = f"Foreign key column '{fk}' not found in dataset"
-        elif parent is None:
-            problem = f"Parent dataset '{parent_name}' not provided"
-        elif key not in parent.columns:
-            problem = f"Parent key column '{key}' not found in parent dataset"
-        if problem:
-            measured = spark.range(1).select(
-                F.lit(0).cast("bigint").alias("orphan_count"),
-                F.lit(0).cast("bigint").alias("orphan_keys"),
-                F.array().cast("array<string>").alias("sample_orphans"),
-            )
-        else:
-            orphans = _orphan_counts(child, fk, parent, key)
-            measured = orphans.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_count"),
-                F.count(F.lit(1)).alias("orphan_keys"),
-            ).withColumn("sample_orphans", _first_keys(orphans, ["value"]))
-        rows.append(
-            measured.select(
-                F.lit(fk).alias("fk_column"),
-                F.lit(parent_name).alias("parent_dataset"),
-                F.lit(key).alias("parent_key_column"),
-                (F.lit(problem is None) & (F.col("orphan_count") == 0)).alias("valid"),
-                "orphan_count",
-                "orphan_keys",
-                "sample_orphans",
-                F.lit(problem).cast("string").alias("error"),
-            )
-        )
-    return reduce(DataFrame.unionAll, rows)
+    orphans, usable = _orphans_of_all(child, foreign_keys, parents)
+    declared = [
+        (i, fk, parent, key, usable.index(fk) if fk in usable else -1 - i, _key_problem(child, fk, parent, key, parents))
+        for i, (fk, (parent, key)) in enumerate(foreign_keys.items())
+    ]
+    rows = spark.createDataFrame(
+        declared, "position int, fk_column string, parent_dataset string, parent_key_column string, key int, error string"
+    )
+    if orphans is None:
+        orphans = spark.createDataFrame([], "key int, own string, n bigint")
+    counted = orphans.groupBy("key").agg(F.sum("n").alias("orphan_count"), F.count(F.lit(1)).alias("orphan_keys"))
+    # Numbers in their order, then texts; the limit per key is taken before the shuffle. The count goes along, so
+    # that this branch and the one above ask for the same shuffle, which Spark then does once.
+    numeric = [i for i, fk in enumerate(usable) if isinstance(child.schema[fk].dataType, T.NumericType)]
+    is_number = F.col("key").isin(numeric) if numeric else F.lit(False)
+    number, size = (F.when(is_number, F.col("own").try_cast(kind)) for kind in ("decimal(38,18)", "double"))
+    place = F.struct(number.alias("number"), size.alias("size"), "own", "n")
+    order = Window.partitionBy("key").orderBy(F.col("place").asc_nulls_first())
+    first = orphans.select("key", place.alias("place")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLES)
+    listed = first.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("places")).select(
+        "key", F.transform("places", lambda p: F.coalesce(p["own"], F.lit("NULL"))).alias("sample_orphans")
+    )
+    zero = F.lit(0).cast("bigint")
+    joined = rows.join(counted, "key", "left").join(listed, "key", "left")
+    return joined.select(
+        "fk_column", "parent_dataset", "parent_key_column",
+        (F.col("error").isNull() & F.col("orphan_count").isNull()).alias("valid"),
+        F.coalesce("orphan_count", zero).alias("orphan_count"),
+        F.coalesce("orphan_keys", zero).alias("orphan_keys"),
+        F.coalesce("sample_orphans", F.array().cast("array<string>")).alias("sample_orphans"),
+        "error",
+    )
 
 
 def integrity_check(
@@ -207,15 +266,18 @@ def union_orphans(
     foreign_keys: Mapping[str, tuple[str, str]],
     parents: Mapping[str, DataFrame],
 ) -> DataFrame:
-    """Orphans of every usable foreign key, tagged with the key column."""
-    frames = [
-        fk_orphans(child, fk, parents[parent], key).withColumn("_invalid_fk_column", F.lit(fk))
-        for fk, (parent, key) in foreign_keys.items()
-        if fk in child.columns and parent in parents and key in parents[parent].columns
-    ]
-    if not frames:
+    """Orphans of every usable foreign key, tagged with the key column, from one scan of the child table.
+
+    A row meets all parents in one join, once per key; AQE splits a hot value.
+    """
+    entries, keys, usable = _tagged(child, foreign_keys, parents)
+    if not usable:
         return child.limit(0).withColumn("_invalid_fk_column", F.lit(""))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    each = child.select("*", F.explode(entries).alias("_entry"))
+    each = each.select(*[named(c) for c in child.columns], F.col("_entry.key").alias("_key"), F.col("_entry.value").alias("_value"))
+    found = each.join(keys.withColumnsRenamed({"key": "_key", "value": "_value"}), ["_key", "_value"], "left_anti")
+    names = F.array(*[F.lit(fk) for fk in usable])
+    return found.select(*[named(c) for c in child.columns], names[F.col("_key")].alias("_invalid_fk_column"))
 
 
 def union_failed_rows(
