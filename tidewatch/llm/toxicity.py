@@ -11,10 +11,10 @@ from typing import NamedTuple
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.llm.labels import held_out, training_rows
-from tidewatch.session import written
+from tidewatch.session import release, written
 
 #: Labelled rows the lexicon is learned from, at most.
 TRAINING_ROWS = 20_000
@@ -22,6 +22,10 @@ TRAINING_ROWS = 20_000
 LEAST_TEXTS, LEAST_RATIO = 6, 20.0
 #: A stem is a word beginning with so many different endings, and stands out further.
 LEAST_ENDINGS, STEM_RATIO = 5, 100.0
+#: Lengths of stems.
+STEMS = (4, 5, 6)
+#: One clean text in so many is counted first: what fails by these fails by all.
+FIRST = 10
 #: A term that more ordinary words are near to is not looked for with misspellings.
 MOST_NEIGHBOURS = 2
 #: Abusive words that need no labels.
@@ -37,7 +41,8 @@ BESIDE = 4
 MISSPELLED = 0.5
 _WORDS = re.compile(r"[^\W\d_]+")
 _QUOTES = {"“": "”", "«": "»", "„": "“", "‘": "’", '"': '"'}
-_REMEMBERED = 200_000
+#: Words and states that a worker remembers before it starts afresh.
+_REMEMBERED, _STATES = 200_000, 50_000
 
 
 class Term(NamedTuple):
@@ -140,8 +145,9 @@ class Automaton:
             found = None
         if len(self.known) >= _REMEMBERED:
             self.known.clear()
-        if len(self.steps) >= _REMEMBERED:
+        if len(self.steps) >= _STATES:
             self.steps.clear()
+            self.accepted.clear()
         self.known[word] = found
         return found
 
@@ -203,6 +209,39 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["label", "word", "of", "before", "behind"])
 
 
+def _surroundings(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): copied words stand between the same words, so a word counts once for each surrounding, on the side with fewer."""
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("hash")) for i, c in enumerate(("of", "before", "behind"))]))
+    single = rows.select(key, sides.alias("at")).select(key, "at.*").distinct()
+    return single.groupBy(key, "side").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.min("n").alias("n"))
+
+
+def _standing_out(rows: DataFrame, keys: DataFrame, key: str, toxic: int, clean: int, ratio: float) -> list[tuple[str, float, int]]:
+    """(key, weight, n_toxic) of the ``keys`` whose surroundings are so many times as frequent in toxic texts.
+
+    Toxic texts are counted first, then a part of the clean ones, then all of these: each
+    step counts only what the one before could not rule out, since a part never has more
+    surroundings than the whole. The keys are a part of the bounded sample's.
+    """
+    def stands(n_toxic, n_clean):
+        return (n_toxic >= LEAST_TEXTS) & (n_toxic / max(toxic, 1) >= ratio * (n_clean + 0.5) / (clean + 1))
+
+    among = rows.join(F.broadcast(keys), key, "left_semi")
+    left = _surroundings(among.filter("label = 1"), key).withColumnRenamed("n", "n_toxic").filter(stands(F.col("n_toxic"), F.lit(0)))
+    left = written(left, "toxic-counts")
+    tables = [left]
+    for part in (F.pmod("of", F.lit(FIRST)) == 0, F.lit(True)):
+        some = rows.filter((F.col("label") == 0) & part).join(F.broadcast(left.select(key)), key, "left_semi")
+        counts = _surroundings(some, key).withColumnRenamed("n", "n_clean")
+        left = left.select(key, "n_toxic").join(counts, key, "left").withColumn("n_clean", F.coalesce("n_clean", F.lit(0)))
+        left = written(left.filter(stands(F.col("n_toxic"), F.col("n_clean"))), "clean-counts")
+        tables.append(left)
+    weight = F.col("n_toxic") / (F.col("n_toxic") + F.col("n_clean") + 0.3)
+    found = [tuple(r) for r in left.select(key, weight, "n_toxic").collect()]
+    release(*tables)
+    return found
+
+
 def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS, lexicon: tuple[str, ...] = LEXICON) -> Automaton:
     """An automaton of ``lexicon`` and of words and stems that mark toxic texts among at most ``rows`` labelled ones.
 
@@ -216,29 +255,21 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: i
     words = written(texts.mapInArrow(_placed, "label int, word string, of long, before long, behind long"), "words")
     sizes = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    # Copied words stand between the same words: a word counts once for each of them, on the side with fewer.
-    n_toxic, n_clean = (
-        F.least(*[F.count_distinct(F.when(F.col("label") == label, F.col(c))) for c in ("of", "before", "behind")]).alias(name)
-        for label, name in ((1, "n_toxic"), (0, "n_clean"))
-    )
-    rate_toxic, rate_clean = F.col("n_toxic") / max(toxic, 1), (F.col("n_clean") + 0.5) / (clean + 1)
-    marks = (F.col("n_toxic") >= LEAST_TEXTS) & (rate_toxic >= LEAST_RATIO * rate_clean)
-    marks_stem = marks & (rate_toxic >= STEM_RATIO * rate_clean)
-    weight = F.col("n_toxic") / (F.col("n_toxic") + F.col("n_clean") + 0.3)
-    # Surroundings are no more than texts, so only words of enough texts are counted by them: a part of the bounded sample's.
     plain = written(words.groupBy("word").agg(F.sum("label").alias("in_toxic"), F.sum(1 - F.col("label")).alias("in_clean")), "counts")
+    # No word or stem has more toxic surroundings than toxic texts, so those in too few texts are out from the start.
     often = plain.filter(F.col("in_toxic") >= LEAST_TEXTS).select("word")
-    counted = words.join(F.broadcast(often), "word", "left_semi").groupBy("word").agg(n_toxic, n_clean)
-    begins = words.withColumn("stem", F.explode(F.array(*[F.substring("word", 1, n) for n in (4, 5, 6)]))).filter(F.length("word") > F.length("stem"))
-    endings = begins.filter("label = 1").groupBy("stem").agg(F.count_distinct("word").alias("endings")).filter(F.col("endings") >= LEAST_ENDINGS)
-    per_text = begins.join(F.broadcast(endings), "stem", "left_semi").groupBy("stem").agg(n_toxic, n_clean)
-    found = per_text.filter(marks_stem).select("stem", weight, "n_toxic").collect()
+    counted = _standing_out(words, often, "word", toxic, clean, LEAST_RATIO)
+    begun = plain.filter("in_toxic > 0").select("word", "in_toxic", F.explode(F.array(*[F.substring("word", 1, n) for n in STEMS])).alias("stem"))
+    stems = begun.filter(F.length("word") > F.length("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("endings"), F.sum("in_toxic").alias("most"))
+    stems = stems.filter((F.col("endings") >= LEAST_ENDINGS) & (F.col("most") >= LEAST_TEXTS)).select("stem")
+    begins = words.withColumn("stem", F.explode(F.array(*[F.substring("word", 1, n) for n in STEMS]))).filter(F.length("word") > F.length("stem"))
+    found = _standing_out(begins, stems, "stem", toxic, clean, STEM_RATIO)
     # A longer stem that stands in as good as all the texts is clearer; else the shortest stands for longer ones.
     texts_of = {r[0]: r[2] for r in found}
     vague = {s[:n] for s, count in texts_of.items() for n in range(4, len(s)) if count >= 0.95 * texts_of.get(s[:n], math.inf)}
     clear = {s for s in texts_of if s not in vague}
     stems = [Term(r[0], r[1], True) for r in found if r[0] in clear and not any(r[0][:n] in clear for n in range(4, len(r[0])))]
-    terms = {r[0]: Term(r[0], r[1], False) for r in counted.filter(marks & (F.length("word") >= 3)).select("word", weight).collect()}
+    terms = {r[0]: Term(r[0], r[1], False) for r in counted if len(r[0]) >= 3}
     common = {r[0] for r in plain.filter(F.col("word").isin(*lexicon) & (F.col("in_clean") > 0)).select("word").collect()} - set(terms) if lexicon else set()
     for word in lexicon:
         if word not in common:
@@ -253,6 +284,7 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: i
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["word", "term"])
 
     neighbours = [tuple(r) for r in ordinary.mapInArrow(misread, "word string, term string").collect()]
+    release(texts, words, plain)
     crowded = Counter(term for _, term in neighbours)
     own = [t._replace(exact=crowded[t.text] > MOST_NEIGHBOURS) for t in own]
     return Automaton([*own, *stems], frozenset(word for word, _ in neighbours))
@@ -286,8 +318,10 @@ def score(documents: DataFrame, automaton: Automaton, threshold: float = 0.7) ->
 
 def scorer(automaton: Automaton):
     """A column function: the score of a text column, as ``score`` gives it."""
+    shared = SparkSession.active().sparkContext.broadcast(automaton)
+
     @F.pandas_udf("double")
     def rated(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: rate(x or "", automaton)[0]).astype("float64")
+        return texts.map(lambda x: rate(x or "", shared.value)[0]).astype("float64")
 
     return rated
