@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.ordering import first_n_per_key, latest_per_key
 from tidewatch.functions.scalars import health_band
-from tidewatch.operators import filters, profile, rollups, rules
+from tidewatch.operators import filters, profile, rollups, rules, sketches
 from tidewatch.plans.catalog import query
-from tidewatch.plans.common import tidy
+from tidewatch.plans.common import at, tidy
+from tidewatch.session import written
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "l_partkey"]
 TEXTS = ["l_returnflag", "l_linestatus"]
@@ -245,3 +246,48 @@ def profile_history(t):
 def latest_profile(t):
     rows = t.sql(PROFILES.format(string="STRING"))
     return latest_per_key(rows, ["dataset_name"], F.col("day").desc(), F.col("user_id").desc())
+
+
+# --- sketches ------------------------------------------------------------------------------
+
+SKETCHED = ["o_custkey", "o_totalprice", "o_orderpriority"]
+
+
+@query(
+    "profile_from_days",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
+          {f'min({c}) * 1e0' if c != 'o_orderpriority' else 'CAST(NULL AS DOUBLE)'} AS minimum, {f'max({c}) * 1e0' if c != 'o_orderpriority' else 'CAST(NULL AS DOUBLE)'} AS maximum,
+          true AS distinct_within_bound, {'true' if c != 'o_orderpriority' else 'CAST(NULL AS BOOLEAN)'} AS median_within_bound FROM @orders"""
+        for c in SKETCHED
+    ),
+)
+def profile_from_days(t):
+    """A profile of all orders from the stored sketches of their days, checked against the exact figures."""
+    stored = written(sketches.profile_sketches(t.orders.withColumn("day", F.to_date("o_orderdate")), SKETCHED, ["day"]), "sketches")
+    found = sketches.profile_estimates(sketches.merged_profiles(stored), [0.5])
+    exact = t.orders.agg(*[F.count_distinct(c).alias(c) for c in SKETCHED]).unpivot([], SKETCHED, "column_name", "exact")
+    medians = found.filter("p50 IS NOT NULL").select("column_name", "p50")
+    values = t.orders.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in SKETCHED[:2]])))
+    ranks = sketches.rank_range(values.join(F.broadcast(medians), "column_name"), ["column_name"], "v", "p50")
+    within = (F.col("low") - sketches.RANK_ERROR <= 0.5) & (F.col("high") + sketches.RANK_ERROR >= 0.5)
+    near = F.abs(F.col("unique_estimate") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact") + 1
+    return found.join(exact, "column_name").join(ranks, "column_name", "left").select(
+        "column_name", "row_count", "null_count", "minimum", "maximum", near.alias("distinct_within_bound"), within.alias("median_within_bound")
+    )
+
+
+@query(
+    "histogram_windows",
+    """SELECT metric_name, count(metric_value) AS value_count, min(metric_value) AS minimum, max(metric_value) AS maximum, true AS p95_within_bound
+      FROM @metrics WHERE timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND timestamp < TIMESTAMP '2024-01-20 00:00:00' GROUP BY metric_name""",
+)
+def histogram_windows(t):
+    """Percentiles over ten days from hourly sketches, checked against the values' ranks."""
+    stored = written(sketches.value_sketches(t.metrics, ["metric_name"], "timestamp", "metric_value"), "hours")
+    start, end = at("2024-01-10 00:00:00"), at("2024-01-20 00:00:00")
+    found = sketches.window_percentiles(stored, ["metric_name"], start, end)
+    rows = t.metrics.filter((F.col("timestamp") >= start) & (F.col("timestamp") < end)).select("metric_name", "metric_value")
+    ranks = sketches.rank_range(rows.join(found.select("metric_name", "p95"), "metric_name"), ["metric_name"], "metric_value", "p95")
+    within = (F.col("low") - sketches.RANK_ERROR <= 0.95) & (F.col("high") + sketches.RANK_ERROR >= 0.95)
+    return found.join(ranks, "metric_name").select("metric_name", "value_count", "minimum", "maximum", within.alias("p95_within_bound"))
