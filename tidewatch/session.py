@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -75,7 +76,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove the folders of ``written`` tables that nothing reads any more."""
+    """Remove the folders of ``written`` tables that nothing reads any more, and let Spark drop the shuffles of finished steps.
+
+    Spark's cleaner removes the shuffle files of plans that the driver has forgotten, which it
+    notices only when its memory is collected; a job of many steps would else keep the files of all of them.
+    """
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
     for table in tables:
         files = table.inputFiles()
         for spark, path in [x for x in _written if files and x[1].rsplit("/", 1)[1] in files[0]]:
