@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import record_hash
-from tidewatch.operators import filters, loads, rollups
+from tidewatch.operators import filters, hashfilter, loads, rollups
 from tidewatch.plans.catalog import query
 from tidewatch.plans.common import EVENTS_END, ORDERS_END, at, tidy
-from tidewatch.session import work_path
+from tidewatch.session import work_path, written
 from tidewatch.sources import snapshots
 
 OT = f"TIMESTAMP '{ORDERS_END}'"
@@ -233,6 +233,17 @@ def load_batch(t):
     return tidy(loads.load_summary(loads.load_outcomes(_incoming(t), _stored(t), "doc_id"), ["lang"]))
 
 
+@query("load_outcomes_filtered", OUTCOMES)
+def load_outcomes_filtered(t):
+    """``load_outcomes`` where a filter per batch spares reading the stored hashes of batches without a hit."""
+    store = _store(t)
+    batched = _stored(t).withColumn("batch_id", F.concat(F.lit("batch_"), F.substring("record_hash", 1, 1)))
+    store.write("hashes", batched, F.col("batch_id"))
+    filters = written(hashfilter.build_filter(store.read("hashes"), by=("batch_id",), blocks=16), "filters")
+    known = hashfilter.known_hashes(_incoming(t), filters, "batch_id", lambda names: store.read("hashes", partitions=names), blocks=16)
+    return loads.load_outcomes(_incoming(t), known, "doc_id")
+
+
 @query(
     "record_hash",
     """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":'

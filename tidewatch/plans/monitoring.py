@@ -11,6 +11,7 @@ from tidewatch.plans.catalog import query
 from tidewatch.plans.common import EVENTS_END, ORDERS_END, at, tidy
 from tidewatch.session import work_path
 from tidewatch.sources import snapshots
+from tidewatch.sources.textindex import TextIndex
 
 OT, ET = f"TIMESTAMP '{ORDERS_END}'", f"TIMESTAMP '{EVENTS_END}'"
 AUDIT = ["id", "dataset_name", "validation_type", "status", "total_records", "failed_records", "created_at"]
@@ -690,6 +691,19 @@ def text_search_documents(t):
     return flt.text_search(t.documents, "License", ["text"]).select("doc_id")
 
 
+@query(
+    "text_search_indexed",
+    "SELECT doc_id FROM @documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license')",
+)
+def text_search_indexed(t):
+    """``text_search`` over files, of which an index of three-letter pieces leaves out those without the text."""
+    path = work_path(t.spark, "documents")
+    t.documents.repartition(16, "doc_id").write.parquet(path)
+    index = TextIndex(t.spark, path, work_path(t.spark, "index"), ["text", "source"])
+    index.update()
+    return index.search("License").select("doc_id")
+
+
 @query(
     "lineage_record",
     """WITH d AS (SELECT DISTINCT target_dataset, upstream_dataset FROM @lineage_edges),
