@@ -112,3 +112,12 @@ def test_distinct_counts(spark):
     df = spark.createDataFrame([("b", None), ("a", None), ("b", None)], "v string, w string")
     assert {r.column_name: r.unique_count for r in profile.distinct_counts(df).collect()} == {"v": 2, "w": 0}
     assert {r.column_name: r.unique_count for r in profile.distinct_counts(df, approximate=True).collect()} == {"v": 2, "w": 0}
+
+
+def test_rows_are_computed_once(spark, tmp_path):
+    """The input is read by the one job that writes it; slices, offsets and ranks read what was written."""
+    path = str(tmp_path / "rows")
+    spark.range(0, 2000, 1, 4).select((F.col("id") % 3).alias("k"), F.col("id").alias("o")).write.parquet(path)
+    ranked = ordering.ordered_row_number(spark.read.parquet(path), ["k"], F.col("o"), F.col("o"))
+    assert not [f for f in ranked.inputFiles() if "/rows/" in f] and ranked.inputFiles()
+    assert sorted(r["row_number"] for r in ranked.filter("k = 1").collect()) == list(range(1, 668))

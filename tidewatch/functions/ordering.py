@@ -15,6 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.scalars import named
+from tidewatch.session import written
 
 SLICE = "_slice"
 KEY = "_key"
@@ -51,18 +52,21 @@ def with_slices(
     Boundaries are quantiles of ``order``, so a slice holds about 1/n of all rows,
     also of those of one key. Rows equal to a boundary get a slice of their own, cut again by the
     quantiles of ``tie``: a single timestamp shared by a third of the rows is split as
-    well. One job finds the 2n quantiles; a row finds its slice by two binary searches.
+    well. A row finds its slice by two binary searches.
+
+    The rows are computed once and written; a second job takes the 2n quantiles from the two
+    order columns of that table, and what the caller does with the slices reads it too. So this
+    runs when the plan is built, and a lost executor changes no row's place.
 
     ``_key`` is a struct, in which NULL keys are equal to each other, so the
     windows and joins on (``_key``, ``_slice``) share one shuffle.
     """
     n = slices or slice_count(df)
     points = [i / n for i in range(1, n)]
-    found = df.select(order.alias("_o"), tie.alias("_t")).agg(
-        F.percentile_approx("_o", points, 50 * n), F.percentile_approx("_t", points, 50 * n)
-    ).first()
+    rows = written(df.select("*", order.alias("_o"), tie.alias("_t")), "ordered")
+    found = rows.agg(F.percentile_approx("_o", points, 50 * n), F.percentile_approx("_t", points, 50 * n)).first()
     edges, ties = _edges(found[0]), _edges(found[1])
-    keyed = df.select("*", F.struct(*[named(k) for k in keys]).alias(KEY), order.alias("_o"), tie.alias("_t"))
+    keyed = rows.withColumn(KEY, F.struct(*[named(k) for k in keys]))
     placed = _bucket(_bucket(keyed, "_o", edges, "_below"), "_t", ties, "_within")
     # Odd buckets hold one value of the order, a boundary.
     singles = [i for i in range(len(edges) - 1) if i % 2]
