@@ -13,7 +13,7 @@ from tidewatch.plans.common import EVENTS_END, ORDERS_END, at, tidy
 from tidewatch.plans.profiling import DATASET_PROFILE, DIRTY_COLUMNS
 from tidewatch.plans.validation import CONTRACT, DEFAULTS_SQL, default_results
 from tidewatch.session import work_path
-from tidewatch.sources import readers, writers
+from tidewatch.sources import growing, readers, writers
 from tidewatch.streaming import live
 
 OT, ET = f"TIMESTAMP '{ORDERS_END}'", f"TIMESTAMP '{EVENTS_END}'"
@@ -141,6 +141,23 @@ def scan_json_log_tail(t):
     return filters.recent(scan_json_log(t), "timestamp", ["logger", "message"], 100)
 
 
+@query(
+    "scan_log_increments",
+    """SELECT 1 AS read_number, timestamp, level, logger, message FROM @logs WHERE conv_id % 2 = 0
+      UNION ALL SELECT 2, timestamp, level, logger, message FROM @logs WHERE conv_id % 2 <> 0""",
+)
+def scan_log_increments(t):
+    """Two reads of a growing log: the second has the lines added since the first only."""
+    path = work_path(t.spark, "app-log")
+    line = F.to_json(F.struct("timestamp", "level", "logger", "message")).alias("value")
+    t.logs.filter("conv_id % 2 = 0").select(line).write.mode("append").text(path)
+    first, offsets = growing.read_new_lines(t.spark, path)
+    t.logs.filter("conv_id % 2 <> 0").select(line).write.mode("append").text(path)
+    second, _ = growing.read_new_lines(t.spark, path, offsets)
+    parts = [growing.json_lines(lines).select(F.lit(n).alias("read_number"), "*") for n, lines in ((1, first), (2, second))]
+    return parts[0].unionAll(parts[1])
+
+
 @query(
     "scan_log_bytes",
     "SELECT true AS has_files, count(*) AS lines FROM @logs",
@@ -235,7 +252,10 @@ def sink_format_partitioned(t):
       ORDER BY c_custkey LIMIT 5""",
 )
 def ingest_summary(t):
-    return writers.ingest_preview(t.customer.select("c_custkey", "c_name", "c_acctbal"), F.col("c_custkey"))
+    """The first written rows and the number of all, which the job that writes has counted."""
+    path = f"{work_path(t.spark, 'ingested')}/customers"
+    report = writers.write_observed(t.customer.select("c_custkey", "c_name", "c_acctbal"), path)
+    return t.spark.read.parquet(path).orderBy("c_custkey").limit(5).withColumn("record_count", F.lit(report.record_count))
 
 
 @query(
