@@ -118,7 +118,7 @@ def test_patch_rewrites_buckets_with_updates_only(spark, store):
         [("batch_7", "2024-01-01 00:00:00", "failed", None), ("batch_7", "2024-01-02 00:00:00", None, 70), ("unknown", "2024-01-01 00:00:00", "failed", 1)],
         "batch_id string, updated_at string, status string, records_loaded int",
     )
-    S.patch(store, "history", updates, "batch_id", loads.upsert_history, partition)
+    S.patch(store, "history", updates, loads.upsert_history, partition)
     after = listing(store, "history")
     changed = {p for p in before if before[p] != after[p]}
     assert 1 <= len(changed) <= 2 and set(after) == set(before)

@@ -31,6 +31,16 @@ def run_upsert(events: DataFrame) -> DataFrame:
     )
 
 
+def merge_runs(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """Stored runs (``run_upsert`` with the ``event_time`` of their newest event) brought up to date by later events, and new runs.
+
+    Only the rows given are read: of a stored table those partitions that hold a run with an event.
+    """
+    every = stored.select(*events.columns).unionByName(events)
+    newest = every.groupBy("dag_run_id").agg(F.max("event_time").alias("event_time"))
+    return run_upsert(every).join(newest, "dag_run_id")
+
+
 def log_batches(logs: DataFrame, stream: str, at: str, tie: Column, size: int = LOG_BATCH) -> DataFrame:
     """Log events per stream in time order, formatted and cut into batches of ``size``."""
     numbered = ordered_row_number(logs, [stream], micros(F.col(at)), tie, "_position")

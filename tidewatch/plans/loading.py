@@ -374,7 +374,7 @@ def history_patched(t):
     """The upsert of ``load_history_upsert`` on a stored table: only groups of batches with updates are rewritten."""
     store, group = _store(t), snapshots.bucket("batch_id", 16)
     store.write("history", t.load_history, group)
-    snapshots.patch(store, "history", t.sql(UPDATES.format(string="STRING", zone="_NTZ")), "batch_id", loads.upsert_history, group)
+    snapshots.patch(store, "history", t.sql(UPDATES.format(string="STRING", zone="_NTZ")), loads.upsert_history, group)
     return store.read("history").select("batch_id", "status", "records_loaded", "error_message")
 
 

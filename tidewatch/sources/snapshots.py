@@ -263,13 +263,13 @@ def roll_back(store: Snapshots, batches: Sequence[str], tables: Sequence[str], h
     return store.commit(changes)
 
 
-def _concerned(store: Snapshots, table: str, keys: DataFrame, partition: Column) -> set[str]:
+def _concerned(store: Snapshots, table: str, keys: DataFrame, partition: Column, new: bool = False) -> set[str]:
     """Partitions of a table that hold rows with one of the keys, where ``partition`` names a row's partition by its key alone.
 
-    Only names, at most one per partition, come to the driver.
+    With ``new`` also those that the table does not have yet. Only names, at most one per partition, come to the driver.
     """
-    names = keys.select(partition.cast("string").alias("p")).distinct().collect()
-    return {r[0] or "" for r in names} & set(store.partitions(table))
+    names = {r[0] or "" for r in keys.select(partition.cast("string").alias("p")).distinct().collect()}
+    return names if new else names & set(store.partitions(table))
 
 
 def roll_back_grouped(
@@ -296,13 +296,13 @@ def roll_back_grouped(
     return store.commit(changes)
 
 
-def patch(store: Snapshots, table: str, updates: DataFrame, key: str, step, partition: Column) -> int:
+def patch(store: Snapshots, table: str, updates: DataFrame, step, partition: Column, insert: bool = False) -> int:
     """``step(rows, updates)`` for the partitions that hold a key of ``updates``; the others keep their files.
 
-    ``partition`` names a row's partition by ``key`` alone, so the updates say which partitions
-    change.
+    ``partition`` names a row's partition by its key alone, so the updates say which partitions
+    change. With ``insert`` a step may add keys, also in partitions that are new.
     """
-    names = _concerned(store, table, updates, partition)
+    names = _concerned(store, table, updates, partition, insert)
     return store.commit({table: Rewrite(names, lambda rows: step(rows, updates), partition)})
 
 
