@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,8 +83,7 @@ def release(*tables: DataFrame) -> None:
     notices only when its memory is collected; a job of many steps would else keep the files of all of them.
     """
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        settle(tables[0].sparkSession, 0)
     for table in tables:
         files = table.inputFiles()
         for spark, path in [x for x in _written if files and x[1].rsplit("/", 1)[1] in files[0]]:
@@ -91,6 +91,16 @@ def release(*tables: DataFrame) -> None:
             _written.remove((spark, path))
 
 
+def settle(spark: SparkSession, seconds: float = 1.0) -> None:
+    """Let Spark drop the shuffles of the jobs done so far; for jobs of many large steps.
+
+    Right after a job its plan is still held by events on their way to listeners, hence the wait.
+    """
+    time.sleep(seconds)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
