@@ -39,6 +39,27 @@ def test_text_beside_the_largest_container():
         assert extract_text(page, [best_path(page)[0]])[0] == f"Title\n{said}\nShort end."
 
 
+def test_containers_named_as_main_text_are_taken_whole():
+    text = "The words of the story. " * 40
+    said = text.strip()
+    for page in (
+        f"<body><div class=post><h1>Title</h1><p>Lead</p><div class=entry-body><p>{text}</p></div></div><div>beside</div></body>",
+        f"<body><div class=content><h1>Title</h1><div class=a><p>Lead</p></div><div class=b><p>{text}</p></div></div><div>beside</div></body>",
+    ):
+        assert extract_text(page, [best_path(page)[0]])[0] == f"Title\nLead\n{said}"
+    # What is mostly links, or not named as text, stays outside.
+    links = "<a href=x>One of many links</a> " * 9
+    for page in (f"<body><div id=main><div>{links}</div><div class=b><p>{text}</p></div></div></body>", f"<body><div class=wrap><p>Lead</p><div class=b><p>{text}</p></div></div></body>"):
+        assert extract_text(page, [best_path(page)[0]])[0] == said
+
+
+def test_ids_of_chapters_do_not_drop_them():
+    text = "<p>" + "The words of the story. " * 20 + "</p>"
+    page = f"<article>{text}<section id='discussion'><h2 id='related-work'>Related</h2><p>More.</p></section><h2 id=search-methods>Search</h2><section id=comments><p>Reader.</p></section></article>"
+    assert extract_text(page, [])[0].split("\n")[1:] == ["Related", "More.", "Search"]
+    assert extract_text(f"<div class=post>{text}<h2 id=notice>Notice</h2><p class='ad'>Buy</p></div>", [])[0].split("\n")[1:] == ["Notice"]
+
+
 def test_broken_markup_ends():
     for page in ("", "<", "<p", "<!-- open", "<script>x", "<p title='a>b", "a <b <c> d", "</p></div>text", "<div>" * 3000 + "x" + "</div>" * 10):
         assert isinstance(extract_text(page, [])[0], str)

@@ -76,8 +76,12 @@ class Element(NamedTuple):
         return self.steps[-1].split(".")[0] if self.steps else ""
 
 
-def _marks(attributes: str) -> tuple[set[str], str]:
-    """The words in class, id and role, and the classes for the path, digits generalised."""
+def _marks(attributes: str, named_part: bool = False) -> tuple[set[str], str]:
+    """The words in class, id and role, and the classes for the path, digits generalised.
+
+    The id of a ``named_part``, a heading or a section of an article, is the title of a chapter as often
+    as not: of its words only those count that mark even an article.
+    """
     words, classes = set(), ""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name = name.lower()
@@ -85,7 +89,8 @@ def _marks(attributes: str) -> tuple[set[str], str]:
             value = html.unescape(a or b or c)
             for part in value.split():
                 if not part.lower().startswith(NEIGHBOUR):
-                    words.update(p.lower() for p in _PARTS.findall(part))
+                    found = {p.lower() for p in _PARTS.findall(part)}
+                    words |= found & FOREIGN if named_part and name == "id" else found
             if name == "class":
                 classes = "".join("." + w for w in sorted(set(_DIGITS.sub("#", value).split())))
         elif name == "aria-hidden" and (a or b or c) == "true":
@@ -191,7 +196,8 @@ def _read(page: str, besides: frozenset[str]) -> tuple[list[Element], list[Block
         _, container, beside, link, article = stack[-1]
         if name in BLOCK:
             flush()
-            words, classes = _marks(attributes) if attributes.strip() else (set(), "")
+            named_part = name in HEADING or (name == "section" and article)
+            words, classes = _marks(attributes, named_part) if attributes.strip() else (set(), "")
             article = article or name in ("article", "main")
             beside = beside or name in besides or (name not in ("body", "html") and bool(words & (FOREIGN if name in ("article", "main") else MARKS)))
             beside = beside or ((name == "header" or "header" in words) and not article and name not in HEADING)
@@ -229,7 +235,8 @@ def best(elements: list[Element], blocks: list[Block]) -> tuple[int, float]:
 
     The container with the highest score, the first of equals; then the outermost
     article around it, or the outermost main without one, or else the parent of
-    several sections of which it is one.
+    several sections of which it is one; or else the outermost container around it that is named
+    as main text and adds more text than links, such as a post with its title and lead around the body.
     """
     total = scores(elements, blocks)
     at = max(range(len(total)), key=lambda i: (total[i], -i))
@@ -241,12 +248,22 @@ def best(elements: list[Element], blocks: list[Block]) -> tuple[int, float]:
         whole = [i for i in around if elements[i].tag == kind]
         if whole:
             return whole[-1], score
-    if elements[at].tag != "section":
-        return at, score
-    # Sections of one parent are parts of one text.
-    parent = elements[at].parent
-    parts = [i for i, e in enumerate(elements) if e.parent == parent and e.tag == "section" and total[i] > 0]
-    return (parent if len(parts) > 1 else at), score
+    if elements[at].tag == "section":
+        # Sections of one parent are parts of one text.
+        parent = elements[at].parent
+        parts = [i for i, e in enumerate(elements) if e.parent == parent and e.tag == "section" and total[i] > 0]
+        at = parent if len(parts) > 1 else at
+    named = [i for i in around if elements[i].good and elements[i].tag not in ("body", "html") and i < at]
+    if named:
+        text, links = [0] * len(elements), [0] * len(elements)
+        for block in blocks:
+            text[block.container] += len(block.text)
+            links[block.container] += block.link_chars
+        for i in range(len(elements) - 1, 0, -1):
+            text[elements[i].parent] += text[i]
+            links[elements[i].parent] += links[i]
+        at = next((i for i in reversed(named) if 2 * (links[i] - links[at]) <= text[i] - text[at]), at)
+    return at, score
 
 
 def best_path(page: str) -> tuple[str, float]:
