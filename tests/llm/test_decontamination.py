@@ -2,9 +2,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import by_id
-from tidewatch.llm.decontamination import decontaminate
+from tidewatch.llm.decontamination import decontaminate, leaked_windows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -69,3 +70,19 @@ def test_every_shared_run_is_found(make):
     got = decontaminate(make(docs, "doc_id long, text string"), make([(1, " ".join(item))], "item_id long, text string"))
     assert all(r[0] == 10 for r in got.select("n_hit").collect())
     assert by_id(got, "doc_id", "contaminated")[0] == [True]
+
+
+def test_rows_that_differ_only_in_what_is_null(make):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    for rows in ([(None, item), (item, None)], [(item, None), (None, item)]):
+        found = by_id(decontaminate(make(rows, "doc_id string, text string"), make([(1, item)], "item_id long, text string")), "doc_id", "n_words", "n_hit", "contaminated")
+        assert found == {None: [(12, 12, True)], item: [(0, 0, False)]}
+
+
+def test_repeated_words_give_no_more_rows_than_windows(spark, make):
+    docs = make([(1, "tide " * 4000), (2, "ebb flow " * 2000), (3, "tide " * 9), (4, "clean text")], "doc_id long, text string")
+    items = make([(i, "tide " * (60 + i)) for i in range(200)] + [(500 + i, "flow ebb " * (30 + i)) for i in range(50)], "item_id long, text string")
+    windows = leaked_windows(docs.withColumn("key", F.col("doc_id")).select("key", "text"), items)
+    assert windows.count() == 200 * (4000 - 9) + 50 * (4000 - 9)
+    found = by_id(decontaminate(docs, items), "doc_id", "n_words", "n_hit", "n_items")
+    assert found == {1: [(4000, 4000, 200)], 2: [(4000, 4000, 50)], 3: [(9, 0, 0)], 4: [(2, 0, 0)]}

@@ -60,66 +60,60 @@ def leaked_windows(
 
     ``documents`` has key and text, ``benchmark`` has item_id and text. A window is
     ``span`` consecutive words of an item; an item of fewer words, but not none, is one window.
-    Fingerprints of both sides are joined; each match gives a diagonal (document
-    position less item position), along which words are compared, and runs of
-    equal words as long as a window are reported by their windows.
+    Fingerprints of both sides are joined; each fingerprint of a document that an item
+    has as well is extended to the windows that contain it, and these are held against the items' windows by 128
+    bits of their words. A place is extended once, however many items and places of items it
+    meets, so texts and items of repeated words give no more rows than they have windows.
 
-    The benchmark side is broadcast while its texts are below ``broadcast_bytes``, and
+    The fingerprints of the benchmark are broadcast while its texts are below ``broadcast_bytes``, and
     joined by shuffle beyond it; nothing else is broadcast by force.
     """
     small = if_small(benchmark, "text", broadcast_bytes)
     side = F.broadcast if small else (lambda df: df)
-    items = benchmark.select("item_id", row_key("item_id", "text").alias("item"), alnum_words(F.col("text")).alias("words"))
-    items = items.filter(F.size("words") > 0).dropDuplicates(["item", "item_id"])
+    items = benchmark.select("item_id", alnum_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     # At most span - 1 lengths.
     short = sorted(r[0] for r in items.filter(F.size("words") < span).select(F.size("words")).distinct().collect())
-    lengths = F.least(F.size("words"), F.lit(span))
-    prints = _fingerprints(items.filter(lengths == span), "item", "words", span, gram, [])
+    prints = items.filter(F.size("words") >= span).select(F.lit(0).alias("size"), F.explode(winnowed(F.col("words"), span, gram)).alias("print"))
     for m in short:
-        whole = items.filter(F.size("words") == m).select(
-            "item", F.lit(m).alias("size"), F.lit(0).alias("at"), gram_hashes(F.col("words"), m)[0].alias("print")
-        )
+        whole = items.filter(F.size("words") == m).select(F.lit(m).alias("size"), gram_hashes(F.col("words"), m)[0].alias("print"))
         prints = prints.unionByName(whole)
-    prints = prints.distinct().join(items.select("item", F.size("words").alias("n_item")), "item")
-    prints = prints.select("item", "n_item", "size", "print", F.col("at").alias("item_at"))
+    prints = prints.filter("print IS NOT NULL").distinct()
 
     texts = documents.select("key", alnum_words(F.col("text")).alias("words"))
     found = _fingerprints(texts, "key", "words", span, gram, short)
-    diagonals = found.join(side(prints), ["size", "print"]).select(
-        "key", "item", "n_item", (F.col("at") - F.col("item_at")).alias("diagonal")
-    ).distinct()
-    # One row per document that has a match, with the diagonals in it, meets the text again.
-    per_document = diagonals.groupBy("key").agg(F.collect_list(F.struct("item", "n_item", "diagonal")).alias("diagonals"))
+    places = found.join(side(prints), ["size", "print"], "left_semi").select("key", "size", "at").distinct()
+    # One row per document that has a match, with the places in it, which are no more than its words, meets the text again.
+    per_document = places.groupBy("key").agg(F.collect_list(F.struct("size", "at")).alias("places"))
     texts = documents.select("key", "text").join(per_document, "key")
-    texts = texts.dropDuplicates(["key"]).select("key", "diagonals", alnum_words(F.col("text")).alias("words"))
-
-    def beside(words: Column) -> Column:
-        return F.transform("diagonals", lambda d: F.struct(
-            d["item"].alias("item"), d["diagonal"].alias("diagonal"),
-            F.slice(words, F.greatest(d["diagonal"], F.lit(0)) + 1, d["n_item"] + F.least(d["diagonal"], F.lit(0))).alias("words"),
-        ))
-
-    pieces = texts.select("key", F.explode(bound(F.col("words"), beside)).alias("piece")).select("key", "piece.*")
-    pairs = pieces.join(side(items.select("item", "item_id", F.col("words").alias("item_words"))), "item")
-    offset = F.greatest(-F.col("diagonal"), F.lit(0))
-    equal = F.zip_with(
-        "words", F.slice("item_words", offset + 1, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False))
-    )
-    pairs = pairs.select(
-        "key", "item_id", F.greatest("diagonal", F.lit(0)).alias("base"), equal.alias("equal"),
-        F.least(F.size("item_words"), F.lit(span)).alias("wide"),
-    )
-    ends = pairs.select("key", "item_id", "base", "wide", F.posexplode(_window_ends(F.col("equal"), F.col("wide"))).alias("at", "ends"))
-    return ends.filter("ends").select(
-        "key", "item_id", (F.col("base") + F.col("at") - F.col("wide") + 1).alias("first"), (F.col("base") + F.col("at")).alias("last")
-    )
+    texts = texts.dropDuplicates(["key"]).select("key", "places", alnum_words(F.col("text")).alias("words"))
+
+    def around(words: Column) -> Column:
+        """The distinct windows that contain a place."""
+        def starts(place: Column) -> Column:
+            first, last = F.greatest(place["at"] - (span - gram), F.lit(0)), F.least(place["at"], F.size(words) - span)
+            long = F.when(F.size(words) >= span, F.transform(F.sequence(first, last), lambda i: _window(i, F.lit(span))))
+            return F.when(place["size"] > 0, F.array(_window(place["at"], place["size"]))).otherwise(F.coalesce(long, F.array().cast(kind)))
+
+        distinct = F.array_distinct(F.flatten(F.transform("places", starts)))
+        return F.transform(distinct, lambda w: F.struct(w["first"].alias("first"), w["wide"].alias("wide"), _identity(words, w["first"], w["wide"]).alias("same")))
+
+    kind = "array<struct<first:int,wide:int>>"
+    windows = texts.select("key", F.explode(bound(F.col("words"), around)).alias("window")).select("key", "window.*")
+    wide = F.least(F.size("words"), F.lit(span))
+    of_items = items.select("item_id", wide.alias("wide"), F.explode(bound(F.col("words"), lambda words: F.transform(
+        F.sequence(F.lit(0), F.size(words) - F.least(F.size(words), F.lit(span))), lambda i: _identity(words, i, F.least(F.size(words), F.lit(span)))
+    ))).alias("same")).distinct()
+    met = windows.join(of_items, ["wide", "same"])
+    return met.select("key", "item_id", "first", (F.col("first") + F.col("wide") - 1).alias("last"))
+
+
+def _window(first: Column, wide: Column) -> Column:
+    return F.struct(first.cast("int").alias("first"), wide.cast("int").alias("wide"))
 
 
-def _window_ends(equal: Column, wide: Column) -> Column:
-    """Whether ``wide`` true places end at each place."""
-    return bound(equal, lambda flags: F.transform(
-        flags, lambda same, i: same & (i + 1 >= wide) & ~F.array_contains(F.slice(flags, F.greatest(i - wide + 2, F.lit(1)), wide), False)
-    ))
+def _identity(words: Column, first: Column, wide: Column) -> Column:
+    """128 bits of ``wide`` words; words hold no space."""
+    return F.md5(F.array_join(F.slice(words, first + 1, wide), " "))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -33,8 +33,11 @@ def bound(array: Column, body) -> Column:
 
 
 def row_key(doc_id: str, text: str) -> Column:
-    """64 bits of a row's id and text; rows that agree in both are the same document."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """64 bits of a row's id and text; rows that agree in both are the same document.
+
+    The hash skips nulls, so which of the two are null goes in as well.
+    """
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
 
 
 def if_small(df: DataFrame, text: str, limit: int = BROADCAST_TEXT_BYTES) -> bool:
