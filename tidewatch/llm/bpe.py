@@ -93,7 +93,7 @@ def encode(documents: DataFrame, path: str, blocks: int | None = None, with_text
 
     dealt = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int")).mapInArrow(
         pack, f"block int, doc_id {kind}, key long, packed binary"
-    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+    ).repartition(blocks, "block")
 
     def unpacked(table: pa.Table) -> Iterator[str]:
         """One text after the other, so that a block is never unpacked as a whole."""
