@@ -100,3 +100,15 @@ def test_nothing_collects_rows_of_a_key(hot):
         assert "GlobalLimit 100" in sample
         plan = df.drop("sample_keys")._jdf.queryExecution().optimizedPlan().toString()
         assert "collect" not in plan and "Window" not in plan
+
+
+def test_orphans_without_a_value_are_dealt_over_all_tasks(spark, hot, small_skew_limits):
+    children = hot.withColumn("k", F.expr("nullif(k, 0)"))
+    parents = spark.range(1, 20000).select(F.col("id").alias("p"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = integrity.fk_orphans(children, "k", parents, "p").filter("k IS NULL")
+        tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(tasks) == 10000 and len(tasks) == 16 and max(tasks) < 1000

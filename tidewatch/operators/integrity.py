@@ -75,13 +75,26 @@ def dup_pk_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*[named(c) for c in df.columns], "_pk_occurrence_count")
 
 
+def _spread(child: DataFrame, value: Column) -> Column:
+    """A second join key of child rows, 0 but where ``value`` is NULL: such rows find no parent anywhere, so their own hash deals them over all tasks."""
+    # Maps have no hash.
+    columns = [named(f.name) for f in child.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.when(value.isNull(), F.xxhash64(*columns) if columns else F.lit(0).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+
+
+def _zero(parent: Column) -> Column:
+    """0 for every parent key: the other side of ``_spread``, which the optimizer must not take for a constant, as a constant is no join key."""
+    return F.pmod(F.xxhash64(parent), F.lit(1).cast("bigint"))
+
+
 def fk_orphans(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
     """Child rows without a parent, in one scan; a NULL foreign key has none.
 
-    The anti join keeps NULL keys. Both sides come straight from a shuffle, so AQE
-    splits the partition in which they, or another hot key, meet.
+    The anti join keeps NULL keys, whose rows are dealt over all tasks. Both sides come straight from a shuffle, so AQE
+    splits the partition in which another hot key meets.
     """
-    return child.join(parent.select(named(key).alias("_parent")), named(fk) == F.col("_parent"), "left_anti")
+    parents = parent.select(named(key).alias("_parent"), _zero(named(key)).alias("_zero"))
+    return child.join(parents, (named(fk) == F.col("_parent")) & (_spread(child, named(fk)) == F.col("_zero")), "left_anti")
 
 
 def _orphan_counts(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
