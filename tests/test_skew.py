@@ -112,3 +112,15 @@ def test_orphans_without_a_value_are_dealt_over_all_tasks(spark, hot, small_skew
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(tasks) == 10000 and len(tasks) == 16 and max(tasks) < 1000
+
+
+def test_orphans_of_several_keys_are_repeated_after_the_joins(spark, hot, small_skew_limits):
+    children = hot.select("*", F.expr("IF(id % 5 = 0, NULL, CAST(id % 7 AS STRING))").alias("t"))
+    parents = {"p": spark.range(1, 20000).unionAll(spark.range(1, 9)).toDF("p"), "q": spark.createDataFrame([(n,) for n in range(4)], "q int")}
+    rows = integrity.union_orphans(children, {"k": ("p", "p"), "t": ("q", "q")}, parents)
+    counts = {r[0]: r[1] for r in rows.groupBy("_invalid_fk_column").count().collect()}
+    assert counts == {"k": 10000 + len([i for i in range(20000, 30000) if i % 3]), "t": len([i for i in range(30000) if i % 5 == 0 or i % 7 > 3])}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter")
+    rows.collect()
+    assert "skew=true" in final_plan(rows)

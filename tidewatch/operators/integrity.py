@@ -129,6 +129,13 @@ def _match_text(column: Column, kind: str) -> Column:
     return (value + F.lit(0.0) if kind in ("float", "double") else value).cast("string")
 
 
+def _match_value(column: Column, kind: str) -> Column:
+    """Equal where ``_match_text`` is, and shorter: numbers and times stay what they are."""
+    if kind.startswith(("decimal", "timestamp")) or kind in ("tinyint", "smallint", "int", "bigint", "date", "boolean"):
+        return column.try_cast(kind)
+    return column.try_cast(kind) + F.lit(0.0).cast(kind) if kind in ("float", "double") else _match_text(column, kind)
+
+
 def _key_problem(child: DataFrame, fk: str, parent_name: str, key: str, parents: Mapping[str, DataFrame]) -> str | None:
     if fk not in child.columns:
         return f"Foreign key column '{fk}' not found in dataset"
@@ -281,16 +288,25 @@ def union_orphans(
 ) -> DataFrame:
     """Orphans of every usable foreign key, tagged with the key column, from one scan of the child table.
 
-    A row meets all parents in one join, once per key; AQE splits a hot value.
+    A row meets one parent after the other and is repeated only at the end, once per key without a parent. It
+    is shuffled for large parents alone, as it is; small ones are broadcast. Rows with a NULL are dealt over all
+    tasks, and AQE splits another hot value: parent keys, made distinct, are shuffled again for the two join keys.
     """
-    entries, keys, usable = _tagged(child, foreign_keys, parents)
+    usable = [fk for fk, (parent, key) in foreign_keys.items() if _key_problem(child, fk, parent, key, parents) is None]
     if not usable:
         return child.limit(0).withColumn("_invalid_fk_column", F.lit(""))
-    each = child.select("*", F.explode(entries).alias("_entry"))
-    each = each.select(*[named(c) for c in child.columns], F.col("_entry.key").alias("_key"), F.col("_entry.value").alias("_value"))
-    found = each.join(keys.withColumnsRenamed({"key": "_key", "value": "_value"}), ["_key", "_value"], "left_anti")
-    names = F.array(*[F.lit(fk) for fk in usable])
-    return found.select(*[named(c) for c in child.columns], names[F.col("_key")].alias("_invalid_fk_column"))
+    rows, missing = child, []
+    for at, fk in enumerate(usable):
+        parent, key = parents[foreign_keys[fk][0]], foreign_keys[fk][1]
+        kind = _common_type(child.sparkSession, child.schema[fk].dataType, parent.schema[key].dataType)
+        value, hit = _match_value(named(fk), kind), f"_hit{at}"
+        keys = parent.select(_match_value(named(key), kind).alias("_parent")).filter("_parent IS NOT NULL").distinct()
+        keys = keys.select(F.col("_parent").alias(f"_parent{at}"), _zero(F.col("_parent")).alias(f"_zero{at}"), F.lit(True).alias(hit))
+        met = (value == F.col(f"_parent{at}")) & (_spread(child, value) == F.col(f"_zero{at}"))
+        rows = rows.join(keys, met, "left").drop(f"_parent{at}", f"_zero{at}")
+        missing.append(F.when(F.col(hit).isNull(), F.lit(fk)))
+    found = rows.filter(reduce(lambda a, b: a | b, [m.isNotNull() for m in missing]))
+    return found.select(*[named(c) for c in child.columns], F.explode(F.array_compact(F.array(*missing))).alias("_invalid_fk_column"))
 
 
 def union_failed_rows(
