@@ -93,3 +93,12 @@ def test_root_does_not_depend_on_order(spark):
     digests = {tuple(hashtree.root_digest(hashtree.table_tree(frame(spark, r).repartition(n), ["berth"])).first()) for r, n in ((rows, 1), (rows[::-1], 3))}
     assert len(digests) == 1
     assert hashtree.root_digest(hashtree.table_tree(frame(spark, []), ["berth"])).collect() == []
+
+
+def test_rows_are_shuffled_once(spark):
+    """Beside the comparison of trees, whose tables are small, both tables share one shuffle."""
+    left = fleet(400, 3)
+    rows = hashtree.differing_keys(frame(spark, left), frame(spark, left[:-9] + fleet(9, 8)), ["berth", "ship"], levels=2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_k") == 1 and "FullOuter" not in plan.split("Union")[0]
+    assert all(r.kind in ("missing", "extra", "changed") for r in rows.collect())

@@ -138,20 +138,20 @@ def differing_keys(
     right_tree = written(table_tree(right, keys, columns, levels), "tree") if right_tree is None else right_tree
     ranges = differing_ranges(left_tree, right_tree).select("range")
 
-    def per_key(df: DataFrame, side: str) -> DataFrame:
+    def signed(df: DataFrame, left: int, right: int) -> DataFrame:
         rows = df.withColumn("_range", key_range(keys, levels)).join(ranges.withColumnRenamed("range", "_range"), "_range", "left_semi")
-        hashed = rows.select(F.struct(*[named(k) for k in keys]).alias("_key"), F.md5(row_text(columns)).alias("_h"))
-        # Copies of one row meet before the shuffle; then a key has one row per distinct row of its own.
-        copies = hashed.groupBy("_key", "_h").agg(F.count(F.lit(1)).alias("_n"))
-        sums = [F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") * F.col("_n")).alias(f"_s{i}") for i in range(4)]
-        return copies.groupBy("_key").agg(F.sum("_n").alias(f"{side}_rows"), *sums).select(
-            "_key", f"{side}_rows", F.struct(*[f"_s{i}" for i in range(4)]).alias(f"_{side}")
+        hashed = rows.select(*[named(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.md5(row_text(columns)).alias("_h"))
+        halves = hashed.withColumns({"_low": F.xxhash64("_h"), "_high": F.xxhash64(F.lit("high"), "_h")}).drop("_h")
+        parts = [p for h in ("_low", "_high") for p in (F.col(h).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+        return halves.select(
+            *[f"_k{i}" for i in range(len(keys))], F.lit(left).cast("bigint").alias("left_rows"), F.lit(right).cast("bigint").alias("right_rows"),
+            *[(p * F.lit(left - right)).alias(s) for p, s in zip(parts, SUMS)],
         )
 
-    both = per_key(left, "left").join(per_key(right, "right"), "_key", "full_outer")
-    kind = F.when(F.col("_right").isNull(), "missing").when(F.col("_left").isNull(), "extra").otherwise("changed")
-    differ = both.filter(~(F.col("left_rows").eqNullSafe(F.col("right_rows")) & F.col("_left").eqNullSafe(F.col("_right"))))
-    return differ.select(
-        *[F.col("_key")[k].alias(k) for k in keys], kind.alias("kind"),
-        F.coalesce("left_rows", F.lit(0)).alias("left_rows"), F.coalesce("right_rows", F.lit(0)).alias("right_rows"),
-    )
+    # Both tables meet in one aggregation, in which rows of a key add up before the shuffle. Hashes of the right table count
+    # against those of the left one: where the rows of a key are the same, the sums are 0.
+    both = signed(left, 1, 0).unionAll(signed(right, 0, 1)).groupBy(*[f"_k{i}" for i in range(len(keys))])
+    sums = both.agg(*[F.sum(s).alias(s) for s in ("left_rows", "right_rows", *SUMS)])
+    differ = sums.filter((F.col("left_rows") != F.col("right_rows")) | F.greatest(*[F.abs(s) for s in SUMS]).cast("boolean"))
+    kind = F.when(F.col("right_rows") == 0, "missing").when(F.col("left_rows") == 0, "extra").otherwise("changed")
+    return differ.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], kind.alias("kind"), "left_rows", "right_rows")
