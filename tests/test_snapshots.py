@@ -165,3 +165,18 @@ def test_odd_names_and_empty_tables(spark, store):
     assert store.read("t").collect() == [] and store.read("t").columns == ["batch_id", "id", "data"]
     store.write("none", processed(spark, []), F.col("batch_id"))
     assert store.read("none").collect() == []
+
+
+def test_grouped_rollback_shuffles_rows_of_its_batches_only(spark, store, monkeypatch):
+    rows = processed(spark, [(f"b{i % 500}" if i % 11 else None, i, f"rec {i}") for i in range(5000)])
+    history = spark.createDataFrame([(f"b{i}", "completed", None, None) for i in range(500)], "batch_id string, status string, error_message string, completed_at timestamp_ntz")
+    partition = S.bucket("batch_id", 4)
+    store.commit({"processed": S.Replace(rows, partition), "history": S.Replace(history, partition)})
+    through = []
+    monkeypatch.setattr(S.Snapshots, "_folders", lambda self, df, *more, old=S.Snapshots._folders: through.append(df.count()) or old(self, df, *more))
+    gone = {f"b{i}" for i in range(0, 500, 25)}
+    S.roll_back_grouped(store, spark.createDataFrame([(b,) for b in [*gone, None]], "batch_id string"), ["processed"], "history", partition)
+    assert ids(store.read("processed")) == [i for i in range(5000) if not i % 11 or f"b{i % 500}" not in gone]
+    assert {r["batch_id"] for r in store.read("history").filter("status = 'rolled_back'").collect()} == gone and store.read("history").count() == 500
+    # What the two steps give; all other rows are copied by the tasks that read them.
+    assert through[0] < 100 and through[1] < 40

@@ -18,6 +18,10 @@ from tidewatch.session import written
 BLOCK_BITS, PROBES = 1 << 15, 6
 #: Blocks of a filter: 2^12 blocks are 16 MB when all are used, good for some ten million hashes at a false share below 1 %.
 BLOCKS = 1 << 12
+#: Slices of a block in ``build_slices``, their bits, and bits that a key sets in one.
+SLICES, SLICE_BITS, SLICE_PROBES = 1 << 5, 1 << 10, 3
+#: Column of ``maybe_among``.
+MAYBE = "_maybe"
 
 
 def _mixed(column: Column, salt: int) -> Column:
@@ -47,12 +51,13 @@ def merge_filters(filters: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return filters.groupBy(*[named(b) for b in by], "block").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
-def _all_set(places: Column, bits: Column) -> Column:
-    def is_set(place: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
-        return F.call_function("shiftright", byte, place.bitwiseAND(7)).bitwiseAND(1) == 1
+def _is_set(place: Column, bits: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, place.bitwiseAND(7)).bitwiseAND(1) == 1
+
 
-    return F.forall(places, is_set)
+def _all_set(places: Column, bits: Column) -> Column:
+    return F.forall(places, lambda place: _is_set(place, bits))
 
 
 def maybe_stored(hashes: DataFrame, filters: DataFrame, column: str = "record_hash", blocks: int = BLOCKS) -> DataFrame:
@@ -66,6 +71,33 @@ def maybe_stored(hashes: DataFrame, filters: DataFrame, column: str = "record_ha
     return met.drop("block", "_places", "bits").withColumnRenamed("_hash", column)
 
 
+def _slice(column: Column) -> Column:
+    return F.pmod(_mixed(column, -2), F.lit(BLOCKS * SLICES)).cast("int")
+
+
+def _slice_places(column: Column) -> list[Column]:
+    return [F.shiftrightunsigned(_mixed(column, -3), 16 * i).bitwiseAND(SLICE_BITS - 1).cast("int") for i in range(SLICE_PROBES)]
+
+
+def build_slices(keys: DataFrame, column: str) -> DataFrame:
+    """(slice, bits): a filter of a column in slices of 128 bytes, 16 MB at most, so that a row that is tested against a broadcast of it carries little."""
+    found = keys.filter(named(column).isNotNull()).select(_slice(named(column)).alias("slice"), F.explode(F.array(*_slice_places(named(column)))).alias("place"))
+    place = F.col("slice") % SLICES * SLICE_BITS + F.col("place")
+    blocks = found.groupBy(F.expr(f"CAST(slice DIV {SLICES} AS INT)").alias("block")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring("bits", i * (SLICE_BITS // 8) + 1, F.lit(SLICE_BITS // 8)))
+    return blocks.select("block", F.posexplode(parts).alias("at", "bits")).select((F.col("block") * SLICES + F.col("at")).alias("slice"), "bits")
+
+
+def maybe_among(rows: DataFrame, slices: DataFrame, column: str) -> DataFrame:
+    """All rows with ``MAYBE``: false where the column's value is certainly not among the keys of ``build_slices``, which are broadcast."""
+    slices = slices.select(F.col("slice").alias("_slice"), F.col("bits").alias("_bits"))
+    met = rows.withColumn("_slice", _slice(named(column))).join(F.broadcast(slices), "_slice", "left")
+    maybe = F.col("_bits").isNotNull()
+    for place in _slice_places(named(column)):
+        maybe = maybe & _is_set(place, F.col("_bits"))
+    return met.withColumn(MAYBE, maybe).drop("_slice", "_bits")
+
+
 def known_hashes(incoming: DataFrame, filters: DataFrame, batch: str, read_batches, column: str = "record_hash", blocks: int = BLOCKS) -> DataFrame:
     """The arriving hashes that are stored, exactly.
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.scalars import named
+from tidewatch.operators.hashfilter import MAYBE, build_slices, maybe_among
+from tidewatch.session import written
 
 #: Column of a partition's name in a written folder; not part of the table.
 PART = "_part"
@@ -90,13 +92,18 @@ class Snapshots:
         """Replace a whole table."""
         return self.commit({table: Replace(df, partition)}, base)
 
-    def _folders(self, df: DataFrame, partition: Column) -> dict[str, str]:
-        """Write rows by partition in one job: {partition: folder}. A hot partition is written by many tasks."""
+    def _folders(self, df: DataFrame, partition: Column, untouched: DataFrame | None = None) -> dict[str, str]:
+        """Write rows by partition in one job: {partition: folder}. A hot partition is written by many tasks.
+
+        Rows of ``untouched`` come from the files of their partitions, so the tasks that read them write them, without a shuffle.
+        """
         text = partition.cast("string")
         # A name is hex text, so that any value makes a folder.
         name = F.when(text.isNull() | (text == ""), NO_NAME).otherwise(F.concat(F.lit("x"), F.hex(text.cast("binary"))))
         data = f"data/{uuid.uuid4().hex}"
         placed = df.select("*", name.alias(PART)).hint("rebalance", F.col(PART))
+        if untouched is not None:
+            placed = untouched.select("*", name.alias(PART)).unionByName(placed)
         placed.write.partitionBy(PART).parquet(f"{self.root}/{data}")
         found = {}
         for folder in self._names(data):
@@ -204,17 +211,19 @@ class Drop(Change):
 class Rewrite(Change):
     """``step(rows)`` in place of the rows of some partitions; all others keep their files.
 
-    Rows whose partition changes move to it only if that is one of ``partitions``.
+    Rows whose partition changes move to it only if that is one of ``partitions``. ``split(rows)`` may
+    give two parts of them, of which the first is kept as it is and only the second goes through the step.
     """
 
-    def __init__(self, partitions: Iterable[str], step, partition: Column):
-        self.names, self.step, self.partition = {p or "" for p in partitions}, step, partition
+    def __init__(self, partitions: Iterable[str], step, partition: Column, split=None):
+        self.names, self.step, self.partition, self.split = {p or "" for p in partitions}, step, partition, split
 
     def applied(self, store, found):
         if found is None:
             raise ValueError("no such table")
         old = store._rows(found, self.names & set(found["parts"]))
-        new = store._folders(self.step(old).select(*old.columns), self.partition)
+        same, rest = self.split(old) if self.split else (None, old)
+        new = store._folders(self.step(rest).select(*[named(c) for c in old.columns]), self.partition, same)
         strange = set(new) - self.names
         if strange:
             raise ValueError(f"rows left their partitions: {sorted(strange)[:5]}")
@@ -272,16 +281,35 @@ def _concerned(store: Snapshots, table: str, keys: DataFrame, partition: Column,
     return names if new else names & set(store.partitions(table))
 
 
+def _split_by(keys: DataFrame, key: str):
+    """For ``Rewrite``: rows whose key is certainly not among ``keys``, and the others.
+
+    A filter of the keys tells, which is at most 16 MB and so broadcast; beyond some ten million keys it only lets more
+    rows through to the second part.
+    """
+    bits = written(build_slices(keys, key), "key-filter")
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if rows.schema[key].dataType != keys.schema[key].dataType:
+            return rows.limit(0), rows
+        found = maybe_among(rows, bits, key)
+        return tuple(found.filter(c).select(*[named(c) for c in rows.columns]) for c in (~F.col(MAYBE), F.col(MAYBE)))
+
+    return split
+
+
 def roll_back_grouped(
     store: Snapshots, batches: DataFrame, tables: Sequence[str], history: str | None, partition: Column, at: Column | None = None
 ) -> int:
     """``roll_back`` for tables whose partitions hold many batches each: only partitions with one of ``batches`` (batch_id) are rewritten.
 
+    Rows of batches that certainly stay are copied without a shuffle; the join sees the others only.
     Rows without a batch stay. Repeating it changes nothing more.
     """
-    wanted = batches.select("batch_id").filter("batch_id IS NOT NULL").distinct()
+    wanted = written(batches.select("batch_id").filter("batch_id IS NOT NULL").distinct(), "rolled-back")
+    split = _split_by(wanted, "batch_id")
     changes: dict[str, Change] = {
-        t: Rewrite(_concerned(store, t, wanted, partition), lambda rows: rows.join(wanted, "batch_id", "left_anti"), partition) for t in tables
+        t: Rewrite(_concerned(store, t, wanted, partition), lambda rows: rows.join(wanted, "batch_id", "left_anti"), partition, split) for t in tables
     }
     if history:
         moment = F.col("completed_at") if at is None else at
@@ -292,7 +320,7 @@ def roll_back_grouped(
             known = rows.join(wanted.withColumn("_hit", F.lit(True)), "batch_id", "left")
             return known.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
-        changes[history] = Rewrite(_concerned(store, history, wanted, partition), marked, partition)
+        changes[history] = Rewrite(_concerned(store, history, wanted, partition), marked, partition, split)
     return store.commit(changes)
 
 
