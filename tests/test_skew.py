@@ -1,5 +1,7 @@
 """Plans on a key that holds a third of the rows: AQE must split it, or it must be counted first."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,11 @@ def test_orphans_of_several_keys_are_repeated_after_the_joins(spark, hot, small_
     assert plan.index("Generate explode") < plan.index("Join LeftOuter")
     rows.collect()
     assert "skew=true" in final_plan(rows)
+
+
+def test_keys_are_counted_once_for_hot_and_other_rows(hot, small_skew_limits):
+    children = hot.withColumn("k", F.expr("IF(k = 0, 0, k DIV 2)"))
+    rows = integrity.dup_pk_rows(children, ["k"])
+    counts = Counter(i // 2 if i % 3 else 0 for i in range(30000))
+    assert len(rows.collect()) == sum(n for n in counts.values() if n > 1)
+    assert "ReusedExchange [k#" in rows._jdf.queryExecution().executedPlan().toString()

@@ -29,6 +29,9 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: st
     ordinary join. Both branches share the broadcast. NULL keys have no partner.
     """
     total = rows.agg(F.count(F.lit(1))).scalar()
+    # The join below would drop NULL keys of its own branch only, and Spark would then count the keys twice.
+    for k in keys:
+        per_key = per_key.filter(named(k).isNotNull())
     marked = per_key.withColumn("_total", total)
     is_hot = F.col(count) * HOT_KEYS > F.col("_total")
     values = [c for c in per_key.columns if c not in keys]
